@@ -1,0 +1,269 @@
+"""Replacement policies as small state helpers: what one shard of a cache remembers, and what one request does to it.
+
+All count objects, not bytes, or bytes where sizes are given: `size` of a request is 1 in the first case. A helper has
+`hit(key, now)`, true if the key was there (and then noted), `insert(key, size, next_use)` and `evict()`.
+"""
+
+from __future__ import annotations
+
+import heapq
+from collections import OrderedDict
+
+
+class Fifo:
+    def __init__(self, capacity: int) -> None:
+        self.capacity, self.used = capacity, 0
+        self.held: OrderedDict[int, int] = OrderedDict()
+
+    def hit(self, key: int, next_use: int) -> bool:
+        return key in self.held
+
+    def evict(self) -> None:
+        self.used -= self.held.popitem(last=False)[1]
+
+    def insert(self, key: int, size: int, next_use: int) -> None:
+        self.held[key] = size
+        self.used += size
+
+    def request(self, key: int, size: int, next_use: int) -> bool:
+        """One request: a miss of what fits in the cache makes room and comes in."""
+        if self.hit(key, next_use):
+            return True
+        if size <= self.capacity:
+            while self.used + size > self.capacity:
+                self.evict()
+            self.insert(key, size, next_use)
+        return False
+
+
+class Lru(Fifo):
+    def hit(self, key: int, next_use: int) -> bool:
+        if key in self.held:
+            self.held.move_to_end(key)
+            return True
+        return False
+
+
+class Mru(Lru):
+    def evict(self) -> None:
+        self.used -= self.held.popitem(last=True)[1]
+
+
+class Clock(Fifo):
+    """A hit marks; a marked object at the tail loses its mark and goes round again."""
+
+    def __init__(self, capacity: int) -> None:
+        super().__init__(capacity)
+        self.marked: set[int] = set()
+
+    def hit(self, key: int, next_use: int) -> bool:
+        if key in self.held:
+            self.marked.add(key)
+            return True
+        return False
+
+    def evict(self) -> None:
+        while (key := next(iter(self.held))) in self.marked:
+            self.marked.discard(key)
+            self.held.move_to_end(key)
+        self.used -= self.held.pop(key)
+
+
+class Lfu(Fifo):
+    """The least frequent goes; among those, the one that has had its frequency longest."""
+
+    def __init__(self, capacity: int) -> None:
+        super().__init__(capacity)
+        self.order, self.state, self.tick = [], {}, 0
+
+    def _note(self, key: int, freq: int) -> None:
+        self.tick += 1
+        self.state[key] = (freq, self.tick)
+        heapq.heappush(self.order, (freq, self.tick, key))
+
+    def hit(self, key: int, next_use: int) -> bool:
+        if key in self.held:
+            self._note(key, self.state[key][0] + 1)
+            return True
+        return False
+
+    def insert(self, key: int, size: int, next_use: int) -> None:
+        super().insert(key, size, next_use)
+        self._note(key, 1)
+
+    def evict(self) -> None:
+        while True:
+            freq, tick, key = heapq.heappop(self.order)
+            if self.state.get(key) == (freq, tick):
+                del self.state[key]
+                self.used -= self.held.pop(key)
+                return
+
+
+class Belady(Fifo):
+    """What is used again last goes; needs the next use of each request."""
+
+    def __init__(self, capacity: int) -> None:
+        super().__init__(capacity)
+        self.order, self.next = [], {}
+
+    def _note(self, key: int, next_use: int) -> None:
+        self.next[key] = next_use if next_use > 0 else 1 << 62
+        heapq.heappush(self.order, (-self.next[key], -key))
+
+    def hit(self, key: int, next_use: int) -> bool:
+        if key in self.held:
+            self._note(key, next_use)
+            return True
+        return False
+
+    def insert(self, key: int, size: int, next_use: int) -> None:
+        super().insert(key, size, next_use)
+        self._note(key, next_use)
+
+    def evict(self) -> None:
+        while True:
+            use, key = heapq.heappop(self.order)
+            if self.next.get(-key) == -use:
+                del self.next[-key]
+                self.used -= self.held.pop(-key)
+                return
+
+
+class Sieve(Fifo):
+    """A hand moves from old to new, unmarks what was hit and takes the first that was not; objects keep their places."""
+
+    def __init__(self, capacity: int) -> None:
+        super().__init__(capacity)
+        self.marked: set[int] = set()
+        self.newer: dict[int, int | None] = {}
+        self.older: dict[int, int | None] = {}
+        self.head = self.tail = self.hand = None
+
+    def hit(self, key: int, next_use: int) -> bool:
+        if key in self.held:
+            self.marked.add(key)
+            return True
+        return False
+
+    def insert(self, key: int, size: int, next_use: int) -> None:
+        super().insert(key, size, next_use)
+        self.newer[key], self.older[key] = None, self.head
+        if self.head is not None:
+            self.newer[self.head] = key
+        self.head = key
+        if self.tail is None:
+            self.tail = key
+
+    def evict(self) -> None:
+        at = self.hand if self.hand is not None else self.tail
+        while at in self.marked:
+            self.marked.discard(at)
+            at = self.newer[at] if self.newer[at] is not None else self.tail
+        new, old = self.newer.pop(at), self.older.pop(at)
+        self.hand = new
+        if new is None:
+            self.head = old
+        else:
+            self.older[new] = old
+        if old is None:
+            self.tail = new
+        else:
+            self.newer[old] = new
+        self.used -= self.held.pop(at)
+
+
+class SegmentedLru(Fifo):
+    """Four segments of equal size; a hit moves up one, what overflows moves down one."""
+
+    def __init__(self, capacity: int, segments: int = 4) -> None:
+        super().__init__(capacity)
+        self.parts = [OrderedDict() for _ in range(segments)]
+        self.sizes, self.room = [0] * segments, max(1, capacity // segments)
+
+    def _put(self, k: int, key: int, size: int) -> None:
+        self.parts[k][key] = size
+        self.sizes[k] += size
+        while self.sizes[k] > self.room and len(self.parts[k]) > 1 and k:
+            old, s = self.parts[k].popitem(last=False)
+            self.sizes[k] -= s
+            k_down = k - 1
+            self._put(k_down, old, s)
+
+    def hit(self, key: int, next_use: int) -> bool:
+        for k, part in enumerate(self.parts):
+            if key in part:
+                size = part.pop(key)
+                self.sizes[k] -= size
+                self._put(min(k + 1, len(self.parts) - 1), key, size)
+                return True
+        return False
+
+    def insert(self, key: int, size: int, next_use: int) -> None:
+        self.used += size
+        self._put(0, key, size)
+
+    def evict(self) -> None:
+        k = next(i for i, p in enumerate(self.parts) if p)
+        size = self.parts[k].popitem(last=False)[1]
+        self.sizes[k] -= size
+        self.used -= size
+
+
+class S3Fifo(Fifo):
+    """A small queue, a main queue with reinsertion, and ghosts of what the small one dropped."""
+
+    def __init__(self, capacity: int, small: float = 0.1, threshold: int = 2) -> None:
+        super().__init__(capacity)
+        self.small, self.main, self.ghost, self.freq = OrderedDict(), OrderedDict(), OrderedDict(), {}
+        self.small_room, self.threshold = max(1, int(capacity * small)), threshold
+        self.small_used = self.main_used = 0
+
+    def hit(self, key: int, next_use: int) -> bool:
+        if key in self.freq:
+            self.freq[key] += 1
+            return True
+        return False
+
+    def insert(self, key: int, size: int, next_use: int) -> None:
+        self.used += size
+        self.freq[key] = 0
+        if self.ghost.pop(key, None) is not None:
+            self.main[key] = size
+            self.main_used += size
+        else:
+            self.small[key] = size
+            self.small_used += size
+
+    def evict(self) -> None:
+        while self.small and self.main_used <= self.capacity - self.small_room:
+            key, size = self.small.popitem(last=False)
+            self.small_used -= size
+            if self.freq[key] >= self.threshold:
+                self.freq[key] = 0
+                self.main[key] = size
+                self.main_used += size
+                continue
+            self.ghost[key] = size
+            while len(self.ghost) > max(1, self.capacity - self.small_room):
+                self.ghost.popitem(last=False)
+            del self.freq[key]
+            self.used -= size
+            return
+        while True:
+            key, size = self.main.popitem(last=False)
+            if self.freq[key] < 1:
+                break
+            self.freq[key] = min(self.freq[key], 3) - 1
+            self.main[key] = size
+        del self.freq[key]
+        self.main_used -= size
+        self.used -= size
+
+
+POLICIES: dict[str, type[Fifo]] = {"fifo": Fifo, "lru": Lru, "mru": Mru, "clock": Clock, "lfu": Lfu, "belady": Belady, "sieve": Sieve, "slru": SegmentedLru, "s3fifo": S3Fifo}
+
+
+def register_policy(name: str, kind: type[Fifo]) -> None:
+    """Makes a policy of one's own known to simulate()."""
+    POLICIES[name.lower()] = kind

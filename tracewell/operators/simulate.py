@@ -1,0 +1,77 @@
+"""Caches of many policies and sizes over one trace.
+
+A cache is cut into shards by a hash of the object, as partitioned caches are; each (policy, size, shard) is an ordered
+fold. Spark deals requests by shard and sorts them; the fold reads its rows in batches and holds what the shard holds.
+One shard is one cache over the whole trace.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .policies import POLICIES
+from .prep import oracle_annotate
+
+RESULT = "policy string, cache_size bigint, shard int, vtime bigint, obj_id bigint, obj_size bigint, hit boolean"
+
+
+def requests_of_caches(trace: DataFrame, grid: list[tuple[str, int]], shards: int = 1, unit_size: bool = True, admit: str | None = None) -> DataFrame:
+    """Each request at each cache of the grid, with whether it hit. admit: an SQL condition that a miss must meet to come in (evaluated in Spark, before the fold)."""
+    t = oracle_annotate(trace).withColumn("size", F.lit(1).cast("long") if unit_size else F.col("obj_size"))
+    t = t.withColumn("may_enter", F.expr(admit) if admit else F.lit(True)).withColumn("shard", F.pmod(F.xxhash64("obj_id"), F.lit(shards)).cast("int"))
+    caches = F.array(*[F.struct(F.lit(k).alias("policy"), F.lit(s).cast("long").alias("cache_size")) for k, s in grid])
+    each = t.select(F.explode(caches).alias("c"), "shard", "vtime", "obj_id", "obj_size", "size", "next_access_vtime", "may_enter").select("c.*", "shard", "vtime", "obj_id", "obj_size", "size", "next_access_vtime", "may_enter")
+    n = min(len(grid) * shards, 4096)
+    dealt = each.repartition(n, "policy", "cache_size", "shard").sortWithinPartitions("policy", "cache_size", "shard", "vtime")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, cache = None, None
+        for b in batches:
+            hits = []
+            rows = zip(*(b.column(c).to_pylist() for c in ("policy", "cache_size", "shard", "obj_id", "size", "next_access_vtime", "may_enter")), strict=True)
+            for policy, size, shard, obj, need, nxt, may in rows:
+                if (policy, size, shard) != key:
+                    key, cache = (policy, size, shard), POLICIES[policy](max(1, size // shards))
+                hits.append(cache.request(obj, need, nxt) if may else cache.hit(obj, nxt))
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("policy", "cache_size", "shard", "vtime", "obj_id", "obj_size")] + [pa.array(hits, pa.bool_())], names=["policy", "cache_size", "shard", "vtime", "obj_id", "obj_size", "hit"])
+
+    return dealt.mapInArrow(fold, RESULT)
+
+
+def miss_counts(requests: DataFrame, warmup_vtime: int = 0) -> DataFrame:
+    """policy, cache_size, n_req, n_miss, miss_ratio, byte_miss_ratio; requests of the warm-up don't count."""
+    miss = ~F.col("hit")
+    return requests.filter(F.col("vtime") > warmup_vtime).groupBy("policy", "cache_size").agg(
+        F.count("*").alias("n_req"), F.count(F.when(miss, 1)).alias("n_miss"), F.round(F.avg(miss.cast("double")), 6).alias("miss_ratio"),
+        F.round(F.sum(F.when(miss, F.col("obj_size")).otherwise(0)) / F.sum("obj_size"), 6).alias("byte_miss_ratio"),
+    )
+
+
+def simulate(trace: DataFrame, policies: list[str], sizes: list[int], shards: int = 1, unit_size: bool = True, warmup_vtime: int = 0, admit: str | None = None) -> DataFrame:
+    grid = [(p, s) for p in policies for s in sizes]
+    return miss_counts(requests_of_caches(trace, grid, shards, unit_size, admit), warmup_vtime)
+
+
+def miss_trace(trace: DataFrame, policy: str, size: int, shards: int = 1) -> DataFrame:
+    """The requests that a first cache passes on, renumbered by their old order."""
+    misses = requests_of_caches(trace, [(policy, size)], shards).filter("not hit").select("vtime")
+    return trace.join(misses, "vtime")
+
+
+def miss_ratio_reduction(counts: DataFrame, base: str = "fifo") -> DataFrame:
+    """How much less each policy misses than the base one; negative if it misses more."""
+    b = counts.filter(F.col("policy") == base).select("cache_size", F.col("miss_ratio").alias("base"))
+    m = F.col("miss_ratio")
+    gain = F.when(m <= F.col("base"), (F.col("base") - m) / F.col("base")).otherwise(-(m - F.col("base")) / m)
+    return counts.join(b, "cache_size").select("policy", "cache_size", F.round(gain, 6).alias("reduction"))
+
+
+def interval_report(requests: DataFrame, interval: int) -> DataFrame:
+    """Miss ratios per interval of requests, and since the start."""
+    per = requests.groupBy("policy", "cache_size", F.floor((F.col("vtime") - 1) / interval).alias("interval")).agg(F.count("*").alias("n_req"), F.count(F.when(~F.col("hit"), 1)).alias("n_miss"))
+    up = Window.partitionBy("policy", "cache_size").orderBy("interval").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return per.select("policy", "cache_size", "interval", F.round(F.col("n_miss") / F.col("n_req"), 6).alias("miss_ratio"), F.round(F.sum("n_miss").over(up) / F.sum("n_req").over(up), 6).alias("miss_ratio_so_far"))

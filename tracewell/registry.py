@@ -5,11 +5,103 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .operators import analytics as an
+from .operators import distance as di
+from .operators import prep, simulate, topology
+from .plans.oracle import ORACLE
+from .sources.tables import skewed_trace, trace_from_events, trace_from_orders
+
+TRACES = {"events": trace_from_events, "skew": skewed_trace, "orders": trace_from_orders}
+SIZES = [10, 50, 100]
+
+
+def _on(trace: str, f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: f(TRACES[trace](spark, sf_dir))
+
+
+def _annotated(trace: str, f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: f(prep.annotate(TRACES[trace](spark, sf_dir)))
+
+
+def _sim(policy: str, trace: str = "skew", **more) -> Callable[[SparkSession, str], DataFrame]:
+    return _on(trace, lambda t: simulate.simulate(t, [policy], SIZES, **more))
+
+
+def _servers(t: DataFrame) -> DataFrame:
+    """Namespaces stand for servers."""
+    return t.select(F.col("ns").alias("server")).distinct()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    facts = ["vtime", "obj_id", "t", "compulsory_miss", "vtime_since_last", "rtime_since_last", "create_rtime", "prev_size", "overwrite", "first_seen_in_window"]
+    return {
+        "annotate": _annotated("events", lambda a: a.select(*facts)),
+        "oracle_annotate": _on("events", lambda t: prep.oracle_annotate(t).select("vtime", "clock_time", "obj_id", "obj_size", "next_access_vtime")),
+        "write_aware_next": _on("events", prep.write_aware_next),
+        "orders_trace": _on("orders", lambda t: t.select("vtime", "clock_time", "obj_id", "obj_size")),
+        "trace_stat": _annotated("events", an.trace_stat),
+        "x_hit": _annotated("skew", an.x_hit),
+        "top_popular": _annotated("skew", an.top_popular),
+        "op_stat": _annotated("events", an.op_stat),
+        "op_rollup": _annotated("events", an.op_rollup),
+        "req_rate": _annotated("events", an.req_rate),
+        "req_rate_shifted": _annotated("events", an.req_rate_shifted),
+        "req_rate_summary": _annotated("events", an.req_rate_summary),
+        "size_dist": _annotated("events", an.size_dist),
+        "size_heatmap": _annotated("events", an.size_heatmap),
+        "reuse_rt": _annotated("events", an.reuse_rt),
+        "reuse_vt": _annotated("events", an.reuse_vt),
+        "reuse_heatmap": _annotated("events", an.reuse_heatmap),
+        "access_pattern": _annotated("events", an.access_pattern),
+        "popularity": _annotated("skew", an.popularity),
+        "zipf_alpha": _annotated("skew", an.zipf),
+        "zipf_fit": _annotated("orders", an.zipf),
+        "popularity_decay": _annotated("events", an.popularity_decay),
+        "popularity_decay_norm": _annotated("skew", an.popularity_decay_norm),
+        "ttl_dist": _annotated("events", an.ttl_dist),
+        "lifetime": _annotated("events", an.lifetime),
+        "prob_at_age": _annotated("events", an.prob_at_age),
+        "create_future_reuse": _annotated("skew", an.create_future_reuse),
+        "size_change": _annotated("events", an.size_change),
+        "write_reuse": _annotated("events", an.write_reuse),
+        "hist_cdf": _annotated("skew", lambda a: an.cdf(an.popularity(a), "freq", "n_obj")),
+        "one_hit_ratio": _annotated("skew", an.one_hit_ratio),
+        "obj_reuse_stat": _annotated("events", an.obj_reuse_stat),
+        "group_compare": _annotated("skew", an.group_compare),
+        "dist_last_access": _on("events", lambda t: di.access_distances(t).select("vtime", "dist_last")),
+        "dist_first_access": _on("events", lambda t: di.access_distances(t).select("vtime", "dist_first")),
+        "dist_cnt": _on("skew", lambda t: di.access_distances(t).groupBy(F.col("dist_last").alias("dist")).agg(F.count("*").alias("cnt"))),
+        "stack_dist": _on("skew", lambda t: di.stack_distances(t).select("vtime", "obj_id", "stack_dist")),
+        "future_stack_dist": _on("skew", di.future_stack_distances),
+        "lru_mrc": _on("events", di.lru_curve),
+        "lru_mrc_orders": _on("orders", di.lru_curve),
+        "heatmap_stack_dist": _on("skew", lambda t: an.interval_heatmap(di.stack_distances(t), "stack_dist", 1000)),
+        "heatmap_reuse_time": _annotated("events", lambda a: an.interval_heatmap(a, "rtime_since_last", 1000)),
+        "wss": _on("events", prep.working_set),
+        "sample_spatial": _on("events", lambda t: prep.sample_spatial(t, 10, hashed=False).select("vtime", "obj_id")),
+        "sample_temporal": _on("events", lambda t: prep.sample_temporal(t, 10).select("vtime", "obj_id")),
+        "first_last": _on("events", lambda t: t.agg(F.min_by("obj_id", "vtime").alias("first_obj"), F.max_by("obj_id", "vtime").alias("last_obj"), F.count("*").alias("n_req"))),
+        "seek_half": _on("events", lambda t: t.filter(F.col("vtime") > prep.scalar(t, F.floor(F.max("vtime") / 2))).select("vtime", "obj_id")),
+        "sim_lru": _sim("lru", "events"),
+        "sim_fifo": _sim("fifo", "events"),
+        "sim_mru": _sim("mru", "events"),
+        "sim_clock": _sim("clock"),
+        "sim_lfu": _sim("lfu"),
+        "sim_sieve": _sim("sieve"),
+        "sim_belady": _sim("belady"),
+        "sim_slru": _sim("slru"),
+        "sim_s3fifo": _sim("s3fifo"),
+        "sim_sharded": _sim("s3fifo", shards=8),
+        "adm_size": _on("skew", lambda t: simulate.simulate(t, ["lru"], SIZES, admit="obj_size < 100")),
+        "mrc_reduction": _on("skew", lambda t: simulate.miss_ratio_reduction(simulate.simulate(t, ["fifo", "lru", "clock", "sieve", "s3fifo"], SIZES))),
+        "interval_report": _on("skew", lambda t: simulate.interval_report(simulate.requests_of_caches(t, [("lru", 100)]), 1000)),
+        "miss_trace": _on("skew", lambda t: simulate.miss_trace(t, "lru", 100).select("vtime", "obj_id")),
+        "topo_hierarchy": _on("skew", lambda t: topology.hierarchy(t, "lru", 64, 4)),
+        "topo_cluster": _on("skew", lambda t: topology.server_load(t, _servers(t))),
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
