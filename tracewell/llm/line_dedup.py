@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bit
+from .common import ascii_lower, bit, written
 
 LARGEST = 2**63 - 1
 
@@ -37,11 +37,13 @@ def line_hashes(docs: DataFrame, min_chars: int = 10) -> DataFrame:
 
 def drop_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     """Per document that loses lines: doc, text_hash, n_dropped, and a map from word index to a word of 64 drop bits."""
-    lines = line_hashes(docs, min_chars)
+    # The texts are read once for this table; sampling, sorting and joining work on hashes only.
+    lines = written(line_hashes(docs, min_chars), "line-hashes")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = lines.repartitionByRange(n, "h1", "h2", "doc", "pos").sortWithinPartitions("h1", "h2", "doc", "pos")
     firsts = ranged.groupBy("h1", "h2").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc")).filter("first_doc < last_doc").drop("last_doc")
-    gone = ranged.join(firsts, ["h1", "h2"]).filter("doc > first_doc")
+    # Two plain tables meet, so that Spark can split the partition of a very common line.
+    gone = lines.join(written(firsts, "line-firsts"), ["h1", "h2"]).filter("doc > first_doc")
     bits = bit(F.col("pos") % 64)
     word = F.struct(F.floor(F.col("pos") / 64).cast("int").alias("word"), bits.alias("bits"))
     return (

@@ -51,12 +51,10 @@ SELECT doc_id, n_lines, n_dropped, sha256(kept_text) AS kept_sha256 FROM docs JO
 NGRAM_JACCARD = rf"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {A_Z}), '{WORD}') AS ws FROM documents
-), sets AS (
-  SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(ws) - 3, 2)), i -> array_to_string(ws[i : i + 4], ' '))) AS grams FROM words WHERE len(ws) > 0
 ), each_gram AS (
-  SELECT doc_id, hash(unnest(grams)) AS g FROM sets
+  SELECT DISTINCT doc_id, hash(array_to_string(ws[i : i + 4], ' ')) AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM words WHERE len(ws) > 0)
 ), sizes AS (
-  SELECT doc_id, len(grams) AS n FROM sets
+  SELECT doc_id, count(*) AS n FROM each_gram GROUP BY doc_id
 ), common AS (
   SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM each_gram a JOIN each_gram b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
 ), links AS (
