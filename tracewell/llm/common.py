@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 ASCII_SPACE = r"\x20\x09-\x0D"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
-#: No array that a text gives is longer; `slice` wants a length.
-ALL = 2**31 - 1
+#: No array that a text gives is longer; `slice` wants a length, and adds it to the start as an int.
+ALL = 2**30
 
 _scratch: list[tuple[SparkSession, str]] = []
 
@@ -71,3 +72,21 @@ def release_scratch(spark: SparkSession) -> None:
 def broadcast_if_small(df: DataFrame, rows: int, max_rows: int) -> DataFrame:
     """Broadcast only what was counted and found small; otherwise the join shuffles."""
     return F.broadcast(df) if rows <= max_rows else df
+
+
+class Recent(dict):
+    """Values that make() gives for keys, kept for the keys that came up lately: when `limit` are held they become the old ones, and what is asked for again moves over."""
+
+    def __init__(self, make: Callable, limit: int) -> None:
+        super().__init__()
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, key):
+        got = self.old.get(key)
+        if got is None:
+            got = self.make(key)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = got
+        return got

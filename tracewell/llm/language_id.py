@@ -30,7 +30,7 @@ class LanguageParams:
     dim: int = 1024
     n: int = 3
     seed: int = 5
-    #: Letters are handled in pieces of so many, so that very long texts need no more memory.
+    #: So many n-grams are gathered before they are counted and summed up.
     piece: int = 1 << 20
 
 
@@ -70,21 +70,18 @@ class Profiles:
             out *= np.roll(np.array([self.letter(int(c)) for c in each]).reshape(-1, self.p.dim), self.p.n - 1 - place, axis=1)[back]
         return out
 
-    def codes(self, text: str | None) -> Iterator[np.ndarray]:
-        """n-gram codes of a whole text, words separated by single blanks."""
+    def codes(self, text: str | None) -> np.ndarray:
+        """n-gram codes of a whole text, its words separated by single blanks."""
         n = self.p.n
         raw = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)
-        for start in range(0, max(len(raw), 1), self.p.piece):
-            part = _lower_letters()[raw[max(0, start - n + 1) : start + self.p.piece]].astype(np.int64)
-            part = part[(part != 32) | (np.concatenate([[0], part[:-1]]) != 32)] if len(part) else part
-            if start == 0:
-                part = np.concatenate([[32], part, [32]]) if (part != 32).any() else part[:0]
-                part = part[(part != 32) | (np.concatenate([[0], part[:-1]]) != 32)] if len(part) else part
-            if len(part) >= n:
-                code = part[: len(part) - n + 1]
-                for k in range(1, n):
-                    code = (code << 21) | part[k : len(part) - n + 1 + k]
-                yield code
+        low = np.concatenate([[32], _lower_letters()[raw], [32]]).astype(np.int64)
+        low = low[(low != 32) | (np.concatenate([[0], low[:-1]]) != 32)]
+        if len(low) < n:
+            return np.zeros(0, np.int64)
+        code = low[: len(low) - n + 1]
+        for k in range(1, n):
+            code = (code << 21) | low[k : len(low) - n + 1 + k]
+        return code
 
     def bundles(self, texts: list[str | None]) -> np.ndarray:
         """A row for each text: the sum of its n-grams' vectors."""
@@ -105,12 +102,13 @@ class Profiles:
             owners, codes, size = [], [], 0
 
         for i, text in enumerate(texts):
-            for code in self.codes(text):
+            code = self.codes(text)
+            if len(code):
                 owners.append(np.full(len(code), i))
                 codes.append(code)
                 size += len(code)
-                if size >= self.p.piece:
-                    flush()
+            if size >= self.p.piece:
+                flush()
         flush()
         return out
 

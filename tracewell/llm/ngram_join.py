@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, written
+from .common import Recent, broadcast_if_small, written
 from .links import components, first_and_last, with_smallest
 
 
@@ -43,21 +43,12 @@ class JoinParams:
     block: int = 256
     #: Ids of documents whose sets are needed are broadcast up to this number, and joined by a shuffle beyond it.
     max_broadcast_ids: int = 1_000_000
-    cache_words: int = 400_000
+    cache_words: int = 250_000
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, kept for the most recent ones."""
-
-    def __init__(self, limit: int) -> None:
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        got = self[word] = xxhash.xxh3_64_intdigest(word)
-        return got
+def word_hashes(limit: int) -> Recent:
+    """64-bit hashes of words (bytes), kept for the recent ones."""
+    return Recent(xxhash.xxh3_64_intdigest, limit)
 
 
 def _scramble(x: np.ndarray) -> np.ndarray:
@@ -66,7 +57,7 @@ def _scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingles(text: str | None, hashes: WordHashes, n: int = 5) -> np.ndarray:
+def shingles(text: str | None, hashes: Recent, n: int = 5) -> np.ndarray:
     """The sorted distinct 64-bit hashes of a whole text's word n-grams. bytes.lower() and bytes.split() treat A-Z and the six ASCII spaces only, as asked."""
     ws = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not ws:
@@ -84,7 +75,7 @@ def _count_sketch(docs: DataFrame, p: JoinParams) -> DataFrame:
     parts, size = 64, 1 << p.sketch_bits
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, total = WordHashes(p.cache_words), np.zeros(size, np.int64)
+        hashes, total = word_hashes(p.cache_words), np.zeros(size, np.int64)
         for b in batches:
             for text in b["text"]:
                 np.add.at(total, (shingles(text, hashes, p.words) >> np.uint64(64 - p.sketch_bits)).astype(np.int64), 1)
@@ -116,7 +107,7 @@ def _signatures(docs: DataFrame, classes: np.ndarray, p: JoinParams) -> DataFram
     table = spark.sparkContext.broadcast(classes)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, rank = WordHashes(p.cache_words), table.value
+        hashes, rank = word_hashes(p.cache_words), table.value
         for b in batches:
             n, digest, prefix, bitmap = [], [], [], []
             for text in b.column("text").to_pylist():
@@ -142,7 +133,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, p: JoinParams) -> DataFrame:
     n = ids.count()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes(p.cache_words)
+        hashes = word_hashes(p.cache_words)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([shingles(t, hashes, p.words).tobytes() for t in b.column("text").to_pylist()], pa.binary())], names=["id", "arr"])
 

@@ -62,11 +62,11 @@ WITH RECURSIVE words AS (
 ), both_ways AS (
   SELECT a, b FROM links UNION SELECT b, a FROM links
 ), reach AS (
-  SELECT a AS doc_id, a AS at FROM both_ways
+  SELECT a AS doc_id, a AS other FROM both_ways
   UNION
-  SELECT r.doc_id, l.b FROM reach r JOIN both_ways l ON r.at = l.a
+  SELECT r.doc_id, l.b FROM reach r JOIN both_ways l ON r.other = l.a
 ), comps AS (
-  SELECT doc_id, min(at) AS component_id FROM reach GROUP BY doc_id
+  SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
 )
 SELECT w.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, w.doc_id) AS component_id
 FROM words w LEFT JOIN sizes USING (doc_id) LEFT JOIN comps USING (doc_id)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import Recent, held_out
 
 SCORE_SCHEMA = "doc_id bigint, score double"
 
@@ -45,7 +45,7 @@ class ModelParams:
     threshold: float = 0.3
     seed: int = 17
     #: Words whose scores an executor's worker keeps at most.
-    cache_words: int = 400_000
+    cache_words: int = 250_000
 
 
 def features(word: str, p: ModelParams) -> list[int]:
@@ -119,23 +119,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, p: ModelParams) -> list[tu
 
 def scorer(bucket_scores: np.ndarray, bias: float, p: ModelParams):
     """A function from texts to scores that keeps each word's sum and number of features."""
-    cache: dict[str, tuple[float, int]] = {}
-
-    def word_share(word: str) -> tuple[float, int]:
-        got = cache.get(word)
-        if got is None:
-            ids = features(word, p)
-            got = (float(bucket_scores[ids].sum()), len(ids))
-            if len(cache) >= p.cache_words:
-                cache.clear()
-            cache[word] = got
-        return got
+    def share_of(word: str) -> tuple[float, int]:
+        ids = features(word, p)
+        return float(bucket_scores[ids].sum()), len(ids)
+
+    shares = Recent(share_of, p.cache_words)
 
     def score(text: str | None) -> float:
         total, n = 0.0, 0
         # Sorted, so that the sum doesn't depend on the words' order of arrival.
         for word, k in sorted(Counter((text or "").split()).items()):
-            s, m = word_share(word)
+            s, m = shares[word]
             total += k * s
             n += k * m
         return float(1 / (1 + np.exp(-(total / max(n, 1) + bias))))
@@ -143,9 +137,8 @@ def scorer(bucket_scores: np.ndarray, bias: float, p: ModelParams):
     return score
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, p: ModelParams = ModelParams(), keep: list[str] | None = None) -> DataFrame:
-    """The columns to keep (doc_id by default) with score and predicted."""
-    keep = keep or ["doc_id"]
+def _scored(docs: DataFrame, labels: DataFrame, p: ModelParams, keep: list[str]) -> DataFrame:
+    """The columns to keep as c0, c1, ... (so that no name clashes), and score."""
     spark = docs.sparkSession
     bucket_scores, bias = train(training_rows(docs, labels, p), p)
     model = spark.sparkContext.broadcast((bucket_scores, bias))  # its size is that of the bucket table
@@ -156,11 +149,14 @@ def quality_scores(docs: DataFrame, labels: DataFrame, p: ModelParams = ModelPar
             scores = pa.array([score(t) for t in b.column(len(keep)).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], scores], names=[*b.schema.names[: len(keep)], "score"])
 
-    # Columns travel under neutral names, so that none clashes.
     renamed = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col("text").alias("the_text"))
     schema = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)) + ", score double"
-    scored = renamed.mapInArrow(score_all, schema)
-    return scored.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "score", (F.col("score") >= p.threshold).cast("int").alias("predicted"))
+    return renamed.mapInArrow(score_all, schema)
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, p: ModelParams = ModelParams()) -> DataFrame:
+    """Per document: doc_id, score, predicted."""
+    return _scored(docs, labels, p, ["doc_id"]).select(F.col("c0").alias("doc_id"), "score", (F.col("score") >= p.threshold).cast("int").alias("predicted"))
 
 
 def quality_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -170,4 +166,5 @@ def quality_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame, p: ModelParams = ModelParams()) -> DataFrame:
     """docs without those that the classifier rejects. Scores are joined to nothing: each row is scored where it is."""
-    return quality_scores(docs, labels, p, docs.columns).filter("predicted = 1").select(*docs.columns)
+    kept = _scored(docs, labels, p, docs.columns).filter(F.col("score") >= p.threshold)
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -15,6 +15,8 @@ from array import array
 import numpy as np
 import regex
 
+from .common import Recent
+
 #: The pattern of the pre-tokenizer, and the characters for which Python and the library agree on classes.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 UNPROVEN = re.compile(r"\s |[^\t\n\x0b\x0c\r\x20-\x7e\xa1-ɏ]|<\|")
@@ -30,7 +32,7 @@ def byte_letters() -> dict[int, str]:
 class Encoder:
     """texts to uint32 ids, as little-endian bytes."""
 
-    def __init__(self, path: str, max_parts: int = 300_000, max_pieces: int = 500_000) -> None:
+    def __init__(self, path: str, max_parts: int = 200_000, max_pieces: int = 400_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -38,24 +40,14 @@ class Encoder:
         self.model = self.tokenizer.model
         self.letters = byte_letters()
         self.pieces_of = regex.compile(PIECES).findall
-        outer = self
-
-        class Pieces(dict):
-            def __missing__(self, piece: str) -> bytes:
-                if len(self) >= max_pieces:
-                    self.clear()
-                ids = array("I", [t.id for t in outer.model.tokenize(piece.encode().decode("latin-1").translate(outer.letters))])
-                got = self[piece] = ids.tobytes()
-                return got
-
-        class Parts(dict):
-            def __missing__(self, part: str) -> bytes:
-                if len(self) >= max_parts:
-                    self.clear()
-                got = self[part] = b"".join(map(outer.pieces.__getitem__, outer.pieces_of(part)))
-                return got
-
-        self.pieces, self.parts = Pieces(), Parts()
+        self.pieces = Recent(self._piece_ids, max_pieces)
+        self.parts = Recent(self._part_ids, max_parts)
+
+    def _piece_ids(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
+
+    def _part_ids(self, part: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.pieces_of(part)))
 
     def ids(self, text: str | None) -> bytes:
         text = text or ""
