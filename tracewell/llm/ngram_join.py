@@ -39,7 +39,7 @@ class JoinParams:
     words: int = 5
     percent: int = 75
     sketch_bits: int = 20
-    bitmap_bits: int = 2048
+    bitmap_bits: int = 1024
     block: int = 256
     #: Ids of documents whose sets are needed are broadcast up to this number, and joined by a shuffle beyond it.
     max_broadcast_ids: int = 1_000_000
@@ -51,6 +51,10 @@ def word_hashes(limit: int) -> Recent:
     return Recent(xxhash.xxh3_64_intdigest, limit)
 
 
+#: Odd multipliers, one for each place in an n-gram; powers of one fixed odd number.
+PLACES = [pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(16)]
+
+
 def _scramble(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -64,10 +68,12 @@ def shingles(text: str | None, hashes: Recent, n: int = 5) -> np.ndarray:
         return np.zeros(0, np.uint64)
     h = np.fromiter(map(hashes.__getitem__, ws), np.uint64, len(ws))
     k = min(n, len(ws))
-    sums = np.full(len(ws) - k + 1, k, np.uint64)
-    for j in range(k):
-        sums = _scramble(sums + h[j : len(ws) - k + 1 + j])
-    return np.unique(sums)
+    end = len(ws) - k + 1
+    sums = h[:end] * np.uint64(PLACES[0])
+    for j in range(1, k):
+        sums += h[j : j + end] * np.uint64(PLACES[j])
+    sums = np.sort(_scramble(sums + np.uint64(k)))
+    return sums[np.concatenate([[True], sums[1:] != sums[:-1]])]
 
 
 def _count_sketch(docs: DataFrame, p: JoinParams) -> DataFrame:
@@ -113,12 +119,12 @@ def _signatures(docs: DataFrame, classes: np.ndarray, p: JoinParams) -> DataFram
             for text in b.column("text").to_pylist():
                 s = shingles(text, hashes, p.words)
                 keep = len(s) - (p.percent * len(s) + 99) // 100 + 1 if len(s) else 0
-                order = (rank[(s >> np.uint64(64 - p.sketch_bits)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (_scramble(s) >> np.uint64(8))
+                order = (rank[(s >> np.uint64(64 - p.sketch_bits)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | ((s * np.uint64(PLACES[0])) >> np.uint64(8))
                 if keep < len(order):
                     order = np.partition(order, keep - 1)[:keep]
                 n.append(len(s))
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                prefix.append(order.view(np.int64))
+                prefix.append((order ^ np.uint64(1 << 63)).view(np.int64))  # signed longs in the same order
                 bitmap.append(np.packbits((np.bincount((s & np.uint64(p.bitmap_bits - 1)).astype(np.int64), minlength=p.bitmap_bits) & 1).astype(np.uint8)).tobytes())
             flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in prefix])]).astype(np.int32)
@@ -140,6 +146,26 @@ def _sets_of(docs: DataFrame, ids: DataFrame, p: JoinParams) -> DataFrame:
     return docs.select(F.col("doc_id").alias("id"), "text").join(broadcast_if_small(ids, n, p.max_broadcast_ids), "id", "left_semi").mapInArrow(make, "id bigint, arr binary")
 
 
+def _overlap_bound(n_a: np.ndarray, n_b: np.ndarray, differ: np.ndarray, p: JoinParams) -> np.ndarray:
+    """Whether sets of these sizes, whose parity bitmaps differ in so many bits, may link."""
+    overlap = (n_a + n_b - differ) // 2
+    return (100 * np.minimum(n_a, n_b) >= p.percent * np.maximum(n_a, n_b)) & (100 * overlap >= p.percent * (n_a + n_b - overlap))
+
+
+def _possible(pairs: DataFrame, bitmaps: DataFrame, p: JoinParams) -> DataFrame:
+    """The pairs (a, b) whose sizes and bitmaps leave a link possible."""
+    side = lambda c: bitmaps.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bitmap").alias(f"bits_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("bits_a", "bits_b"))
+            keep = _overlap_bound(b.column("n_a").to_numpy(), b.column("n_b").to_numpy(), np.bitwise_count(x ^ y).sum(1, dtype=np.int64), p)
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep))
+
+    return both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(check, "a bigint, b bigint").distinct()
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, p: JoinParams) -> DataFrame:
     """The pairs (a, b) whose sets link."""
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "join-ids")
@@ -186,11 +212,8 @@ def _tile_pairs(tiles: DataFrame, p: JoinParams) -> DataFrame:
             got = []
             for i in first:
                 js = second[(second > i) & (comp[second] != comp[i])]
-                js = js[100 * np.minimum(n[js], n[i]) >= p.percent * np.maximum(n[js], n[i])]
                 if len(js):
-                    differ = np.bitwise_count(bits[js] ^ bits[i]).sum(1, dtype=np.int64)
-                    overlap = (n[js] + n[i] - differ) // 2
-                    js = js[100 * overlap >= p.percent * (n[js] + n[i] - overlap)]
+                    js = js[_overlap_bound(n[js], n[i], np.bitwise_count(bits[js] ^ bits[i]).sum(1, dtype=np.int64), p)]
                     got.append((np.full(len(js), ids[i]), ids[js]))
             a = np.concatenate([g[0] for g in got]) if got else np.zeros(0, np.int64)
             b = np.concatenate([g[1] for g in got]) if got else np.zeros(0, np.int64)
@@ -222,27 +245,33 @@ def near_duplicates(docs: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
     chosen = real.withColumnRenamed("doc_id", "id").join(reps, ["digest", "id"], "left_semi").dropDuplicates(["digest", "id"])
     chosen = written(chosen.select("id", F.col("n_shingles").alias("n"), "prefix", "bitmap"), "join-chosen")
 
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / p.percent)))
-    by_size = Window.partitionBy("token").orderBy("n", "id")
-    in_band = Window.partitionBy("token", "band").orderBy("n", "id")
-    tokens = chosen.select("id", "n", band.alias("band"), F.explode("prefix").alias("token"))
-    shared = tokens.withColumn("members", F.count("*").over(Window.partitionBy("token"))).filter("members > 1")
-    starred = shared.withColumn("before", F.lag("id").over(by_size)).withColumn("first", F.first("id").over(in_band))
+    by_token, of_doc = Window.partitionBy("token"), Window.partitionBy("id").orderBy("token")
+    tokens = chosen.select("id", F.explode("prefix").alias("token"))
+    shared = tokens.withColumn("members", F.count("*").over(by_token)).filter("members > 1").select("token", "id")
+    # A tile is left out if all its members have the same shared hash before this one: they all meet in that one's tile.
+    # So a passage that documents share, with many hashes in their prefixes, makes one tile and not many.
+    before = shared.withColumn("prev", F.lag("token").over(of_doc))
+    marked = before.withColumn("low", F.min("prev").over(by_token)).withColumn("high", F.max("prev").over(by_token)).withColumn("open", F.count(F.when(F.col("prev").isNull(), 1)).over(by_token))
+    kept = marked.filter("open > 0 or low <> high").select("token", "id")
+    sizes = chosen.select("id", F.col("n"), F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / p.percent))).alias("band")).dropDuplicates(["id"])
+    sized = kept.join(sizes, "id")
+    starred = sized.withColumn("before", F.lag("id").over(by_token.orderBy("n", "id"))).withColumn("first", F.first("id").over(Window.partitionBy("token", "band").orderBy("n", "id")))
     starred = written(starred.select("token", "id", "n", "before", "first"), "join-shared")
+    bitmaps = chosen.select("id", "n", "bitmap")
     stars = starred.select("id", F.explode(F.array("before", "first")).alias("to")).filter("to is not null and to <> id")
-    stars = written(stars.select(F.greatest("id", "to").alias("a"), F.least("id", "to").alias("b")).distinct(), "join-stars")
+    stars = written(_possible(stars.select(F.greatest("id", "to").alias("a"), F.least("id", "to").alias("b")).distinct(), bitmaps, p), "join-stars")
     links = written(_verified(stars, docs, p), "join-links")
     known = components(links)
 
     members = with_smallest(starred.select("token", "id", "n"), known)
     split = first_and_last(members, "token", "component").filter("lowest <> highest").drop("lowest", "highest")
-    tiles = written(split.join(chosen.select("id", "bitmap").dropDuplicates(["id"]), "id"), "join-tiles")
-    more = written(_tile_pairs(tiles, p).join(stars, ["a", "b"], "left_anti"), "join-pairs")
+    tiles = split.join(bitmaps.drop("n").dropDuplicates(["id"]), "id")
+    more = written(_tile_pairs(written(tiles, "join-tiles"), p).join(stars, ["a", "b"], "left_anti"), "join-pairs")
     found = links.unionByName(_verified(more, docs, p))
     comps = components(found)
 
     of_set = with_smallest(reps, comps).select("digest", "component")
-    return signed.join(of_set, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return signed.join(of_set, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
