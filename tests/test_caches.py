@@ -1,0 +1,100 @@
+"""Policies against plain list models, and against one another."""
+
+import random
+
+import pytest
+
+from tracewell.operators import simulate
+from tracewell.operators.policies import POLICIES
+
+KEYS = [random.Random(4).choices(range(60), weights=[1 / (k + 1) for k in range(60)], k=3000), [k % 30 for k in range(600)]]
+
+
+def next_uses(keys):
+    last, out = {}, [0] * len(keys)
+    for i in range(len(keys) - 1, -1, -1):
+        out[i] = last.get(keys[i], -1)
+        last[keys[i]] = i + 1
+    return out
+
+
+def misses(policy, keys, size):
+    cache = POLICIES[policy](size)
+    n = 0
+    for k, nxt in zip(keys, next_uses(keys), strict=True):
+        n += not cache.request(k, 1, nxt)
+        assert cache.used <= size
+    return n
+
+
+def model(policy, keys, size):
+    """The policies as operations on one list, oldest first."""
+    held, freq, mark, hand, n = [], {}, set(), None, 0
+    for i, k in enumerate(keys):
+        if k in held:
+            if policy in ("lru", "mru"):
+                held.remove(k)
+                held.append(k)
+            mark.add(k)
+            freq[k] = (freq[k][0] + 1, i)
+            continue
+        n += 1
+        if len(held) >= size:
+            if policy in ("fifo", "lru"):
+                held.pop(0)
+            elif policy == "mru":
+                held.pop()
+            elif policy == "lfu":
+                held.remove(min(held, key=lambda x: freq[x]))
+            elif policy == "belady":
+                held.remove(max(held, key=lambda x: (keys.index(x, i) if x in keys[i:] else 10**9, x)))
+            elif policy == "clock":
+                while held[0] in mark:
+                    mark.discard(held[0])
+                    held.append(held.pop(0))
+                held.pop(0)
+            elif policy == "sieve":
+                at = held.index(hand) if hand in held else 0
+                while held[at] in mark:
+                    mark.discard(held[at])
+                    at = (at + 1) % len(held)
+                held.pop(at)
+                hand = held[at] if at < len(held) else None
+        held.append(k)
+        mark.discard(k)
+        freq[k] = (1, i)
+    return n
+
+
+@pytest.mark.parametrize("policy", ["fifo", "lru", "mru", "lfu", "clock", "sieve", "belady"])
+@pytest.mark.parametrize("size", [1, 5, 20])
+def test_models(policy, size):
+    for keys in KEYS:
+        assert misses(policy, keys, size) == model(policy, keys, size)
+
+
+@pytest.mark.parametrize("policy", sorted(POLICIES))
+def test_bounds(policy):
+    for keys in KEYS:
+        for size in (4, 25):
+            assert misses("belady", keys, size) <= misses(policy, keys, size) <= len(keys)
+        if policy not in ("slru",):
+            assert misses(policy, keys, 100) == len(set(keys))
+
+
+def test_scan_longer_than_the_cache():
+    scan = [k % 30 for k in range(600)]
+    assert misses("lru", scan, 20) == misses("fifo", scan, 20) == 600
+    assert misses("mru", scan, 20) < 300
+
+
+def test_sizes_in_bytes_and_shards(spark):
+    rows = [(i + 1, i, k, 1 + k % 7, "get", None, 0) for i, k in enumerate(KEYS[0])]
+    trace = spark.createDataFrame(rows, "vtime bigint, clock_time bigint, obj_id bigint, obj_size bigint, op string, ttl int, ns int")
+    got = {r["policy"]: r for r in simulate.simulate(trace, ["lru", "s3fifo"], [50], unit_size=False).collect()}
+    cache = POLICIES["lru"](50)
+    assert got["lru"]["n_miss"] == sum(not cache.request(k, 1 + k % 7, -1) for k in KEYS[0])
+    many = simulate.simulate(trace, ["lru"], [40], shards=4).first()
+    assert many["n_req"] == len(rows) and many["n_miss"] >= 60
+    warm = simulate.simulate(trace, ["lru"], [40], warmup_vtime=1000).first()
+    assert warm["n_req"] == len(rows) - 1000
