@@ -122,10 +122,14 @@ def test_mix(request, which):
     assert rows(mixing.taken_words(d), "doc_id", "size", "taken") == rows(mixing.taken_words(d), "doc_id", "size", "taken")
 
 
-def test_permutation_is_one(spark):
-    for n in (1, 2, 7, 1000):
-        got = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(99).cast("long")).alias("x")).collect()
-        assert sorted(r["x"] for r in got) == list(range(n))
+def test_permutations_are_such(spark):
+    sources = spark.createDataFrame([("=a", 1, 1, 1), ("=b", 5000, 5001, 10002), ("=c", 0, 1, 1), ("=d", 7, 7, 0)], "key string, whole long, blocks long, slots long")
+    got = mixing.permutations(sources, mixing.MixParams()).collect()
+    assert [(r["at"], r["block"]) for r in got if r["key"] == "=a"] == [(0, 0)] and not [r for r in got if r["key"] in ("=c", "=d")]
+    for turn in (0, 1):
+        b = sorted((r["at"], r["block"]) for r in got if r["key"] == "=b" and r["pass"] == turn)
+        assert [x for x, _ in b] == list(range(5000)) == sorted(y for _, y in b)
+        assert sum(abs(x - y) for x, y in b) / 5000 > 1000
 
 
 def test_mixed_documents_hold_the_taken_words(awkward, docs, empty):

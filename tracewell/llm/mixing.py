@@ -20,8 +20,7 @@ from pyspark.sql import functions as F
 from .common import ASCII_SPACE, broadcast_if_small, words, written
 
 #: Fixed values of the integer hash: a prime modulus and multipliers below it.
-PRIME, MULT_A, MULT_B, MULT_C = 2147483647, 48271, 16807, 69621
-ROUNDS = 10
+PRIME, MULT_A, MULT_C = 2147483647, 48271, 69621
 #: Each source's documents are laid out in so many runs, so that a source with a third of all rows is not one sort.
 RUNS = 1024
 MAX_BROADCAST_SOURCES = 100_000
@@ -127,33 +126,34 @@ def shard_draws(sources: DataFrame, p: MixParams) -> DataFrame:
     return scaled.unionByName(missed).filter("high > low")
 
 
-def permuted(position: Column, n: Column, key: Column) -> Column:
-    """A pseudorandom permutation of 0..n-1 (swap-or-not): each round pairs x with k - x mod n and swaps the two if a bit of the larger one's hash is set."""
-
-    def one_round(x, r):
-        k = _mix((key + r * MULT_B) % PRIME) % n
-        other = F.pmod(k - x, n)
-        bit = _mix((F.greatest(x, other) % PRIME + key + r * MULT_C) % PRIME)
-        return F.when(F.floor(bit / 4096) % 2 == 1, other).otherwise(x)
-
-    return F.aggregate(F.sequence(F.lit(1).cast("long"), F.lit(ROUNDS).cast("long")), position, one_round)
+def permutations(sources: DataFrame, p: MixParams) -> DataFrame:
+    """key, pass, at, block: for each source and pass the blocks of full length in a pseudorandom order, at = 0, 1, ... A block's place is the rank of its hash, found in runs of hashes and then over the runs."""
+    n_tasks, piece = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4096
+    passes = sources.filter("whole > 0 and slots > 0").select("key", "whole", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("slots") / F.col("blocks")) - 1)).alias("pass"))
+    pieces = passes.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("whole") - 1) / piece))).alias("piece")).repartition(n_tasks, "key", "pass", "piece")
+    blocks = pieces.select("key", "pass", F.explode(F.sequence(F.col("piece") * piece, F.least(F.col("whole"), (F.col("piece") + 1) * piece) - 1)).alias("block"))
+    hashed = blocks.withColumn("h", F.xxhash64("key", "pass", "block", F.lit(p.seed))).withColumn("run", F.shiftrightunsigned("h", 54))
+    over_runs = Window.partitionBy("key", "pass").orderBy("run").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    runs = hashed.groupBy("key", "pass", "run").agg(F.count("*").alias("n")).select("key", "pass", "run", (F.sum("n").over(over_runs) - F.col("n")).alias("base"))
+    in_run = hashed.withColumn("rn", F.row_number().over(Window.partitionBy("key", "pass", "run").orderBy("h", "block")))
+    return in_run.join(runs, ["key", "pass", "run"]).select("key", "pass", (F.col("base") + F.col("rn") - 1).alias("at"), "block")
 
 
 def slots(sources: DataFrame, p: MixParams) -> DataFrame:
     """The mix: key, shard, slot, pass, block, and how many words of the block (from its first) the slot takes."""
-    draws = shard_draws(sources, p).repartition("key", "shard")
+    # An explicit number: few rows come in here, but many go out.
+    n_tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    draws = shard_draws(sources, p).repartition(n_tasks, "key", "shard")
     each = draws.select("key", "shard", F.explode(F.sequence("low", F.col("high") - 1)).alias("slot"))
     few = sources.select("key", "rank", "source_size", "whole", "blocks", "slots", "last_words")
     each = each.join(broadcast_if_small(few, few.count(), MAX_BROADCAST_SOURCES), "key")
-    at, turn = F.col("slot") % F.col("blocks"), F.floor(F.col("slot") / F.col("blocks"))
-    key = (F.col("rank") * 1009 + F.col("pass") * 9176 + p.seed) % PRIME
+    each = each.withColumn("at", F.col("slot") % F.col("blocks")).withColumn("pass", F.floor(F.col("slot") / F.col("blocks")))
+    # Full blocks by permutation; the short block at a source's end comes last in each pass.
+    short = each.filter("at >= whole").withColumn("block", F.col("at"))
+    each = each.filter("at < whole").join(permutations(sources, p), ["key", "pass", "at"]).select(*short.columns).unionByName(short)
     full = F.when(F.col("block") < F.col("whole"), F.lit(p.block_words)).otherwise(F.col("source_size") - F.col("whole") * p.block_words)
-    return (
-        each.withColumn("at", at).withColumn("pass", turn)
-        .withColumn("block", F.when(F.col("at") < F.col("whole"), permuted(F.col("at"), F.col("whole"), key)).otherwise(F.col("at")))
-        .withColumn("n_words", F.when((F.col("slot") == F.col("slots") - 1) & F.col("last_words").isNotNull(), F.col("last_words")).otherwise(full))
-        .select("key", "shard", "slot", "pass", "block", "n_words")
-    )
+    last = (F.col("slot") == F.col("slots") - 1) & F.col("last_words").isNotNull()
+    return each.select("key", "shard", "slot", "pass", "block", F.when(last, F.col("last_words")).otherwise(full).alias("n_words"))
 
 
 def _pieces(packed: DataFrame, p: MixParams) -> DataFrame:
