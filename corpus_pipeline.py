@@ -55,13 +55,12 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to the documents of sf_dir."""
     docs = read(spark, sf_dir, "documents")
-    last = None
-    for name, stage in STAGES:
+    for _, stage in STAGES:
         out = stage(spark, docs, sf_dir)
-        path = f"{shared_dir(spark, 'unused').rpartition('/')[0]}/pipeline-{abs(hash((name, id(out))))}"
-        out.write.mode("overwrite").parquet(path)
-        last = docs = spark.read.schema(out.schema).parquet(path)
-    return last
+        path = shared_dir(spark, "pipeline", scratch=False)
+        out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+    return docs
 
 
 #: The draws, the classifier and the tokenizer are beyond SQL; tests hold the stages against brute force.

@@ -43,14 +43,15 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share. Where that is unset (tests, local mode) one is made and set."""
+def shared_dir(spark: SparkSession, label: str, scratch: bool = True) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share. Where that is unset (tests, local mode) one is made and set. Scratch folders go with release_scratch()."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
-    _scratch.append((spark, path))
+    if scratch:
+        _scratch.append((spark, path))
     return path
 
 
