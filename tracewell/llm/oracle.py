@@ -72,4 +72,49 @@ SELECT w.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, w.doc_id)
 FROM words w LEFT JOIN sizes USING (doc_id) LEFT JOIN comps USING (doc_id)
 """
 
-ORACLE = {"op6_ngram_jaccard": NGRAM_JACCARD, "op7_decontaminate": DECONTAMINATE, "op8_line_dedup": LINE_DEDUP}
+_KEYWORDS = "[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"
+_ASSIGN = rf"""({_KEYWORDS})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_ALLOW = "(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|example|sample|dummy|placeholder|your[_-]|x{6}|0{8}|abcdefgh|12345678"
+
+
+def _found(kind: int, pattern: str) -> str:
+    return f"SELECT rid, {kind} AS kind, regexp_extract_all(t, '{pattern}', 0) AS ms, string_split_regex(t, '{pattern}') AS gs FROM docs WHERE regexp_matches(t, '{pattern}')"
+
+
+#: Matches of the patterns by position, and windows of 20 characters whose entropy is over the bound of their class.
+SECRETS = rf"""
+WITH docs AS (
+  SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS t FROM documents
+), found AS (
+  {_found(0, _ASSIGN)} UNION ALL {_found(1, "AKIA[A-Z0-9]+")} UNION ALL {_found(2, "[0-9a-f]+")} UNION ALL {_found(3, "[A-Za-z0-9+/_=-]{20,}")}
+), each_match AS (
+  SELECT rid, kind, unnest(ms) AS m, unnest(gs[1 : len(ms)]) AS g, unnest(range(1, len(ms) + 1)) AS i FROM found
+), placed AS (
+  SELECT rid, kind, m, sum(length(g)) OVER w + sum(length(m)) OVER w - length(m) AS s FROM each_match WINDOW w AS (PARTITION BY rid, kind ORDER BY i)
+), base AS (
+  SELECT rid, kind, s, s + length(m) AS e FROM placed
+  WHERE kind = 0 AND length(regexp_extract(m, '{_ASSIGN}', 2)) >= 6 OR kind = 1 AND length(m) >= 20 OR kind = 2 AND length(m) >= 24
+), strings AS (
+  SELECT rid, s, m, CASE WHEN regexp_full_match(m, '[0-9a-f]+') THEN 3.05 WHEN regexp_full_match(m, '[A-Za-z0-9]+') THEN 3.75 ELSE 3.85 END AS bits
+  FROM placed WHERE kind = 3 AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') AND NOT regexp_matches(m, '{_ALLOW}')
+), windows AS (
+  SELECT rid, s, bits, i, substr(m, i, 20) AS w FROM (SELECT *, unnest(range(1, length(m) - 18)) AS i FROM strings)
+), symbols AS (
+  SELECT rid, s, bits, i, substr(w, k, 1) AS c, count(*) AS n FROM (SELECT *, unnest(range(1, 21)) AS k FROM windows) GROUP BY ALL
+), over AS (
+  SELECT rid, s, i FROM symbols GROUP BY rid, s, bits, i HAVING round(-sum(n / 20 * log2(n / 20)), 9) >= bits
+), added AS (
+  SELECT rid, 3 AS kind, s + min(i) - 1 AS s, s + max(i) + 19 AS e FROM over GROUP BY rid, over.s
+), spans AS (
+  SELECT * FROM base UNION ALL SELECT * FROM added a WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = a.rid AND b.s < a.e AND a.s < b.e)
+), shown AS (
+  SELECT rid, kind, s, ['assign', 'access', 'hex', 'entropy'][kind + 1] || ':' || cast(s AS BIGINT) || ':' || cast(e AS BIGINT) AS x FROM spans
+), joined AS (
+  SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+         string_agg(x, ',' ORDER BY s, kind) FILTER (kind < 3) AS base_x, string_agg(x, ',' ORDER BY s, kind) AS all_x FROM shown GROUP BY rid
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base_x, '')) AS base_sha256, coalesce(all_x, '') AS spans
+FROM docs LEFT JOIN joined USING (rid)
+"""
+
+ORACLE = {"op4_secret_scan": SECRETS, "op6_ngram_jaccard": NGRAM_JACCARD, "op7_decontaminate": DECONTAMINATE, "op8_line_dedup": LINE_DEDUP}
