@@ -8,7 +8,7 @@
 4. Tiles: where a prefix hash still joins sets of different components, its sets are cut, in order of size, into blocks
    of bounded length; blocks whose sizes can link are compared as tiles. Parity bitmaps bound the overlap from above
    (each bit that differs is an element that only one set has); pairs within the bound, and of different components, are
-   compared exactly on their sorted arrays.
+   compared exactly on their sorted arrays. Two rounds take each document's nearest only, the last one takes all that is left.
 5. The links of both steps give the components.
 
 No step loses a link between different components, so the components are exact; pairs inside a component that is known
@@ -76,6 +76,18 @@ def shingles(text: str | None, hashes: Recent, n: int = 5) -> np.ndarray:
     return sums[np.concatenate([[True], sums[1:] != sums[:-1]])]
 
 
+def _parity_bits(s: np.ndarray, bits: int) -> np.ndarray:
+    """A bitmap, as bytes, where a bit is set if an odd number of hashes fall on it."""
+    return np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8))
+
+
+def _folded(bits: np.ndarray, length: int) -> np.ndarray:
+    """The same set's parity bitmap of a shorter length (in bytes)."""
+    while len(bits) > length:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
 def _count_sketch(docs: DataFrame, p: JoinParams) -> DataFrame:
     """(part, counts): how often each hash bucket occurs over all documents, in 64 parts."""
     parts, size = 64, 1 << p.sketch_bits
@@ -108,14 +120,14 @@ def order_classes(docs: DataFrame, p: JoinParams) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, classes: np.ndarray, p: JoinParams) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, prefix (the first hashes in the order), bitmap."""
+    """doc_id, n_shingles, digest of the set, prefix (the first hashes in the order), bitmap (of one length for all), fine (a bitmap of four or more bits a hash)."""
     spark = docs.sparkSession
     table = spark.sparkContext.broadcast(classes)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, rank = word_hashes(p.cache_words), table.value
         for b in batches:
-            n, digest, prefix, bitmap = [], [], [], []
+            n, digest, prefix, bitmap, fine = [], [], [], [], []
             for text in b.column("text").to_pylist():
                 s = shingles(text, hashes, p.words)
                 keep = len(s) - (p.percent * len(s) + 99) // 100 + 1 if len(s) else 0
@@ -125,13 +137,14 @@ def _signatures(docs: DataFrame, classes: np.ndarray, p: JoinParams) -> DataFram
                 n.append(len(s))
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 prefix.append((order ^ np.uint64(1 << 63)).view(np.int64))  # signed longs in the same order
-                bitmap.append(np.packbits((np.bincount((s & np.uint64(p.bitmap_bits - 1)).astype(np.int64), minlength=p.bitmap_bits) & 1).astype(np.uint8)).tobytes())
+                fine.append(_parity_bits(s, max(p.bitmap_bits, 1 << (4 * len(s)).bit_length())))
+                bitmap.append(_folded(fine[-1], p.bitmap_bits // 8).tobytes())
             flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in prefix])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), lists, pa.array(bitmap, pa.binary())], names=["doc_id", "n_shingles", "digest", "prefix", "bitmap"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), lists, pa.array(bitmap, pa.binary()), pa.array([x.tobytes() for x in fine], pa.binary())], names=["doc_id", "n_shingles", "digest", "prefix", "bitmap", "fine"])
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id bigint, n_shingles bigint, digest binary, prefix array<bigint>, bitmap binary")
+    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id bigint, n_shingles bigint, digest binary, prefix array<bigint>, bitmap binary, fine binary")
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, p: JoinParams) -> DataFrame:
@@ -154,14 +167,19 @@ def _overlap_bound(n_a: np.ndarray, n_b: np.ndarray, differ: np.ndarray, p: Join
 
 def _possible(pairs: DataFrame, bitmaps: DataFrame, p: JoinParams) -> DataFrame:
     """The pairs (a, b) whose sizes and bitmaps leave a link possible."""
-    side = lambda c: bitmaps.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bitmap").alias(f"bits_{c}"))
+    side = lambda c: bitmaps.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("fine").alias(f"bits_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
 
+    def differing(x: bytes, y: bytes) -> int:
+        u, v = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+        length = min(len(u), len(v))
+        return int(np.bitwise_count(_folded(u, length).view(np.uint64) ^ _folded(v, length).view(np.uint64)).sum(dtype=np.int64))
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("bits_a", "bits_b"))
-            keep = _overlap_bound(b.column("n_a").to_numpy(), b.column("n_b").to_numpy(), np.bitwise_count(x ^ y).sum(1, dtype=np.int64), p)
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep))
+            differ = np.array([differing(x, y) for x, y in zip(b.column("bits_a").to_pylist(), b.column("bits_b").to_pylist(), strict=True)], np.int64)
+            keep = _overlap_bound(b.column("n_a").to_numpy(), b.column("n_b").to_numpy(), differ, p)
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(check, "a bigint, b bigint").distinct()
 
@@ -191,8 +209,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, p: JoinParams) -> DataFrame:
     return both.select("a", "b", "arr_a", "arr_b").mapInArrow(check, "a bigint, b bigint")
 
 
-def _tile_pairs(tiles: DataFrame, p: JoinParams) -> DataFrame:
-    """Pairs (a, b) of different components whose bitmaps leave a link possible. tiles: token, id, n, component, bitmap."""
+def _tile_pairs(tiles: DataFrame, p: JoinParams, nearest: bool) -> DataFrame:
+    """Pairs (a, b) of different components whose bitmaps leave a link possible: all, or for each document of a tile the one whose bitmap differs least. tiles: token, id, n, component, bitmap."""
     by_size = Window.partitionBy("token").orderBy("n", "id")
     rows = tiles.withColumn("block", F.floor((F.row_number().over(by_size) - 1) / p.block).cast("int"))
     bands = rows.groupBy("token", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
@@ -203,37 +221,47 @@ def _tile_pairs(tiles: DataFrame, p: JoinParams) -> DataFrame:
     sides = sides.select("token", F.when(F.col("side") == 0, F.col("block")).otherwise(F.col("block_2")).alias("block"), F.xxhash64("token", "block", "block_2").alias("tile"), (F.col("block") == F.col("block_2")).alias("same"), "side")
     dealt = sides.join(rows, ["token", "block"]).repartition("tile").sortWithinPartitions("tile", "side")
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def tile(t: pd.DataFrame) -> pd.DataFrame:
-            bits = np.frombuffer(b"".join(t["bitmap"]), np.uint64).reshape(len(t), -1)
-            n, comp, ids, side = (t[c].to_numpy() for c in ("n", "component", "id", "side"))
-            first = np.arange(len(t)) if t["same"].iloc[0] else np.flatnonzero(side == 0)
-            second = first if t["same"].iloc[0] else np.flatnonzero(side == 1)
+    def tile_pairs(first: np.ndarray, second: np.ndarray, same: bool, n: np.ndarray, comp: np.ndarray, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for at, i in enumerate(first):
+            js = second[at + 1 :] if same else second
+            js = js[comp[js] != comp[i]]
+            if len(js):
+                differ = np.bitwise_count(bits[js] ^ bits[i]).sum(1, dtype=np.int64)
+                may = _overlap_bound(n[js], n[i], differ, p)
+                if may.any():
+                    js = js[may][[differ[may].argmin()]] if nearest else js[may]
+                    yield np.full(len(js), i), js
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["tile", "same", "side", "id", "n", "component"]
+
+        def pairs_of(rows: list[np.ndarray], bits: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+            _, same, side, ids, n, comp = rows
             got = []
-            for i in first:
-                js = second[(second > i) & (comp[second] != comp[i])]
-                if len(js):
-                    js = js[_overlap_bound(n[js], n[i], np.bitwise_count(bits[js] ^ bits[i]).sum(1, dtype=np.int64), p)]
-                    got.append((np.full(len(js), ids[i]), ids[js]))
-            a = np.concatenate([g[0] for g in got]) if got else np.zeros(0, np.int64)
-            b = np.concatenate([g[1] for g in got]) if got else np.zeros(0, np.int64)
-            return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)}).drop_duplicates()
-
-        rest = None
-        for f in batches:
-            f = f if rest is None else pd.concat([rest, f], ignore_index=True)
-            if not len(f):
+            for s, e in zip(starts, ends, strict=True):
+                at = np.arange(s, e)
+                first, second = (at, at) if same[s] else (at[side[s:e] == 0], at[side[s:e] == 1])
+                got += tile_pairs(first, second, bool(same[s]), n, comp, bits)
+            i, j = (ids[np.concatenate([g[k] for g in got])] if got else np.zeros(0, np.int64) for k in (0, 1))
+            both = np.unique(np.stack([np.maximum(i, j), np.minimum(i, j)], 1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+        rows, bits = None, None
+        for b in batches:
+            new = [b.column(c).to_numpy(zero_copy_only=False) for c in names]
+            new_bits = np.frombuffer(b"".join(b.column("bitmap").to_pylist()), np.uint64).reshape(b.num_rows, -1)
+            if rows is not None:
+                new, new_bits = [np.concatenate([x, y]) for x, y in zip(rows, new, strict=True)], np.concatenate([bits, new_bits])
+            if not len(new[0]):
                 continue
-            tiles = f["tile"].to_numpy()
-            ends = np.flatnonzero(tiles[1:] != tiles[:-1]) + 1
-            starts = np.concatenate([[0], ends])
-            for s, e in zip(starts[:-1], starts[1:], strict=True):
-                yield tile(f.iloc[s:e])
-            rest = f.iloc[starts[-1] :]  # the last tile may go on in the next batch
-        if rest is not None and len(rest):
-            yield tile(rest)
+            starts = np.concatenate([[0], np.flatnonzero(new[0][1:] != new[0][:-1]) + 1])
+            # The last tile may go on in the next batch.
+            yield pairs_of(new, new_bits, starts[:-1], starts[1:])
+            rows, bits = [x[starts[-1] :] for x in new], new_bits[starts[-1] :]
+        if rows is not None and len(rows[0]):
+            yield pairs_of(rows, bits, np.array([0]), np.array([len(rows[0])]))
 
-    return dealt.select("tile", "same", "side", "id", "n", "component", "bitmap").mapInPandas(compare, "a bigint, b bigint").distinct()
+    return dealt.select("tile", "same", "side", "id", "n", "component", "bitmap").mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
@@ -243,7 +271,7 @@ def near_duplicates(docs: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
     real = signed.filter("doc_id is not null and n_shingles > 0")
     reps = written(real.groupBy("digest").agg(F.min("doc_id").alias("id")), "join-reps")
     chosen = real.withColumnRenamed("doc_id", "id").join(reps, ["digest", "id"], "left_semi").dropDuplicates(["digest", "id"])
-    chosen = written(chosen.select("id", F.col("n_shingles").alias("n"), "prefix", "bitmap"), "join-chosen")
+    chosen = written(chosen.select("id", F.col("n_shingles").alias("n"), "prefix", "bitmap", "fine"), "join-chosen")
 
     by_token, of_doc = Window.partitionBy("token"), Window.partitionBy("id").orderBy("token")
     tokens = chosen.select("id", F.explode("prefix").alias("token"))
@@ -257,18 +285,19 @@ def near_duplicates(docs: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
     sized = kept.join(sizes, "id")
     starred = sized.withColumn("before", F.lag("id").over(by_token.orderBy("n", "id"))).withColumn("first", F.first("id").over(Window.partitionBy("token", "band").orderBy("n", "id")))
     starred = written(starred.select("token", "id", "n", "before", "first"), "join-shared")
-    bitmaps = chosen.select("id", "n", "bitmap")
+    bitmaps = chosen.select("id", "n", "fine")
     stars = starred.select("id", F.explode(F.array("before", "first")).alias("to")).filter("to is not null and to <> id")
     stars = written(_possible(stars.select(F.greatest("id", "to").alias("a"), F.least("id", "to").alias("b")).distinct(), bitmaps, p), "join-stars")
     links = written(_verified(stars, docs, p), "join-links")
-    known = components(links)
-
-    members = with_smallest(starred.select("token", "id", "n"), known)
-    split = first_and_last(members, "token", "component").filter("lowest <> highest").drop("lowest", "highest")
-    tiles = split.join(bitmaps.drop("n").dropDuplicates(["id"]), "id")
-    more = written(_tile_pairs(written(tiles, "join-tiles"), p).join(stars, ["a", "b"], "left_anti"), "join-pairs")
-    found = links.unionByName(_verified(more, docs, p))
-    comps = components(found)
+    comps = components(links)
+    # First each document's nearest in a tile, which joins most components; then whatever is left.
+    for nearest in (True, True, False):
+        members = with_smallest(starred.select("token", "id", "n"), comps)
+        split = first_and_last(members, "token", "component").filter("lowest <> highest").drop("lowest", "highest")
+        tiles = written(split.join(chosen.select("id", "bitmap").dropDuplicates(["id"]), "id"), "join-tiles")
+        pairs = written(_possible(_tile_pairs(tiles, p, nearest), bitmaps, p), "join-pairs")
+        links = written(links.unionByName(_verified(pairs, docs, p)), "join-links")
+        comps = components(links)
 
     of_set = with_smallest(reps, comps).select("digest", "component")
     return signed.join(of_set, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
