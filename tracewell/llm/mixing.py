@@ -4,7 +4,8 @@ The words of each source are packed, document after document, into blocks of a f
 list of slots. Each output shard draws its source counts from a multinomial; the counts are then scaled per source to
 the slots its target asks for. Slot t of a source takes block permutation(t mod blocks), where the permutation is
 pseudorandom, keyed by source and pass, so that no block is used again before all others were. Slots and documents
-meet in a join on (source, block).
+meet in a join on (source, block). Rows that a few sources explode into look few to the planner, which would broadcast
+them; joins of such rows ask for a merge join.
 
 Defined cases: a null text has no words; a null source is a source of its own and sorts last; documents without words
 take part with `taken` 0; repeated rows are separate documents; an empty table gives an empty result.
@@ -81,7 +82,7 @@ def pack(sized: DataFrame) -> DataFrame:
     over_runs = Window.partitionBy("key").orderBy("run").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     runs = rows.groupBy("key", "run").agg(F.sum("size").alias("run_size")).select("key", "run", (F.sum("run_size").over(over_runs) - F.col("run_size")).alias("run_start"))
     placed = rows.withColumn("in_run", F.sum("size").over(in_run) - F.col("size"))
-    return placed.join(runs, ["key", "run"]).withColumn("start", F.col("run_start") + F.col("in_run")).drop("run", "run_start", "in_run")
+    return placed.join(runs.hint("merge"), ["key", "run"]).withColumn("start", F.col("run_start") + F.col("in_run")).drop("run", "run_start", "in_run")
 
 
 def slot_counts(sources: DataFrame, p: MixParams) -> DataFrame:
@@ -136,7 +137,7 @@ def permutations(sources: DataFrame, p: MixParams) -> DataFrame:
     over_runs = Window.partitionBy("key", "pass").orderBy("run").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     runs = hashed.groupBy("key", "pass", "run").agg(F.count("*").alias("n")).select("key", "pass", "run", (F.sum("n").over(over_runs) - F.col("n")).alias("base"))
     in_run = hashed.withColumn("rn", F.row_number().over(Window.partitionBy("key", "pass", "run").orderBy("h", "block")))
-    return in_run.join(runs, ["key", "pass", "run"]).select("key", "pass", (F.col("base") + F.col("rn") - 1).alias("at"), "block")
+    return in_run.join(runs.hint("merge"), ["key", "pass", "run"]).select("key", "pass", (F.col("base") + F.col("rn") - 1).alias("at"), "block")
 
 
 def slots(sources: DataFrame, p: MixParams) -> DataFrame:
@@ -150,7 +151,7 @@ def slots(sources: DataFrame, p: MixParams) -> DataFrame:
     each = each.withColumn("at", F.col("slot") % F.col("blocks")).withColumn("pass", F.floor(F.col("slot") / F.col("blocks")))
     # Full blocks by permutation; the short block at a source's end comes last in each pass.
     short = each.filter("at >= whole").withColumn("block", F.col("at"))
-    each = each.filter("at < whole").join(permutations(sources, p), ["key", "pass", "at"]).select(*short.columns).unionByName(short)
+    each = each.filter("at < whole").join(permutations(sources, p).hint("merge"), ["key", "pass", "at"]).select(*short.columns).unionByName(short)
     full = F.when(F.col("block") < F.col("whole"), F.lit(p.block_words)).otherwise(F.col("source_size") - F.col("whole") * p.block_words)
     last = (F.col("slot") == F.col("slots") - 1) & F.col("last_words").isNotNull()
     return each.select("key", "shard", "slot", "pass", "block", F.when(last, F.col("last_words")).otherwise(full).alias("n_words"))
@@ -183,7 +184,7 @@ def taken_words(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
     )
     cut = F.aggregate("cut", F.lit(0).cast("long"), lambda a, w: a + F.greatest(F.least(F.col("last"), w) - F.col("first"), F.lit(0)))
     taken = (
-        _pieces(packed, p).join(uses, ["key", "block"])
+        _pieces(packed, p).join(uses.hint("merge"), ["key", "block"])
         .select("key", "start", "doc_id", "size", "text_hash", (F.col("whole_uses") * (F.col("last") - F.col("first")) + cut).alias("taken"))
         .unionByName(packed.select("key", "start", "doc_id", "size", "text_hash", F.lit(0).cast("long").alias("taken")))
     )
@@ -199,7 +200,7 @@ def mixed_documents(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
     packed, _, mix = plan_mix(docs, p)
     run = F.struct((F.col("block") * p.block_words + F.col("first") - F.col("start")).alias("from"), (F.least("last", "n_words") - F.col("first")).alias("n"))
     takes = (
-        _pieces(packed, p).join(mix.select("key", "block", "pass", "n_words"), ["key", "block"]).filter("n_words > first")
+        _pieces(packed, p).join(mix.select("key", "block", "pass", "n_words").hint("merge"), ["key", "block"]).filter("n_words > first")
         .groupBy("key", "start", "doc_id", "size", "text_hash", "pass").agg(F.sort_array(F.collect_list(run)).alias("runs"))
         .groupBy("key", "start", "doc_id", "size", "text_hash").agg(F.sort_array(F.collect_list(F.struct("pass", "runs"))).alias("passes"))
     )
