@@ -45,15 +45,18 @@ def _buckets(hashes: Column, n: int) -> Column:
     return F.concat(F.transform(hashes, lambda h: F.pmod(h, F.lit(n)).cast("int")), F.filter(pairs, lambda b: b.isNotNull()))
 
 
-def repeated_words(hashes: Column) -> Column:
-    """Words inside 3-word windows that the text holds twice or more, from the words' hashes."""
-    windows = F.filter(F.zip_with(F.zip_with(hashes, _next(hashes), lambda a, b: F.struct(a, b)), _next(hashes, 2), lambda ab, c: F.when(c.isNotNull(), F.xxhash64(ab, c))), lambda h: h.isNotNull())
-    placed = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+def with_repeated_words(rows: DataFrame) -> DataFrame:
+    """Adds n_repeat_words from hs, the words' hashes: words inside 3-word windows that the text holds twice or more. Steps that are used twice are columns, so that Spark computes each once."""
+    hs, windows, placed, starts = (F.col(c) for c in ("hs", "_windows", "_placed", "_starts"))
+    triples = F.zip_with(F.zip_with(hs, _next(hs), lambda a, b: F.struct(a, b)), _next(hs, 2), lambda ab, c: F.when(c.isNotNull(), F.xxhash64(ab, c)))
+    some = F.size(F.array_distinct(windows)) < F.size(windows)
+    rows = rows.withColumn("_windows", F.filter(triples, lambda h: h.isNotNull()))
+    rows = rows.withColumn("_placed", F.when(some, F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     twice = F.zip_with(placed, _next(placed), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
-    starts = F.sort_array(F.array_distinct(F.flatten(F.filter(twice, lambda x: x.isNotNull()))))
+    rows = rows.withColumn("_starts", F.sort_array(F.array_distinct(F.flatten(F.filter(twice, lambda x: x.isNotNull())))))
     covered = F.zip_with(starts, _next(starts), lambda a, b: F.least(F.lit(3), F.coalesce(b - a, F.lit(3))))
-    some = F.size(F.array_distinct(windows)) < F.size(windows)
-    return F.when(some, F.aggregate(covered, F.lit(0), lambda s, x: s + x)).otherwise(0).cast("long")
+    total = F.aggregate(covered, F.lit(0), lambda s, x: s + x)
+    return rows.withColumn("n_repeat_words", F.coalesce(total, F.lit(0)).cast("long")).drop("_windows", "_placed", "_starts")
 
 
 def bucket_weights(docs: DataFrame, labels: DataFrame, p: RuleParams) -> DataFrame:
@@ -61,7 +64,6 @@ def bucket_weights(docs: DataFrame, labels: DataFrame, p: RuleParams) -> DataFra
     trusted = written(labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct().withColumn("trusted", F.lit(1)), "rules-trusted")
     rows = docs.select("doc_id", "text").join(broadcast_if_small(trusted, trusted.count(), MAX_BROADCAST_TRUSTED), "doc_id", "left")
     hashes = rows.select("trusted", _word_hashes(words(F.col("text"))).alias("hs"))
-    hashes = hashes.filter(F.size("hs") > 0)
     counts = hashes.select("trusted", F.explode(_buckets(F.col("hs"), p.buckets)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("raw"), F.count("trusted").alias("target"))
     every = docs.sparkSession.range(p.buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").na.fill(0, ["raw", "target"])
     pairs = every.agg(F.sort_array(F.collect_list(F.struct("bucket", "raw", "target"))).alias("all"), F.sum("raw").alias("raw"), F.sum("target").alias("target"))
@@ -79,8 +81,9 @@ def rule_columns(docs: DataFrame, labels: DataFrame, p: RuleParams = RuleParams(
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(f"[^{ASCII_SPACE}]"))
     got = rows.select(
         "doc_id", "n_words", F.char_length(F.array_join("ws", "")).cast("long").alias("word_chars"), F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"), lines.alias("lines"),
-        repeated_words(F.col("hs")).alias("n_repeat_words"), "hs", "weights",
-    ).withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
+        "hs", "weights",
+    )
+    got = with_repeated_words(got).withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
     total = F.aggregate(_buckets(F.col("hs"), p.buckets), F.lit(0.0), lambda s, b: s + F.get(F.col("weights"), b))
     got = got.withColumn("ratio", F.when(F.col("n_words") > 0, total / (2 * F.col("n_words") - 1)).otherwise(0.0))
     failed = (F.col("n_words") < p.min_words) | (100 * F.col("n_repeat_words") > p.max_repeat_percent * F.col("n_words"))
