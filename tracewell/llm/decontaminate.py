@@ -51,8 +51,8 @@ def benchmark_windows(bench: DataFrame) -> DataFrame:
 
 
 def _slots(h: Column) -> list[Column]:
-    """Three bit numbers from one hash."""
-    return [F.shiftrightunsigned(h, 21 * k) % SET_BITS for k in range(3)]
+    """Three bit numbers from one hash, 0 to SET_BITS - 1 (a remainder would be negative where the hash is, as a shift by 0 keeps its sign)."""
+    return [F.pmod(F.shiftrightunsigned(h, 21 * k), F.lit(SET_BITS)) for k in range(3)]
 
 
 def hashed_set(hashes: DataFrame) -> DataFrame:
