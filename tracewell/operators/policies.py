@@ -174,7 +174,8 @@ class Sieve(Fifo):
 
 
 class SegmentedLru(Fifo):
-    """Four segments of equal size; a hit moves up one, what overflows moves down one."""
+    """Four segments of equal size. What comes in goes to the lowest segment with room, or to segment 0 if none has; a hit
+    moves up one; what overflows by that moves down one, and out of segment 0. What is larger than a segment stays out."""
 
     def __init__(self, capacity: int, segments: int = 4) -> None:
         super().__init__(capacity)
@@ -184,30 +185,43 @@ class SegmentedLru(Fifo):
     def _put(self, k: int, key: int, size: int) -> None:
         self.parts[k][key] = size
         self.sizes[k] += size
-        while self.sizes[k] > self.room and len(self.parts[k]) > 1 and k:
-            old, s = self.parts[k].popitem(last=False)
-            self.sizes[k] -= s
-            k_down = k - 1
-            self._put(k_down, old, s)
+
+    def _take(self, k: int) -> tuple[int, int]:
+        key, size = self.parts[k].popitem(last=False)
+        self.sizes[k] -= size
+        return key, size
+
+    def _cool(self, k: int) -> None:
+        while self.sizes[k] > self.room:
+            if k == 0:
+                self.evict()
+            else:
+                self._put(k - 1, *self._take(k))
+                self._cool(k - 1)
 
     def hit(self, key: int, next_use: int) -> bool:
         for k, part in enumerate(self.parts):
             if key in part:
                 size = part.pop(key)
                 self.sizes[k] -= size
-                self._put(min(k + 1, len(self.parts) - 1), key, size)
+                up = min(k + 1, len(self.parts) - 1)
+                self._put(up, key, size)
+                if up > k:
+                    self._cool(up)
                 return True
         return False
 
     def insert(self, key: int, size: int, next_use: int) -> None:
         self.used += size
-        self._put(0, key, size)
+        self._put(next((k for k, used in enumerate(self.sizes) if used + size <= self.room), 0), key, size)
 
     def evict(self) -> None:
-        k = next(i for i, p in enumerate(self.parts) if p)
-        size = self.parts[k].popitem(last=False)[1]
-        self.sizes[k] -= size
-        self.used -= size
+        self.used -= self._take(next(k for k, part in enumerate(self.parts) if part))[1]
+
+    def request(self, key: int, size: int, next_use: int) -> bool:
+        if size > self.room:
+            return self.hit(key, next_use)
+        return super().request(key, size, next_use)
 
 
 class S3Fifo(Fifo):
