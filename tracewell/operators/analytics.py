@@ -182,6 +182,21 @@ def size_change(a: DataFrame) -> DataFrame:
     return o.select(F.explode(kinds).alias("k")).groupBy("k.kind", "k.bucket").agg(_n())
 
 
+#: Upper edges of the bins of relative change on either side; beyond the last one there is one more.
+CHANGE_EDGES = [0.0001, 0.0002, 0.0005, 0.0008, 0.001, 0.002, 0.005, 0.008, 0.01, 0.02, 0.05, 0.08, 0.1]
+
+
+def size_change_fine(a: DataFrame) -> DataFrame:
+    """Overwrites by relative change of size in 29 bins: 0 for none, 1 to 14 for growth and -1 to -14 for shrinkage, by CHANGE_EDGES."""
+    d = F.col("obj_size") - F.col("prev_size")
+    rel = F.when(d == 0, 0.0).otherwise(F.coalesce(F.try_divide(d, F.col("prev_size")), F.lit(float("inf"))))
+    edge = F.lit(1)
+    for e in CHANGE_EDGES:
+        edge = edge + (F.abs("rel") >= e).cast("int")
+    bucket = F.when(F.abs("rel") < 0.00001, 0).otherwise(F.signum("rel") * edge).cast("long")
+    return a.filter("overwrite").select(rel.alias("rel")).groupBy(bucket.alias("bucket")).agg(_n())
+
+
 def write_reuse(a: DataFrame, step: int = HOUR) -> DataFrame:
     """Time from an object's latest write to each later access, by kind of access."""
     so_far = Window.partitionBy("obj_id").orderBy("vtime").rowsBetween(Window.unboundedPreceding, -1)

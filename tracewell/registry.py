@@ -65,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "prob_at_age": _annotated("events", an.prob_at_age),
         "create_future_reuse": _annotated("skew", an.create_future_reuse),
         "size_change": _annotated("events", an.size_change),
+        "size_change_fine": _annotated("events", an.size_change_fine),
         "write_reuse": _annotated("events", an.write_reuse),
         "hist_cdf": _annotated("skew", lambda a: an.cdf(an.popularity(a), "freq", "n_obj")),
         "one_hit_ratio": _annotated("skew", an.one_hit_ratio),
