@@ -76,13 +76,15 @@ def broadcast_if_small(df: DataFrame, rows: int, max_rows: int) -> DataFrame:
 
 
 class Recent(dict):
-    """Values that make() gives for keys, kept for the keys that came up lately: when `limit` are held they become the old ones, and what is asked for again moves over."""
+    """Values that make() gives for keys, kept for the keys that came up lately: when `limit` are held they become the old ones, and what is asked for again moves over. Keys of over `longest` characters or bytes are not kept, so that `limit` bounds bytes too."""
 
-    def __init__(self, make: Callable, limit: int) -> None:
+    def __init__(self, make: Callable, limit: int, longest: int = 64) -> None:
         super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
+        self.make, self.limit, self.longest, self.old = make, limit, longest, {}
 
     def __missing__(self, key):
+        if len(key) > self.longest:
+            return self.make(key)
         got = self.old.get(key)
         if got is None:
             got = self.make(key)

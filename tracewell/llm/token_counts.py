@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokenizer import UNPROVEN, encoder
+from .tokenizer import encoder
 
 CUT = re.compile(r"(?<=\S)(?= )")
 
@@ -102,7 +102,7 @@ class CountTree:
 
 
 def _parts(text: str) -> list[str]:
-    return (CUT.split(text) if UNPROVEN.search(text) else text.replace(" ", "\0 ").split("\0")) if text else []
+    return CUT.split(text) if text else []
 
 
 def edited(text: str, edits: list[tuple[int, int, str]]) -> str:

@@ -1,9 +1,10 @@
-"""Byte-level BPE ids from the tokenizers library, with the ids of frequent pieces kept.
+"""Byte-level BPE ids from the tokenizers library, with the ids of recent pieces kept.
 
-The pre-tokenizer's pattern never lets a piece hold a character that isn't white space followed by a blank. So a text can be
-cut before each blank that follows such a character, and its ids are those of its parts one after another. Parts and
-pieces repeat a lot; their ids, as the library's model gives them, are kept. Texts that the shortcut isn't proven for (white
-space before a blank, control characters, characters beyond Latin, the special token's text) go to the library whole.
+The pre-tokenizer cuts a text into pieces (words with the blank before them, numbers, runs of signs, white space), and
+the model encodes each piece by itself. So a text's ids are those of its pieces, one after another. Pieces are found by
+the pre-tokenizer's own pattern and their ids, as the library's model gives them, are kept. Texts with characters whose
+classes the pattern below doesn't spell out (control characters, characters beyond Latin) or with the special token's
+text go to the library whole.
 """
 
 from __future__ import annotations
@@ -13,13 +14,25 @@ import re
 from array import array
 
 import numpy as np
-import regex
 
 from .common import Recent
 
-#: The pattern of the pre-tokenizer, and the characters for which Python and the library agree on classes.
-PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-UNPROVEN = re.compile(r"\s |[^\t\n\x0b\x0c\r\x20-\x7e\xa1-ɏ]|<\|")
+#: Letters and numbers among the characters up to U+024F, and the pattern of the pre-tokenizer with these classes.
+LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
+NUMBERS = "0-9²³¹¼-¾"
+PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+"
+#: What the classes are not spelled out for.
+UNPROVEN = re.compile(r"[^\t\n\x0b\x0c\r\x20-\x7e\xa1-ɏ]|<\|")
+#: Characters of one byte in Latin-1 that are spelled out.
+PROVEN_BYTES = bytes([9, 10, 11, 12, 13, *range(0x20, 0x7F), *range(0xA1, 0x100)])
+
+
+def proven(text: str) -> bool:
+    """Whether the pieces of the text are sure to be the library's."""
+    try:
+        return not text.encode("latin-1").translate(None, PROVEN_BYTES) and "<|" not in text
+    except UnicodeEncodeError:
+        return not UNPROVEN.search(text)
 
 
 def byte_letters() -> dict[int, str]:
@@ -32,28 +45,24 @@ def byte_letters() -> dict[int, str]:
 class Encoder:
     """texts to uint32 ids, as little-endian bytes."""
 
-    def __init__(self, path: str, max_parts: int = 200_000, max_pieces: int = 400_000) -> None:
+    def __init__(self, path: str, max_pieces: int = 500_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = byte_letters()
-        self.pieces_of = regex.compile(PIECES).findall
+        self.pieces_of = re.compile(PIECES).findall
         self.pieces = Recent(self._piece_ids, max_pieces)
-        self.parts = Recent(self._part_ids, max_parts)
 
     def _piece_ids(self, piece: str) -> bytes:
         return array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
 
-    def _part_ids(self, part: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.pieces_of(part)))
-
     def ids(self, text: str | None) -> bytes:
         text = text or ""
-        if UNPROVEN.search(text):
+        if not proven(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.parts.__getitem__, text.replace(" ", "\0 ").split("\0"))) if text else b""
+        return b"".join(map(self.pieces.__getitem__, self.pieces_of(text)))
 
 
 _encoders: dict[str, Encoder] = {}
