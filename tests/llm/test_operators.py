@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.llm import decontaminate, language_id, line_dedup, mixing, ngram_join, quality_model, quality_rules, secrets, token_counts, token_files
+from tracewell.llm import common, decontaminate, language_id, line_dedup, mixing, ngram_join, quality_model, quality_rules, secrets, token_counts, token_files, tokenizer
 from tracewell.llm.common import read, shared_dir
 from tracewell.llm.queries import tokenizer_path
 
@@ -444,3 +444,33 @@ def test_token_counts_of_any_edits(encode):
         tree.apply(edits)
         assert tree.total == count(token_counts.edited(text, edits)), edits
         assert tree.total == int(tree.tree[tree.base :].sum())
+
+
+def test_pieces_are_the_librarys():
+    """The spelled-out classes agree with Unicode's for every character that is taken to be known."""
+    import regex
+
+    known = [chr(c) for c in range(0x3000) if tokenizer.proven(chr(c))]
+    assert len(known) > 500
+    for c in known:
+        assert bool(re.match(f"[{tokenizer.LETTERS}]", c)) == bool(regex.match(r"\p{L}", c)), hex(ord(c))
+        assert bool(re.match(f"[{tokenizer.NUMBERS}]", c)) == bool(regex.match(r"\p{N}", c)), hex(ord(c))
+        assert c.isspace() == bool(regex.match(r"\s", c))
+    assert not any(tokenizer.proven(x) for x in ("a\x1cb", "\xa0", "<|", "語", "\x85"))
+
+
+def test_recent_does_not_keep_long_keys():
+    made = []
+    kept = common.Recent(lambda k: made.append(k) or len(k), 2, longest=5)
+    assert [kept[k] for k in ("abcdef", "abcdef", "a", "a", "b", "c", "a")] == [6, 6, 1, 1, 1, 1, 1]
+    assert made == ["abcdef", "abcdef", "a", "b", "c"] and "abcdef" not in kept and "abcdef" not in kept.old
+
+
+def test_token_files_of_the_smallest_id_and_of_none(spark, encode):
+    d = spark.createDataFrame([(-(2**63), "one"), (None, "two"), (None, None), (2**63 - 1, "three"), (0, "four")], "doc_id bigint, text string")
+    files = token_files.write_token_files(d, shared_dir(spark, "test-shards"), token_files.FileParams(tokenizer_path()), 2)
+    got = token_files.read_token_files(files).orderBy("start").collect()
+    assert sorted([r["doc_id"] for r in got[:2]], key=str) == [None, None] and [r["doc_id"] for r in got[2:]] == [-(2**63), 0, 2**63 - 1]
+    assert [r["n_tokens"] for r in got[2:]] == [len(encode(t)) + 1 for t in ("one", "four", "three")]
+    wanted = spark.createDataFrame([(0,), (-(2**63),), (None,)], "doc_id bigint")
+    assert sorted((r["doc_id"], len(r["ids"])) for r in token_files.read_documents(files, wanted).collect()) == [(-(2**63), len(encode("one")) + 1), (0, len(encode("four")) + 1)]

@@ -4,12 +4,13 @@ A file holds a range of documents in ascending doc_id order. Its layout is that
 
     frame of document 0 | frame of document 1 | ... | skippable frame with the doc_ids | skippable frame with the seek table
 
+The frame of the doc_ids ends with the number of documents, first in the file, whose doc_id is null (they are written as 0).
 The seek table has for each frame its compressed size, its size and a checksum (the low half of XXH64 of its content),
 then the number of frames, a descriptor byte and a magic number. A reader that wants some documents reads the table,
 finds them in the doc_ids, and decompresses their frames only. Content is ids as little-endian unsigned 32-bit integers.
 
-Defined cases: a null text is an empty text (its document is the end id alone); a null doc_id comes first and is written as
-the smallest long; rows of one doc_id are ordered by their text; an empty table writes no files.
+Defined cases: a null text is an empty text (its document is the end id alone); a null doc_id comes first and
+comes back as null; rows of one doc_id are ordered by their text; an empty table writes no files.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from .tokenizer import encoder
 #: Fixed values of the format.
 SKIPPABLE_IDS, SKIPPABLE_TABLE, TABLE_MAGIC = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 WITH_CHECKSUMS = 0x80
-NO_ID = -(2**63)
+SMALLEST, LARGEST = -(2**63), 2**63 - 1
 
 
 @dataclass(frozen=True)
@@ -60,16 +61,19 @@ class ShardWriter:
         self.out = self.fs.open_output_stream(at)
         self.packer = zstandard.ZstdCompressor(level=level, write_content_size=True)
         self.ids: list[int] = []
+        self.without_id = 0
         self.entries: list[tuple[int, int, int]] = []
 
-    def add(self, doc_id: int, ids: bytes) -> None:
+    def add(self, doc_id: int | None, ids: bytes) -> None:
+        """The next document; those with a null doc_id come first."""
         frame = self.packer.compress(ids)
         self.out.write(frame)
-        self.ids.append(doc_id)
+        self.without_id += doc_id is None
+        self.ids.append(doc_id or 0)
         self.entries.append((len(frame), len(ids), xxhash.xxh64_intdigest(ids) & 0xFFFFFFFF))
 
     def close(self) -> None:
-        ids = np.array(self.ids, "<i8").tobytes()
+        ids = np.array(self.ids, "<i8").tobytes() + struct.pack("<I", self.without_id)
         self.out.write(struct.pack("<II", SKIPPABLE_IDS, len(ids)) + ids)
         table = np.array(self.entries, "<u4").tobytes() + struct.pack("<IBI", len(self.entries), WITH_CHECKSUMS, TABLE_MAGIC)
         self.out.write(struct.pack("<II", SKIPPABLE_TABLE, len(table)) + table)
@@ -89,7 +93,8 @@ class ShardReader:
             raise ValueError(f"{path} has no seek table")
         start = size - 9 - 12 * n
         self.entries = np.frombuffer(self.file.read_at(12 * n, start), "<u4").reshape(n, 3).astype(np.int64)
-        self.doc_ids = np.frombuffer(self.file.read_at(8 * n, start - 8 - 8 * n), "<i8")
+        ids = self.file.read_at(8 * n + 4, start - 8 - 4 - 8 * n)
+        self.doc_ids, self.without_id = np.frombuffer(ids, "<i8", n), struct.unpack_from("<I", ids, 8 * n)[0]
         self.offsets = np.concatenate([[0], np.cumsum(self.entries[:, 0])])
         self.unpacker = zstandard.ZstdDecompressor()
 
@@ -102,7 +107,7 @@ class ShardReader:
         return ids
 
     def documents(self, doc_id: int) -> list[bytes]:
-        return [self.frame(int(k)) for k in np.flatnonzero(self.doc_ids == doc_id)]
+        return [self.frame(int(k)) for k in np.flatnonzero(self.doc_ids == doc_id) if k >= self.without_id]
 
     def close(self) -> None:
         self.file.close()
@@ -112,7 +117,7 @@ def write_token_files(docs: DataFrame, folder: str, p: FileParams, n_files: int
     """Writes docs into at most n_files files below folder and returns the written table of them: shard, path, first_id, n_docs, n_tokens, start (ids in the files before)."""
     spark = docs.sparkSession
     n_files = n_files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     # The text's hash keeps rows of one doc_id in the same order on every run, and in different files if need be.
     ranged = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(n_files, "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
 
@@ -129,7 +134,7 @@ def write_token_files(docs: DataFrame, folder: str, p: FileParams, n_files: int
                 writer.add(doc_id, ids)
         if writer:
             writer.close()
-            yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [path], "first_id": [writer.ids[0]], "n_docs": [len(writer.ids)], "n_tokens": [tokens]})
+            yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [path], "first_id": pa.array([None if writer.without_id else writer.ids[0]], pa.int64()), "n_docs": [len(writer.ids)], "n_tokens": [tokens]})
 
     files = written(ranged.mapInArrow(write, "shard bigint, path string, first_id bigint, n_docs bigint, n_tokens bigint"), "token-files")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -146,7 +151,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
                 counts = shard.entries[:, 1] // 4
                 starts = start + np.cumsum(counts) - counts
                 crc = [zlib.crc32(shard.frame(k)) for k in range(len(counts))]
-                ids = pa.array(shard.doc_ids, pa.int64(), mask=shard.doc_ids == NO_ID)
+                ids = pa.array(shard.doc_ids, pa.int64(), mask=np.arange(len(counts)) < shard.without_id)
                 shard.close()
                 yield pa.RecordBatch.from_arrays([ids, pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
@@ -156,8 +161,9 @@ def read_token_files(files: DataFrame) -> DataFrame:
 
 def read_documents(files: DataFrame, wanted: DataFrame) -> DataFrame:
     """(doc_id, ids) of the wanted doc_ids (a table with that column); only their frames are decompressed. Files are told apart by their first ids; a doc_id that several files hold is looked for in each."""
-    next_id = F.coalesce(F.lead("first_id").over(Window.orderBy("shard")), F.lit(2**63 - 1))
-    ranges = F.broadcast(files.withColumn("next_id", next_id).select("path", "first_id", "next_id"))  # a row for each file
+    first_id = F.coalesce("first_id", F.lit(SMALLEST))
+    next_id = F.coalesce(F.lead("first_id").over(Window.orderBy("shard")), F.lit(LARGEST))
+    ranges = F.broadcast(files.withColumn("first_id", first_id).withColumn("next_id", next_id).select("path", "first_id", "next_id"))  # a row for each file
     pairs = wanted.select("doc_id").filter("doc_id is not null").distinct().join(ranges, (F.col("doc_id") >= F.col("first_id")) & (F.col("doc_id") <= F.col("next_id")))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
