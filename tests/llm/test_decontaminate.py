@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.llm import decontaminate
+from tracewell.llm import bitset, decontaminate
 from tracewell.llm.oracle import ORACLE
 
 SPLIT = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -70,9 +70,9 @@ def test_short_items(spark):
 
 def test_slots_are_places_in_the_set(spark):
     some = spark.createDataFrame([(h,) for h in (-1, -(2**63), 2**63 - 1, 0, -1659003, 12345)], "h bigint")
-    got = [r["s"] for r in some.select(F.array(*decontaminate._slots(F.col("h"))).alias("s")).collect()]
+    got = [r["s"] for r in some.select(F.array(*bitset._slots(F.col("h"), decontaminate.SET_BITS)).alias("s")).collect()]
     assert all(0 <= x < decontaminate.SET_BITS for s in got for x in s)
-    assert decontaminate.hashed_set(some).select(F.aggregate("bits", F.lit(0).cast("long"), lambda a, x: a + F.bit_count(x)).alias("n")).first()["n"] == len({x for s in got for x in s})
+    assert bitset.hashed_set(some, decontaminate.SET_BITS).select(F.aggregate("bits", F.lit(0).cast("long"), lambda a, x: a + F.bit_count(x)).alias("n")).first()["n"] == len({x for s in got for x in s})
 
 
 @pytest.mark.skipif(not os.path.isdir(LARGE), reason="sf0.1 is not here")

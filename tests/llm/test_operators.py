@@ -302,14 +302,17 @@ def families():
             k += 1
             out.append((int(k), " ".join(ws), "en", "a", 0))
     shared = " ".join(f"s{i}" for i in range(50))
+    out += [(int(2000 + i), shared + f" end{i}", "en", "a", 0) for i in range(40)]
     out += [(int(1000 + i), shared + " " + " ".join(f"u{x}" for x in rng.integers(0, 10**6, 12)), "en", "a", 0) for i in range(30)]
     return out
 
 
 @pytest.mark.parametrize("which", ["docs", "awkward", "families", "small blocks"])
-def test_ngram_join(request, spark, which):
+def test_ngram_join(request, spark, which, monkeypatch):
     d = spark.createDataFrame(families(), SCHEMA) if which in ("families", "small blocks") else request.getfixturevalue(which)
-    p = ngram_join.JoinParams(block=4) if which == "small blocks" else ngram_join.JoinParams()
+    p = ngram_join.JoinParams(block=4, sketch_bits=8) if which == "small blocks" else ngram_join.JoinParams()
+    monkeypatch.setattr(ngram_join, "HOT_COUNT", 4 if which == "small blocks" else 1024)
+    monkeypatch.setattr(ngram_join, "HOT_TIMES", 1.01 if which == "small blocks" else 8)
     want, sets = brute_components(texts(d))
     got = ngram_join.near_duplicates(d, p).collect()
     assert len(got) == d.count()
@@ -318,6 +321,48 @@ def test_ngram_join(request, spark, which):
         assert r["n_shingles"] in {len(s) for s in sets[r["doc_id"]]}
 
 
+def test_word_hashes():
+    """Equal words, and only those, have equal hashes, wherever they stand; pieces of long texts and long words make no difference."""
+    rng = np.random.default_rng(2)
+    vocabulary = ["a", "A", "aa", "ab", "ba", "é", "É", "x" * 70, "語", "\x1c", "\xa0", "\x00", "\x00\x00", "L" * 600_000, "l" * 600_000, "L" * 600_001, "y" * ngram_join.PIECE]
+    ws = [vocabulary[k] for k in rng.integers(0, len(vocabulary), 60)] + [f"W{x}" for x in rng.integers(0, 9999, 200_000)]
+    text = "".join(w + s for w, s in zip(ws, rng.choice([" ", "\n", "\t ", "\r\n", "\x0b", "\x0c"], len(ws)), strict=True))
+    got, keys = ngram_join.word_hashes(text), WORD.findall(text.translate(A_Z))
+    assert len(got) == len(keys) == len(ws)
+    of = {}
+    for k, h in zip(keys, got.tolist(), strict=True):
+        assert of.setdefault(k, h) == h
+    assert len(set(of.values())) == len(of)
+    assert [ngram_join.word_hashes(" " + k)[0] for k in list(of)[:20]] == [of[k] for k in list(of)[:20]]
+    assert len(ngram_join.word_hashes(None)) == len(ngram_join.word_hashes(" \n")) == 0
+
+
+def test_ngram_join_of_a_doc_id_with_several_texts(spark):
+    base = [f"w{k}" for k in range(40)]
+    d = spark.createDataFrame([(7, " ".join(base)), (3, " ".join(base[:-1] + ["other"])), (7, "quite another text of some more words"), (9, "Quite another text of some more words"), (7, ""), (1, ""), (5, None), (None, " ".join(base))], "doc_id bigint, text string")
+    assert rows(ngram_join.near_duplicates(d), "doc_id", "component_id") == sorted([(7, 3), (3, 3), (7, 3), (9, 3), (7, 3), (1, 1), (5, 5), (None, None)], key=repr)
+
+
+def test_blocks_cover_all_pairs_that_can_link(spark):
+    """Every pair of sets whose sizes can link meets in exactly one cell, whatever the blocks' length."""
+    rng = np.random.default_rng(8)
+    made = [(1, i, int(n), 300) for i, n in enumerate(rng.integers(1, 4000, 300))] + [(2, i, 50, 40) for i in range(40)] + [(3, i, 7 + i, 2) for i in range(2)]
+    p = ngram_join.JoinParams(block=10)
+    r, cells = ngram_join.tile_blocks(spark.createDataFrame(made, "token long, id long, n long, m long"), p)
+    blocks = {}
+    for x in r.collect():
+        blocks.setdefault((x["token"], x["band"], x["part"]), []).append(x["id"])
+    assert sum(map(len, blocks.values())) == len(made) and max(map(len, blocks.values())) < 40
+    met = Counter()
+    for c in cells.collect():
+        first, second = blocks.get((c["token"], c["band"], c["part"]), []), blocks.get((c["token"], c["band_2"], c["part_2"]), [])
+        same = (c["band"], c["part"]) == (c["band_2"], c["part_2"])
+        met.update((c["token"], *sorted((a, b))) for a in first for b in second if not same or a < b)
+    assert max(met.values()) == 1
+    sizes = {(t, i): n for t, i, n, _ in made}
+    assert all((t, i, j) in met for (t, i), n in sizes.items() for (u, j), m in sizes.items() if t == u and i < j and 100 * min(n, m) >= 75 * max(n, m))
+
+
 def test_ngram_join_keeps_one(awkward, empty):
     kept = ngram_join.one_of_each(awkward)
     assert kept.columns == awkward.columns

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Callable
+import weakref
+from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +19,6 @@ LOWER = UPPER.lower()
 #: No array that a text gives is longer; `slice` wants a length, and adds it to the start as an int.
 ALL = 2**30
 
-_scratch: list[tuple[SparkSession, str]] = []
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -43,31 +43,59 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def shared_dir(spark: SparkSession, label: str, scratch: bool = True) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share. Where that is unset (tests, local mode) one is made and set. Scratch folders go with release_scratch()."""
+def shared_dir(spark: SparkSession, label: str) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share. Where that is unset and Spark is local (tests), one is made and set; on a cluster it has to be set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
-    if scratch:
-        _scratch.append((spark, path))
-    return path
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+#: The folder of each table that written() made, and the list that the run in progress keeps of them.
+_folders: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_run: ContextVar[list[str] | None] = ContextVar("run", default=None)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a table in the shared folder: it is computed once and a lost executor costs no recomputation."""
     path = shared_dir(df.sparkSession, label)
+    if (tables := _run.get()) is not None:
+        tables.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _folders[out] = path
+    return out
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that written() made, once nothing reads them any more."""
+    for t in tables:
+        if folder := _folders.pop(t, None):
+            _delete(t.sparkSession, folder)
+
+
+@contextlib.contextmanager
+def recorded(tables: list[str]) -> Iterator[None]:
+    """Within the block, folders of written tables are added to the list: a run's own list, for release()."""
+    before = _run.set(tables)
+    try:
+        yield
+    finally:
+        _run.reset(before)
 
 
-def release_scratch(spark: SparkSession) -> None:
-    """Deletes the tables that written() made. Only for callers that have stored every result based on them."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _scratch:
-        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop()[1])
-        path.getFileSystem(conf).delete(path, True)
+def release(spark: SparkSession, tables: list[str]) -> None:
+    """Deletes a run's tables. Only after every result based on them is stored."""
+    while tables:
+        _delete(spark, tables.pop())
 
 
 def broadcast_if_small(df: DataFrame, rows: int, max_rows: int) -> DataFrame:

@@ -15,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bit, broadcast_if_small, written
+from .bitset import hashed_set, in_set
+from .common import ascii_lower, broadcast_if_small, written
 
 WINDOW = 10
 ANCHOR = WINDOW // 2
@@ -50,33 +51,12 @@ def benchmark_windows(bench: DataFrame) -> DataFrame:
     return items.select("item_id", F.least(F.size("ws"), F.lit(WINDOW)).alias("n"), F.explode(F.when(F.size("ws") < WINDOW, whole).otherwise(_grams(F.col("ws"), WINDOW))).alias("window")).distinct()
 
 
-def _slots(h: Column) -> list[Column]:
-    """Three bit numbers from one hash, 0 to SET_BITS - 1 (a remainder would be negative where the hash is, as a shift by 0 keeps its sign)."""
-    return [F.pmod(F.shiftrightunsigned(h, 21 * k), F.lit(SET_BITS)) for k in range(3)]
-
-
-def hashed_set(hashes: DataFrame) -> DataFrame:
-    """One row with an array<bigint> of SET_BITS bits, those of the hashes in column h set. Its size doesn't depend on the data."""
-    spark = hashes.sparkSession
-    slot = hashes.select(F.explode(F.array(*_slots(F.col("h")))).alias("slot"))
-    bits = slot.groupBy(F.floor(F.col("slot") / 64).alias("id")).agg(F.bit_or(bit(F.col("slot") % 64)).alias("bits"))
-    every = spark.range(SET_BITS // 64).join(bits, "id", "left").select(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")).alias("word"))
-    return every.agg(F.transform(F.sort_array(F.collect_list("word")), lambda x: x["bits"]).alias("bits"))
-
-
-def _in_set(h: Column) -> Column:
-    hit = F.lit(True)
-    for slot in _slots(h):
-        hit = hit & (F.getbit(F.get(F.col("bits"), F.floor(slot / 64).cast("int")), (slot % 64).cast("int")) == 1)
-    return hit
-
-
 def candidate_rows(docs: DataFrame, windows: DataFrame, keep: list[str]) -> DataFrame:
     """The columns to keep as `row`, n_words, and the words where the row may hold a window (else null)."""
     lengths = sorted(r["n"] for r in windows.select("n").distinct().collect())  # at most WINDOW values
     grams = windows.select("n", F.split("window", " ").alias("ws"))
     anchors = grams.select(F.explode(F.when(F.col("n") == WINDOW, _gram_hashes(F.col("ws"), ANCHOR, 1)).otherwise(F.array(F.xxhash64("ws")))).alias("h")).distinct()
-    bits = written(hashed_set(anchors), "decon-set")
+    bits = written(hashed_set(anchors, SET_BITS), "decon-set")
     rows = docs.select(F.struct(*keep).alias("row"), benchmark_words(F.col("text")).alias("ws"))
     rows = rows.select("row", "ws", F.size("ws").cast("long").alias("n_words"))
     looked_up = [_gram_hashes(F.col("ws"), ANCHOR, ANCHOR)] if WINDOW in lengths else []
@@ -86,7 +66,7 @@ def candidate_rows(docs: DataFrame, windows: DataFrame, keep: list[str]) -> Data
     rows = rows.withColumn("bits", bits.scalar())
     maybe = F.lit(False)
     for hashes in looked_up:
-        maybe = maybe | F.exists(hashes, _in_set)
+        maybe = maybe | F.exists(hashes, lambda h: in_set(F.col("bits"), h, SET_BITS))
     return rows.select("row", "n_words", F.when(maybe, F.col("ws")).alias("ws"))
 
 

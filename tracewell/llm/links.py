@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -23,7 +23,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         # After this step each link points to a smaller id; a node's smaller neighbours meet at the smallest of them.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").filter("a <> b").distinct()
-        edges = written(small, "links")
+        before, edges = edges, written(small, "links")
+        discard(before)
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if mark == (now["n"], now["h"]):
             break
@@ -37,9 +38,3 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 def with_smallest(ids: DataFrame, comps: DataFrame) -> DataFrame:
     """Adds `component` to a table with `id`: from comps, or the id itself."""
     return ids.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
-
-
-def first_and_last(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """Adds the smallest and the largest value of each key."""
-    w = Window.partitionBy(key)
-    return rows.withColumn("lowest", F.min(value).over(w)).withColumn("highest", F.max(value).over(w))

@@ -1,21 +1,23 @@
 """Exact Jaccard self-join of documents as sets of word 5-grams, and its connected components.
 
-1. Copies: documents with the same set meet by a digest of it; the smallest id stands for them.
+1. Copies: documents with the same set meet by a digest of it; one row stands for them.
 2. Candidates: with the hashes of all sets in one order, rare ones first, two sets that link share a hash among the
    first quarter of each (the prefix). A table of hashed counts over all documents gives the order.
-3. Stars: among the sets that share a prefix hash, sorted by size, each is compared with the first of its size band
-   and with its predecessor. Links found so far give components.
-4. Tiles: where a prefix hash still joins sets of different components, its sets are cut, in order of size, into blocks
-   of bounded length; blocks whose sizes can link are compared as tiles. Parity bitmaps bound the overlap from above
-   (each bit that differs is an element that only one set has); pairs within the bound, and of different components, are
+3. Stars: of the sets that share a prefix hash, each is compared with the smallest of its size band. Links found so
+   far give components.
+4. Tiles: where a prefix hash still joins sets of different components, its sets are cut into blocks of bounded length,
+   by size band; blocks whose sizes can link are compared as tiles. Parity bitmaps bound the overlap from above (each
+   bit that differs is an element that only one set has); pairs within the bound, and of different components, are
    compared exactly on their sorted arrays. Two rounds take each document's nearest only, the last one takes all that is left.
 5. The links of both steps give the components.
 
 No step loses a link between different components, so the components are exact; pairs inside a component that is known
-already are not looked at again.
+already are not looked at again. A hash that very many sets share is dealt with in parts at each step: it is counted by
+aggregations, cut into blocks without a sort, and its rows are dealt by more than the hash.
 
 Defined cases: a null text, or one without words, has the empty set, which links with nothing; rows that repeat a doc_id
-are one document; a null doc_id has a null component and links with nothing; an empty table gives an empty result.
+are one document, which links with whatever one of its texts links with; a null doc_id has a null component and links
+with nothing; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,8 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Recent, broadcast_if_small, written
-from .links import components, first_and_last, with_smallest
+from .bitset import hashed_set, in_set
+from .common import broadcast_if_small, discard, written
+from .links import components, with_smallest
+
+#: Bits of the set of digests that occur more than once. More digests only send more rows through a join.
+COPY_BITS = 1 << 22
+#: A prefix hash whose bucket counts so much, or so many times the mean bucket, is dealt in parts.
+HOT_COUNT, HOT_TIMES, HOT_PARTS = 1024, 8, 64
 
 
 @dataclass(frozen=True)
@@ -40,19 +48,35 @@ class JoinParams:
     percent: int = 75
     sketch_bits: int = 20
     bitmap_bits: int = 1024
-    block: int = 256
+    #: Sets in a block of a tile, about.
+    block: int = 2048
+    #: Size bands to the ratio at which sets can still link.
+    bands: int = 3
     #: Ids of documents whose sets are needed are broadcast up to this number, and joined by a shuffle beyond it.
     max_broadcast_ids: int = 1_000_000
-    cache_words: int = 250_000
-
-
-def word_hashes(limit: int) -> Recent:
-    """64-bit hashes of words (bytes), kept for the recent ones."""
-    return Recent(xxhash.xxh3_64_intdigest, limit)
 
 
 #: Odd multipliers, one for each place in an n-gram; powers of one fixed odd number.
 PLACES = [pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(16)]
+#: Words are hashed as polynomials of their bytes in an odd number modulo 2^64, so that sums over a text give all of them.
+BASE = 0xD6E8FEB86659FD93
+SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+PIECE = 1 << 18
+
+
+def _byte_values() -> np.ndarray:
+    """A random odd number for each byte, A-Z as a-z, and 0 for white space."""
+    t = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    t[ord("A") : ord("Z") + 1] = t[ord("a") : ord("z") + 1]
+    t[SPACES] = 0
+    return t
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n - 1, base, np.uint64))])
+
+
+VALUES, POWERS, INVERSE = _byte_values(), _powers(BASE, PIECE), _powers(pow(BASE, -1, 1 << 64), PIECE)
 
 
 def _scramble(x: np.ndarray) -> np.ndarray:
@@ -61,14 +85,37 @@ def _scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingles(text: str | None, hashes: Recent, n: int = 5) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of a whole text's word n-grams. bytes.lower() and bytes.split() treat A-Z and the six ASCII spaces only, as asked."""
-    ws = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not ws:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, ws), np.uint64, len(ws))
-    k = min(n, len(ws))
-    end = len(ws) - k + 1
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of the words between ASCII white space, A-Z lower-cased, in order. A long text is summed up in pieces, and so is a long word."""
+    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    space = np.ones(len(raw) + 2, bool)
+    space[1:-1] = SPACES[raw]
+    turns = np.flatnonzero(space[1:] != space[:-1])
+    starts, ends = turns[::2], turns[1::2]
+    sums, k = np.zeros(len(starts), np.uint64), 0
+    while k < len(starts):
+        lo = int(starts[k])
+        upto = max(k + 1, int(np.searchsorted(ends, lo + PIECE, "right")))
+        piece = raw[lo : min(int(ends[upto - 1]), lo + PIECE)]
+        total = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum(VALUES[piece] * POWERS[: len(piece)], out=total[1:])
+        at = starts[k:upto] - lo
+        sums[k:upto] = (total[np.minimum(ends[k:upto] - lo, len(piece))] - total[at]) * INVERSE[at]
+        # Only a word that is longer than a piece goes on.
+        for more in range(lo + PIECE, int(ends[k]), PIECE):
+            piece = raw[more : min(int(ends[k]), more + PIECE)]
+            sums[k : k + 1] += (VALUES[piece] * POWERS[: len(piece)]).sum(dtype=np.uint64, keepdims=True) * np.uint64(pow(BASE, more - lo, 1 << 64))
+        k = upto
+    return _scramble(sums + (ends - starts).astype(np.uint64) * np.uint64(PLACES[15]))
+
+
+def shingles(text: str | None, n: int = 5) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of a whole text's word n-grams; of its whole sequence of words, if that is shorter."""
+    h = word_hashes(text)
+    if not len(h):
+        return h
+    k = min(n, len(h))
+    end = len(h) - k + 1
     sums = h[:end] * np.uint64(PLACES[0])
     for j in range(1, k):
         sums += h[j : j + end] * np.uint64(PLACES[j])
@@ -88,15 +135,30 @@ def _folded(bits: np.ndarray, length: int) -> np.ndarray:
     return bits
 
 
+def _digest(s: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
+
+
 def _count_sketch(docs: DataFrame, p: JoinParams) -> DataFrame:
     """(part, counts): how often each hash bucket occurs over all documents, in 64 parts."""
     parts, size = 64, 1 << p.sketch_bits
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, total = word_hashes(p.cache_words), np.zeros(size, np.int64)
+        total, held, n = np.zeros(size, np.int64), [], 0
+
+        def add_up() -> None:
+            nonlocal held, n
+            if held:
+                np.add(total, np.bincount(np.concatenate(held), minlength=size), out=total)
+            held, n = [], 0
+
         for b in batches:
             for text in b["text"]:
-                np.add.at(total, (shingles(text, hashes, p.words) >> np.uint64(64 - p.sketch_bits)).astype(np.int64), 1)
+                held.append((shingles(text, p.words) >> np.uint64(64 - p.sketch_bits)).astype(np.int64))
+                n += len(held[-1])
+                if n > size:
+                    add_up()
+        add_up()
         if total.any():
             yield pd.DataFrame({"part": np.arange(parts, dtype="int32"), "counts": [x.tobytes() for x in total.reshape(parts, -1)]})
 
@@ -110,53 +172,58 @@ def _count_sketch(docs: DataFrame, p: JoinParams) -> DataFrame:
     return docs.select("text").mapInPandas(count, "part int, counts binary").groupBy("part").applyInPandas(add, "part int, counts binary")
 
 
-def order_classes(docs: DataFrame, p: JoinParams) -> np.ndarray:
-    """The logarithm of each bucket's count, in 256 steps: 2^sketch_bits bytes whatever the corpus."""
+def order_classes(docs: DataFrame, p: JoinParams) -> tuple[np.ndarray, int]:
+    """The logarithm of each bucket's count, in 256 steps: 2^sketch_bits bytes whatever the corpus. And the class from which on a bucket holds a hash that is dealt in parts."""
     out = np.zeros(1 << p.sketch_bits, np.int64)
     width = len(out) // 64
     for r in _count_sketch(docs, p).collect():
         out[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(r["counts"], np.int64)
-    return np.minimum(255, np.log2(np.maximum(out, 1)) * 4).astype(np.uint8)
+    steps = lambda n: np.minimum(255, np.log2(np.maximum(n, 1)) * 4).astype(np.uint8)
+    return steps(out), int(steps(np.array([max(HOT_COUNT, HOT_TIMES * out.mean())]))[0])
 
 
 def _signatures(docs: DataFrame, classes: np.ndarray, p: JoinParams) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, prefix (the first hashes in the order), bitmap (of one length for all), fine (a bitmap of four or more bits a hash)."""
+    """doc_id, n (size of the set), digest of the set, prefix (the first hashes in the order, their class in the upper 8 bits), bitmap (of one length for all), fine (a bitmap of four or more bits a hash)."""
     spark = docs.sparkSession
     table = spark.sparkContext.broadcast(classes)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, rank = word_hashes(p.cache_words), table.value
+        rank = table.value
         for b in batches:
             n, digest, prefix, bitmap, fine = [], [], [], [], []
-            for text in b.column("text").to_pylist():
-                s = shingles(text, hashes, p.words)
+            for text in b.column("text"):
+                s = shingles(text.as_py(), p.words)
                 keep = len(s) - (p.percent * len(s) + 99) // 100 + 1 if len(s) else 0
                 order = (rank[(s >> np.uint64(64 - p.sketch_bits)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | ((s * np.uint64(PLACES[0])) >> np.uint64(8))
                 if keep < len(order):
                     order = np.partition(order, keep - 1)[:keep]
                 n.append(len(s))
-                digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                digest.append(_digest(s))
                 prefix.append((order ^ np.uint64(1 << 63)).view(np.int64))  # signed longs in the same order
-                fine.append(_parity_bits(s, max(p.bitmap_bits, 1 << (4 * len(s)).bit_length())))
-                bitmap.append(_folded(fine[-1], p.bitmap_bits // 8).tobytes())
+                bits = _parity_bits(s, max(p.bitmap_bits, 1 << (4 * len(s)).bit_length()))
+                fine.append(bits.tobytes())
+                bitmap.append(_folded(bits, p.bitmap_bits // 8).tobytes())
             flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in prefix])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), lists, pa.array(bitmap, pa.binary()), pa.array([x.tobytes() for x in fine], pa.binary())], names=["doc_id", "n_shingles", "digest", "prefix", "bitmap", "fine"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), lists, pa.array(bitmap, pa.binary()), pa.array(fine, pa.binary())], names=["doc_id", "n", "digest", "prefix", "bitmap", "fine"])
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id bigint, n_shingles bigint, digest binary, prefix array<bigint>, bitmap binary, fine binary")
+    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id bigint, n bigint, digest binary, prefix array<bigint>, bitmap binary, fine binary")
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, p: JoinParams) -> DataFrame:
-    """(id, arr): the sorted hashes, as bytes, of the documents with these ids."""
-    n = ids.count()
+def _sets_of(docs: DataFrame, ids: DataFrame, reps: DataFrame, p: JoinParams) -> DataFrame:
+    """(id, arr): the sorted hashes, as bytes, of the sets with these ids, from the texts again."""
+    wanted = written(reps.join(ids, "id", "left_semi").select("doc_id", "id", "digest"), "join-wanted")
+    n = wanted.count()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = word_hashes(p.cache_words)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([shingles(t, hashes, p.words).tobytes() for t in b.column("text").to_pylist()], pa.binary())], names=["id", "arr"])
+            sets = [shingles(t.as_py(), p.words) for t in b.column("text")]
+            # Rows that repeat a doc_id may have other texts: the digest tells.
+            same = pa.array([_digest(s) == d.as_py() for s, d in zip(sets, b.column("digest"), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "arr"]).filter(same)
 
-    return docs.select(F.col("doc_id").alias("id"), "text").join(broadcast_if_small(ids, n, p.max_broadcast_ids), "id", "left_semi").mapInArrow(make, "id bigint, arr binary")
+    return docs.select("doc_id", "text").join(broadcast_if_small(wanted, n, p.max_broadcast_ids), "doc_id").select("id", "digest", "text").mapInArrow(make, "id bigint, arr binary").dropDuplicates(["id"])
 
 
 def _overlap_bound(n_a: np.ndarray, n_b: np.ndarray, differ: np.ndarray, p: JoinParams) -> np.ndarray:
@@ -168,7 +235,7 @@ def _overlap_bound(n_a: np.ndarray, n_b: np.ndarray, differ: np.ndarray, p: Join
 def _possible(pairs: DataFrame, bitmaps: DataFrame, p: JoinParams) -> DataFrame:
     """The pairs (a, b) whose sizes and bitmaps leave a link possible."""
     side = lambda c: bitmaps.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("fine").alias(f"bits_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(100 * F.least("n_a", "n_b") >= p.percent * F.greatest("n_a", "n_b"))
 
     def differing(x: bytes, y: bytes) -> int:
         u, v = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
@@ -181,13 +248,13 @@ def _possible(pairs: DataFrame, bitmaps: DataFrame, p: JoinParams) -> DataFrame:
             keep = _overlap_bound(b.column("n_a").to_numpy(), b.column("n_b").to_numpy(), differ, p)
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(check, "a bigint, b bigint").distinct()
+    return both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(check, "a bigint, b bigint")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, p: JoinParams) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, p: JoinParams) -> DataFrame:
     """The pairs (a, b) whose sets link."""
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "join-ids")
-    sets = written(_sets_of(docs, ids, p), "join-sets")
+    sets = written(_sets_of(docs, ids, reps, p), "join-sets")
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("arr").alias("arr_a")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("arr").alias("arr_b")), "b")
 
@@ -209,19 +276,35 @@ def _verified(pairs: DataFrame, docs: DataFrame, p: JoinParams) -> DataFrame:
     return both.select("a", "b", "arr_a", "arr_b").mapInArrow(check, "a bigint, b bigint")
 
 
-def _tile_pairs(tiles: DataFrame, p: JoinParams, nearest: bool) -> DataFrame:
-    """Pairs (a, b) of different components whose bitmaps leave a link possible: all, or for each document of a tile the one whose bitmap differs least. tiles: token, id, n, component, bitmap."""
-    by_size = Window.partitionBy("token").orderBy("n", "id")
-    rows = tiles.withColumn("block", F.floor((F.row_number().over(by_size) - 1) / p.block).cast("int"))
-    bands = rows.groupBy("token", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    other = bands.select("token", F.col("block").alias("block_2"), F.col("low").alias("low_2"))
-    # Blocks are in order of size; two are compared if the first one's largest set can link with the second's smallest.
-    cells = bands.join(other, "token").filter(f"block <= block_2 and 100 * high >= {p.percent} * low_2").select("token", "block", "block_2")
-    sides = cells.select("token", "block", "block_2", F.explode(F.when(F.col("block") == F.col("block_2"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side"))
-    sides = sides.select("token", F.when(F.col("side") == 0, F.col("block")).otherwise(F.col("block_2")).alias("block"), F.xxhash64("token", "block", "block_2").alias("tile"), (F.col("block") == F.col("block_2")).alias("same"), "side")
-    dealt = sides.join(rows, ["token", "block"]).repartition("tile").sortWithinPartitions("tile", "side")
-
-    def tile_pairs(first: np.ndarray, second: np.ndarray, same: bool, n: np.ndarray, comp: np.ndarray, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def tile_blocks(members: DataFrame, p: JoinParams) -> tuple[DataFrame, DataFrame]:
+    """(members with band and part, cells): a token's sets cut into blocks, and the pairs of blocks to compare. members: token, id, n, m (sets of the token), ...
+
+    A token of up to p.block sets is one block. The sets of others are cut by size band, and a band by a hash of the id
+    into parts of about p.block. Cells are pairs of blocks, each pair once, whose sizes can link.
+    """
+    width = float(np.log(100 / p.percent)) / p.bands
+    banded = members.withColumn("band", F.when(F.col("m") <= p.block, 0).otherwise(F.floor(F.log(F.col("n").cast("double")) / width)).cast("int"))
+    bands = banded.groupBy("token", "band").agg(F.count("*").alias("c"), F.min("n").alias("low"), F.max("n").alias("high")).withColumn("parts", F.ceil(F.col("c") / p.block).cast("int"))
+    rows = banded.join(bands.select("token", "band", "parts"), ["token", "band"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+    part = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    blocks = bands.withColumn("part", part("parts")).withColumn("band_2", F.explode(F.sequence(F.col("band"), F.col("band") + p.bands + 1)))
+    other = bands.select("token", F.col("band").alias("band_2"), F.col("low").alias("low_2"), F.col("parts").alias("parts_2"))
+    cells = blocks.join(other, ["token", "band_2"]).filter(f"100 * high >= {p.percent} * low_2").withColumn("part_2", part("parts_2"))
+    return rows, cells.filter("band < band_2 or part <= part_2").select("token", "band", "part", "band_2", "part_2")
+
+
+def _tile_pairs(members: DataFrame, bitmaps: DataFrame, p: JoinParams, nearest: bool) -> DataFrame:
+    """Pairs (a, b) of different components whose bitmaps leave a link possible: all, or for each document of a tile the one whose bitmap differs least. members: token, id, n, m, component."""
+    rows, cells = tile_blocks(members, p)
+    place = F.struct("token", "band", "part", "band_2", "part_2")
+    same = (F.col("band") == F.col("band_2")) & (F.col("part") == F.col("part_2"))
+    sides = cells.select(F.xxhash64(place).alias("tile"), F.hash(place).alias("tile_2"), same.alias("same"), "token", F.explode(F.when(same, F.array(F.struct(F.lit(0).alias("side"), "band", "part"))).otherwise(
+        F.array(F.struct(F.lit(0).alias("side"), "band", "part"), F.struct(F.lit(1).alias("side"), F.col("band_2").alias("band"), F.col("part_2").alias("part"))))).alias("s"))
+    dealt = sides.select("tile", "tile_2", "same", "token", "s.*").join(rows, ["token", "band", "part"]).select("tile", "tile_2", "same", "side", "id", "component")
+    # Bitmaps come in last, so that they travel twice only: to the rows and to the tiles.
+    dealt = dealt.join(bitmaps.select("id", "n", "bitmap"), "id").repartition("tile", "tile_2").sortWithinPartitions("tile", "tile_2", "side")
+
+    def pairs_in(first: np.ndarray, second: np.ndarray, same: bool, n: np.ndarray, comp: np.ndarray, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for at, i in enumerate(first):
             js = second[at + 1 :] if same else second
             js = js[comp[js] != comp[i]]
@@ -233,15 +316,15 @@ def _tile_pairs(tiles: DataFrame, p: JoinParams, nearest: bool) -> DataFrame:
                     yield np.full(len(js), i), js
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["tile", "same", "side", "id", "n", "component"]
+        names = ["tile", "tile_2", "same", "side", "id", "n", "component"]
 
         def pairs_of(rows: list[np.ndarray], bits: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
-            _, same, side, ids, n, comp = rows
+            _, _, same, side, ids, n, comp = rows
             got = []
             for s, e in zip(starts, ends, strict=True):
                 at = np.arange(s, e)
                 first, second = (at, at) if same[s] else (at[side[s:e] == 0], at[side[s:e] == 1])
-                got += tile_pairs(first, second, bool(same[s]), n, comp, bits)
+                got += pairs_in(first, second, bool(same[s]), n, comp, bits)
             i, j = (ids[np.concatenate([g[k] for g in got])] if got else np.zeros(0, np.int64) for k in (0, 1))
             both = np.unique(np.stack([np.maximum(i, j), np.minimum(i, j)], 1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
@@ -254,53 +337,94 @@ def _tile_pairs(tiles: DataFrame, p: JoinParams, nearest: bool) -> DataFrame:
                 new, new_bits = [np.concatenate([x, y]) for x, y in zip(rows, new, strict=True)], np.concatenate([bits, new_bits])
             if not len(new[0]):
                 continue
-            starts = np.concatenate([[0], np.flatnonzero(new[0][1:] != new[0][:-1]) + 1])
+            starts = np.concatenate([[0], np.flatnonzero((new[0][1:] != new[0][:-1]) | (new[1][1:] != new[1][:-1])) + 1])
             # The last tile may go on in the next batch.
             yield pairs_of(new, new_bits, starts[:-1], starts[1:])
             rows, bits = [x[starts[-1] :] for x in new], new_bits[starts[-1] :]
         if rows is not None and len(rows[0]):
             yield pairs_of(rows, bits, np.array([0]), np.array([len(rows[0])]))
 
-    return dealt.select("tile", "same", "side", "id", "n", "component", "bitmap").mapInArrow(compare, "a bigint, b bigint").distinct()
+    return dealt.select(*["tile", "tile_2", "same", "side", "id", "n", "component"], "bitmap").mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id."""
-    docs = docs.select("doc_id", "text")
-    signed = written(_signatures(docs, order_classes(docs, p), p), "join-signed")
-    real = signed.filter("doc_id is not null and n_shingles > 0")
-    reps = written(real.groupBy("digest").agg(F.min("doc_id").alias("id")), "join-reps")
-    chosen = real.withColumnRenamed("doc_id", "id").join(reps, ["digest", "id"], "left_semi").dropDuplicates(["digest", "id"])
-    chosen = written(chosen.select("id", F.col("n_shingles").alias("n"), "prefix", "bitmap", "fine"), "join-chosen")
+def _one_per_set(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the rows of signed that stand for a set each, sets): sets has digest, id (of that row), doc_id (of that row) and min_doc. Only sets that a small bit array says may have copies are joined; all other rows stay where they are."""
+    real = signed.filter("doc_id is not null and n > 0")
+    sets = written(real.groupBy("digest").agg(F.min(F.struct("id", "doc_id")).alias("row"), F.min("doc_id").alias("min_doc"), F.count("*").alias("copies")).select("digest", "row.id", "row.doc_id", "min_doc", "copies"), "join-sets")
+    bits = written(hashed_set(sets.filter("copies > 1").select(F.xxhash64("digest").alias("h")), COPY_BITS), "join-copies")
+    may = in_set(F.col("bits"), F.xxhash64("digest"), COPY_BITS)
+    tested = real.withColumn("bits", bits.scalar()).withColumn("may", may).drop("bits")
+    copied = written(tested.filter("may").join(sets.select("id"), "id", "left_semi"), "join-copied")
+    return tested.filter("not may").unionByName(copied).drop("may"), sets.drop("copies")
+
 
-    by_token, of_doc = Window.partitionBy("token"), Window.partitionBy("id").orderBy("token")
+def shared_tokens(chosen: DataFrame, hot_class: int) -> DataFrame:
+    """token, id, m (the token's sets): prefix hashes that two or more sets have, without those whose sets all meet at another one."""
     tokens = chosen.select("id", F.explode("prefix").alias("token"))
-    shared = tokens.withColumn("members", F.count("*").over(by_token)).filter("members > 1").select("token", "id")
-    # A tile is left out if all its members have the same shared hash before this one: they all meet in that one's tile.
+    # The class is in the upper 8 bits. A hot hash is dealt in parts; so is any other hash of its bucket.
+    hot = F.shiftright("token", 56) + 128 >= hot_class
+    parted = tokens.withColumn("salt", F.when(hot, F.pmod(F.xxhash64("id"), F.lit(HOT_PARTS))).otherwise(0).cast("int"))
+    shared = parted.withColumn("members", F.count("*").over(Window.partitionBy("token", "salt"))).filter((F.col("members") > 1) | hot).select("token", "id")
+    # A token is left out if all its sets have the same shared hash before this one: they all meet in that one's tile.
     # So a passage that documents share, with many hashes in their prefixes, makes one tile and not many.
-    before = shared.withColumn("prev", F.lag("token").over(of_doc))
-    marked = before.withColumn("low", F.min("prev").over(by_token)).withColumn("high", F.max("prev").over(by_token)).withColumn("open", F.count(F.when(F.col("prev").isNull(), 1)).over(by_token))
-    kept = marked.filter("open > 0 or low <> high").select("token", "id")
-    sizes = chosen.select("id", F.col("n"), F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / p.percent))).alias("band")).dropDuplicates(["id"])
-    sized = kept.join(sizes, "id")
-    starred = sized.withColumn("before", F.lag("id").over(by_token.orderBy("n", "id"))).withColumn("first", F.first("id").over(Window.partitionBy("token", "band").orderBy("n", "id")))
-    starred = written(starred.select("token", "id", "n", "before", "first"), "join-shared")
-    bitmaps = chosen.select("id", "n", "fine")
-    stars = starred.select("id", F.explode(F.array("before", "first")).alias("to")).filter("to is not null and to <> id")
-    stars = written(_possible(stars.select(F.greatest("id", "to").alias("a"), F.least("id", "to").alias("b")).distinct(), bitmaps, p), "join-stars")
-    links = written(_verified(stars, docs, p), "join-links")
+    before = written(shared.withColumn("prev", F.lag("token").over(Window.partitionBy("id").orderBy("token"))), "join-shared")
+    stat = before.groupBy("token").agg(F.count("*").alias("m"), F.min("prev").alias("low"), F.max("prev").alias("high"), F.count(F.when(F.col("prev").isNull(), 1)).alias("open"))
+    kept = stat.filter("m > 1 and (open > 0 or low <> high)").select("token", "m")
+    return before.select("token", "id").join(kept, "token")
+
+
+def _same_document(real: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between the sets of rows that repeat a doc_id."""
+    several = real.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high").select("doc_id", "low")
+    each = real.select("doc_id", "digest").join(several, "doc_id").filter("digest <> low").distinct()
+    ids = sets.select("digest", "id")
+    return each.join(ids.withColumnRenamed("id", "a"), "digest").select("a", F.col("low").alias("digest")).join(ids.withColumnRenamed("id", "b"), "digest").select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id."""
+    docs = docs.select("doc_id", "text")
+    classes, hot_class = order_classes(docs, p)
+    signed = written(_signatures(docs, classes, p).withColumn("id", F.monotonically_increasing_id()), "join-signed")
+    real = signed.filter("doc_id is not null and n > 0").select("doc_id", "digest")
+    chosen, sets = _one_per_set(signed)
+    tokens = written(shared_tokens(chosen, hot_class), "join-tokens")
+    sizes = chosen.select("id", "n", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / p.percent))).cast("int").alias("star_band"))
+    members = written(tokens.join(sizes, "id"), "join-members")
+    bitmaps = written(chosen.select("id", "n", "bitmap", "fine").join(members.select("id").distinct(), "id", "left_semi"), "join-bitmaps")
+    slim = written(signed.select("doc_id", F.col("n").alias("n_shingles"), "digest"), "join-documents")
+    same_document = written(_same_document(real, sets), "join-repeated")
+    discard(signed, tokens)
+
+    firsts = members.groupBy("token", "star_band").agg(F.min(F.struct("n", "id"))["id"].alias("first"))
+    stars = members.select("token", "star_band", "id").join(firsts, ["token", "star_band"]).filter("id <> first").select(F.greatest("id", "first").alias("a"), F.least("id", "first").alias("b")).distinct()
+    stars = written(_possible(stars, bitmaps, p), "join-stars")
+    links = written(_verified(stars, docs, sets, p).unionByName(same_document), "join-links")
     comps = components(links)
     # First each document's nearest in a tile, which joins most components; then whatever is left.
     for nearest in (True, True, False):
-        members = with_smallest(starred.select("token", "id", "n"), comps)
-        split = first_and_last(members, "token", "component").filter("lowest <> highest").drop("lowest", "highest")
-        tiles = written(split.join(chosen.select("id", "bitmap").dropDuplicates(["id"]), "id"), "join-tiles")
-        pairs = written(_possible(_tile_pairs(tiles, p, nearest), bitmaps, p), "join-pairs")
-        links = written(links.unionByName(_verified(pairs, docs, p)), "join-links")
-        comps = components(links)
-
-    of_set = with_smallest(reps, comps).select("digest", "component")
-    return signed.join(of_set, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+        known = with_smallest(members.select("token", "id", "n", "m"), comps)
+        open_tokens = known.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("token")
+        left = written(known.join(open_tokens, "token", "left_semi"), "join-open")
+        pairs = written(_possible(_tile_pairs(left, bitmaps, p, nearest), bitmaps, p), "join-pairs")
+        more = written(links.unionByName(_verified(pairs, docs, sets, p)), "join-links")
+        discard(left, pairs, links)
+        links, comps = more, components(more)
+    discard(members, bitmaps)
+
+    of_set = written(with_smallest(sets.select("id", "digest", "min_doc"), comps), "join-components")
+    least = of_set.groupBy("component").agg(F.min("min_doc").alias("component_id"))
+    of_digest = of_set.select("digest", "component").join(least, "component").select("digest", "component_id")
+    # A row without words counts as its document's other rows do, if there are some.
+    other = slim.filter("n_shingles = 0 and doc_id is not null").select("doc_id").distinct().join(real_digests(slim), "doc_id")
+    others = written(other, "join-others")
+    rows = slim.join(broadcast_if_small(others, others.count(), p.max_broadcast_ids), "doc_id", "left").withColumn("digest", F.coalesce("digest", "other")).drop("other")
+    return rows.join(of_digest, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def real_digests(slim: DataFrame) -> DataFrame:
+    """(doc_id, other): the smallest digest of the sets of each document that has one."""
+    return slim.filter("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("other"))
 
 
 def one_of_each(docs: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
