@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm.common import read, release_scratch, shared_dir
+from tracewell.llm.common import read, recorded, release, shared_dir
 from tracewell.llm.decontaminate import clean_documents
 from tracewell.llm.mixing import mixed_documents
 from tracewell.llm.ngram_join import one_of_each
@@ -13,34 +15,39 @@ from tracewell.llm.queries import tokenizer_path
 from tracewell.llm.token_files import FileParams, token_digest
 
 
+#: Folders of the tables that the stage in progress made. The next stage deletes them: by then its input is stored.
+_tables: list[str] = []
+
+
+def _stage(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    release(spark, _tables)
+    with recorded(_tables):
+        return make()
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    release_scratch(spark)
-    return accepted(docs, read(spark, sf_dir, "labels"))
+    return _stage(spark, lambda: accepted(docs, read(spark, sf_dir, "labels")))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
-    release_scratch(spark)
-    return one_of_each(docs)
+    return _stage(spark, lambda: one_of_each(docs))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark window go."""
-    release_scratch(spark)
-    return clean_documents(docs, read(spark, sf_dir, "benchmark"))
+    return _stage(spark, lambda: clean_documents(docs, read(spark, sf_dir, "benchmark")))
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are mixed to their target weights: a row for each document and pass, with the words that the pass takes."""
-    release_scratch(spark)
-    return mixed_documents(docs)
+    return _stage(spark, lambda: mixed_documents(docs))
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files are written and read again: doc_id, start, n_tokens, ids_crc32."""
-    release_scratch(spark)
-    return token_digest(spark, docs, FileParams(tokenizer_path()))
+    return _stage(spark, lambda: token_digest(spark, docs, FileParams(tokenizer_path())))
 
 
 STAGES = [
@@ -57,7 +64,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES:
         out = stage(spark, docs, sf_dir)
-        path = shared_dir(spark, "pipeline", scratch=False)
+        path = shared_dir(spark, "pipeline")
         out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
     return docs
