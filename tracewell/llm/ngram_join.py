@@ -285,8 +285,12 @@ def tile_blocks(members: DataFrame, p: JoinParams) -> tuple[DataFrame, DataFrame
     width = float(np.log(100 / p.percent)) / p.bands
     banded = members.withColumn("band", F.when(F.col("m") <= p.block, 0).otherwise(F.floor(F.log(F.col("n").cast("double")) / width)).cast("int"))
     bands = banded.groupBy("token", "band").agg(F.count("*").alias("c"), F.min("n").alias("low"), F.max("n").alias("high")).withColumn("parts", F.ceil(F.col("c") / p.block).cast("int"))
-    rows = banded.join(bands.select("token", "band", "parts"), ["token", "band"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
     part = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    # The rows of a band that is large or has a large token are dealt to several tasks.
+    spread = lambda c: F.when(F.col(c) > HOT_COUNT, HOT_PARTS).otherwise(1)
+    sized = bands.join(banded.select("token", "m").distinct().filter(F.col("m") > HOT_COUNT), "token", "left").withColumn("deals", spread("m")).withColumn("deal", part("deals"))
+    rows = banded.withColumn("deal", F.pmod(F.xxhash64("id"), spread("m")).cast("int")).join(sized.select("token", "band", "deal", "parts"), ["token", "band", "deal"])
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id", "token"), F.col("parts")).cast("int")).drop("parts", "deal")
     blocks = bands.withColumn("part", part("parts")).withColumn("band_2", F.explode(F.sequence(F.col("band"), F.col("band") + p.bands + 1)))
     other = bands.select("token", F.col("band").alias("band_2"), F.col("low").alias("low_2"), F.col("parts").alias("parts_2"))
     cells = blocks.join(other, ["token", "band_2"]).filter(f"100 * high >= {p.percent} * low_2").withColumn("part_2", part("parts_2"))
