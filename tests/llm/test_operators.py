@@ -417,6 +417,22 @@ def test_line_dedup_awkward(awkward, empty):
     assert line_dedup.dedup_lines(awkward).columns == [*awkward.columns, "n_lines", "n_dropped", "kept_text"]
 
 
+def test_first_documents_stream(spark, sf_dir):
+    """Common lines go on over several partitions; the window reads the sorted buckets without another exchange."""
+    made = [(i, "one line that all documents hold\n" * 3 + f"line {i % 7} of seven\nown line {i}") for i in range(400)] + [(None, "one line that all documents hold\nonly here and nowhere else"), (2**63 - 1, "own line 5\nonly here and nowhere else")]
+    d = spark.createDataFrame(made, "doc_id bigint, text string")
+    seen = line_dedup.first_documents(line_dedup.line_hashes(d))
+    plan = seen._jdf.queryExecution().executedPlan().toString()
+    window = plan[plan.index("Window") :]
+    assert "Sort [part" in window and "Exchange hashpartitioning" not in window and "Exchange rangepartitioning" not in window
+    first = {}
+    for r in seen.collect():
+        first.setdefault((r["h1"], r["h2"]), set()).add(r["first_doc"])
+    assert all(len(v) == 1 for v in first.values())
+    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.line_digest(d).collect()}
+    assert got[None] == 2 and got[2**63 - 1] == 1 and got[0] == 0 and [got[i] for i in range(1, 400)] == [3 + (i >= 7) for i in range(1, 400)]
+
+
 # 9 and 10
 
 

@@ -70,6 +70,21 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, label: str, n: int, *columns: str) -> DataFrame:
+    """df as a table in the shared folder whose rows are in n buckets by these columns: groups and windows by them need no exchange. df should have few values of them in a task, as each task writes a file for each bucket it has."""
+    spark = df.sparkSession
+    path = shared_dir(spark, label)
+    if (tables := _run.get()) is not None:
+        tables.append(path)
+    name = f"{label.replace('-', '_')}_{uuid.uuid4().hex[:12]}"
+    df.write.format("parquet").bucketBy(n, *columns).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out.schema  # resolved now; the name can go, the files stay
+    spark.sql(f"DROP TABLE {name}")
+    _folders[out] = path
+    return out
+
+
 def _delete(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
