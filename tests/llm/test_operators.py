@@ -489,22 +489,43 @@ def test_token_files_empty(spark, empty):
 @pytest.mark.parametrize("which", ["docs", "awkward"])
 def test_token_counts(request, encode, which):
     d = request.getfixturevalue(which)
-    got = token_counts.edited_counts(d, token_counts.mask_numbers, token_counts.CountParams(tokenizer_path()))
+    got = token_counts.edited_counts(d, token_counts.masked_numbers(d), token_counts.CountParams(tokenizer_path()))
     want = [(i, len(encode(t)), len(re.findall("[0-9]{4,}", t or "")), len(encode(re.sub("[0-9]{4,}", "<number>", t or "")))) for i, t in texts(d)]
     assert rows(got, "doc_id", "n_tokens", "n_edits", "n_tokens_after") == sorted(want, key=repr)
 
 
 def test_token_counts_of_any_edits(encode):
     rng = np.random.default_rng(5)
-    text = "The quick  brown fox's\n\n jumps; over 1234 lazy dogs, isn't it?  " * 12
-    count = lambda t: len(encode(t))
-    for _ in range(60):
-        edits = token_counts.valid_edits(text, [(int(a), int(a + b), ["", " ", "x", "  y ", "\n", "'s"][int(c)]) for a, b, c in zip(rng.integers(0, len(text), 5), rng.integers(0, 30, 5), rng.integers(0, 6, 5), strict=True)])
-        tree = token_counts.CountTree(text, count, 4)
-        assert tree.total == count(text)
-        tree.apply(edits)
-        assert tree.total == count(token_counts.edited(text, edits)), edits
-        assert tree.total == int(tree.tree[tree.base :].sum())
+    own = tokenizer.encoder(tokenizer_path())
+    for text in ("The quick  brown fox's\n\n jumps; over 1234 lazy dogs, isn't it?  " * 12, "語 x\xa0 y <|endoftext|> z one two  three\x1c four " * 9, "x" * 3000, " " * 40, "a"):
+        for _ in range(40):
+            edits = token_counts.valid_edits(text, [(int(a), int(a + b), ["", " ", "x", "  y ", "\n", "'s", " one two three four"][int(c)]) for a, b, c in zip(rng.integers(0, len(text) + 1, 5), rng.integers(0, 30, 5), rng.integers(0, 7, 5), strict=True)])
+            chars, tokens = token_counts.leaves_of(text, own, 4)
+            assert chars.sum() == len(text) and tokens.sum() == len(encode(text))
+            tree = token_counts.CountTree(text, chars, tokens)
+            tree.apply(edits, lambda x: token_counts.leaves_of(x, own, 4))
+            assert tree.total == len(encode(token_counts.edited(text, edits))), edits
+            assert tree.total == int(tree.tree[tree.base :].sum())
+            after = tree.leaves(chars, tokens)
+            assert after[0].sum() == len(token_counts.edited(text, edits)) and after[1].sum() == tree.total
+
+
+def test_kept_trees_take_later_edits(spark, encode):
+    """Two batches of edits after one another; trees of other documents are not encoded, and of edited ones only regions are."""
+    long = " ".join(f"word{k}" for k in range(5000))
+    d = spark.createDataFrame([(1, "one 1234 two"), (2, "untouched text"), (2, "untouched text"), (3, long), (None, "no id 55"), (4, None)], "doc_id bigint, text string")
+    p = token_counts.CountParams(tokenizer_path(), leaf=2)
+    trees = token_counts.count_trees(d, p)
+    edits = spark.createDataFrame([(1, 4, 8, "<number>"), (1, 5, 6, "overlaps"), (3, 600, 605, "other"), (None, 0, 2, "yes"), (4, 0, 0, "new text"), (9, 0, 1, "nobody")], "doc_id bigint, start int, end int, new string")
+    after = token_counts.edited_trees(trees, token_counts.touched_documents(d, edits), p)
+    new = {1: "one <number> two", 2: "untouched text", 3: long[:600] + "other" + long[605:], None: "yes id 55", 4: "new text"}
+    got = after.collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"], r["text_hash"]) for r in got) == sorted((str(i), len(encode(new[i])), token_counts.text_hash(new[i])) for i in [1, 2, 2, 3, None, 4])
+    again = {r["doc_id"]: r["n_chars_encoded_again"] for r in got}
+    assert again[2] == 0 and 0 < again[3] < 200 and {r["doc_id"]: r["n_edits"] for r in got} == {1: 1, 2: 0, 3: 1, None: 1, 4: 1}
+    now = spark.createDataFrame(list(new.items()), "doc_id bigint, text string")
+    second = token_counts.edited_trees(after.select("doc_id", "text_hash", "chars", "tokens"), token_counts.touched_documents(now, spark.createDataFrame([(3, 0, 5, "first"), (1, 16, 16, " end")], "doc_id bigint, start int, end int, new string")), p)
+    assert {r["doc_id"]: r["n_tokens"] for r in second.collect()} == {i: len(encode({1: "one <number> two end", 3: "first" + new[3][5:]}.get(i, new[i]))) for i in new}
 
 
 def test_pieces_are_the_librarys():

@@ -16,7 +16,7 @@ from .oracle import ORACLE
 from .quality_model import quality_digest
 from .quality_rules import rule_columns
 from .secrets import secret_digest
-from .token_counts import CountParams, edited_counts, mask_numbers
+from .token_counts import CountParams, edited_counts, masked_numbers
 from .token_files import FileParams, token_digest
 
 
@@ -63,7 +63,8 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edited_counts(read(spark, sf_dir, "documents"), mask_numbers, CountParams(tokenizer_path()))
+    docs = read(spark, sf_dir, "documents")
+    return edited_counts(docs, masked_numbers(docs), CountParams(tokenizer_path()))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
