@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -226,6 +227,20 @@ def test_secrets(request, spark, which):
     assert rows(secrets.secret_digest(d), "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans") == want
 
 
+def test_secrets_of_long_strings(spark):
+    """An embedded image of half a megabyte, and thousands of matches in one text."""
+    rng = np.random.default_rng(4)
+    blob = "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), 500_000))
+    keys = " ".join(f"token={k:06d}ab {k:024x}" for k in range(3000))
+    d = spark.createDataFrame([(1, f"<img src='data:{blob}'>"), (2, keys)], "doc_id bigint, text string")
+    began = time.time()
+    got = {r["doc_id"]: r for r in secrets.secret_digest(d).collect()}
+    assert time.time() - began < 120
+    assert got[1]["spans"].startswith("entropy:") and got[1]["n_hex"] == 0
+    assert (got[2]["n_assign"], got[2]["n_hex"]) == (3000, 3000)
+    assert got[2]["base_sha256"] == brute_spans(keys)[3]
+
+
 def test_secrets_empty(empty):
     assert secrets.secret_digest(empty).count() == 0
 

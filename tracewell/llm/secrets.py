@@ -40,45 +40,81 @@ class EntropyParams:
 SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
 
 
+def _blocks(arr: Column, size: int) -> Column:
+    """Numbers of the blocks of an array."""
+    return F.when(F.size(arr) > 0, F.sequence(F.lit(0), F.floor((F.size(arr) - 1) / size).cast("int"))).otherwise(F.array().cast("array<int>"))
+
+
 def _placed(text: Column, matches: Column, pattern: str) -> Column:
-    """start, end and text of each match. The text between matches, from split() by the same pattern, gives the positions."""
+    """start, end and text of each match. The text between matches, from split() by the same pattern, gives the positions: running sums of lengths within blocks of matches, and over the blocks, so that no long array is copied for each match."""
+    n = 64
     gaps = F.slice(F.split(text, pattern, -1), 1, F.size(matches))
     both = F.zip_with(gaps, matches, lambda g, m: F.struct(F.char_length(g).alias("gap"), F.char_length(m).alias("len"), m.alias("match")))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint,match:string>>").alias("out"))
+    blocks = F.transform(_blocks(matches, n), lambda k: F.slice(both, k * n + 1, F.lit(n)))
+    none = F.array().cast("array<struct<start:bigint,end:bigint,match:string>>")
+    zero = F.lit(0).cast("bigint")
 
     def put(acc, x):
         s = acc["at"] + x["gap"]
         e = s + x["len"]
         return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("start"), e.alias("end"), x["match"].alias("match")))).alias("out"))
 
-    return F.when(F.size(matches) > 0, F.aggregate(both, start, put, lambda a: a["out"])).otherwise(start["out"])
+    # Positions within each block, and the block's length.
+    inside = F.transform(blocks, lambda xs: F.aggregate(xs, F.struct(zero.alias("at"), none.alias("out")), put))
+    bases = F.aggregate(inside, F.array(zero), lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) + b["at"])))
+    moved = F.zip_with(inside, F.slice(bases, F.lit(1), F.size(inside)), lambda b, base: F.transform(b["out"], lambda x: F.struct((x["start"] + base).alias("start"), (x["end"] + base).alias("end"), x["match"].alias("match"))))
+    return F.when(F.size(matches) > 0, F.flatten(moved)).otherwise(none)
 
 
 def _as_spans(placed: Column, kind: int) -> Column:
     return F.transform(placed, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end"))).cast(SPAN)
 
 
-def window_span(string: Column, p: EntropyParams) -> Column:
-    """struct(first, last): where the first window over its class's threshold starts and where the last ends, from 0; nulls if there is none."""
+#: Counts of twelve symbols, of five bits each, make a word; a window has fewer than 32 characters.
+PER_WORD, BITS = 12, 5
+WORDS = -(-len(SYMBOLS) // PER_WORD)
+#: Entropy is summed up in whole numbers of this part of a bit, so that nothing drifts in long strings.
+UNIT = 1 << 40
+
+
+def threshold(string: Column, p: EntropyParams) -> Column:
+    """The largest sum of k log k over a window's symbol counts, in UNITs, at which the window reaches its class's entropy."""
+    most = lambda bits: F.lit(math.floor((math.log2(p.window) - bits) * p.window * UNIT))
+    return F.when(string.rlike("^[0-9a-f]+$"), most(p.hex_bits)).when(string.rlike("^[A-Za-z0-9]+$"), most(p.alnum_bits)).otherwise(most(p.other_bits))
+
+
+def window_span(string: Column, most: Column, p: EntropyParams) -> Column:
+    """struct(first, last): where the first window with a sum of at most `most` starts and where the last ends, from 0; nulls if there is none. The symbols' counts change by the character that comes and the one that goes."""
     w = p.window
-    x_log_x = F.array(*[F.lit(k * math.log2(k) if k else 0.0) for k in range(w + 1)])
-    bits = F.when(string.rlike("^[0-9a-f]+$"), p.hex_bits).when(string.rlike("^[A-Za-z0-9]+$"), p.alnum_bits).otherwise(p.other_bits)
-    chars = F.transform(F.filter(F.split(string, ""), lambda c: c != ""), lambda c: F.instr(F.lit(SYMBOLS), c) - 1)
+    x_log_x = F.array(*[F.lit(round(k * math.log2(k) * UNIT) if k else 0).cast("long") for k in range(w + 2)])
+    places = F.transform(F.filter(F.split(string, ""), lambda c: c != ""), lambda c: F.instr(F.lit(SYMBOLS), c) - 1)
+    chars = F.transform(places, lambda k: F.struct(F.floor(k / PER_WORD).cast("int").alias("word"), (k % PER_WORD * BITS).cast("int").alias("shift")))
+    none = F.struct(F.lit(-1).alias("word"), F.lit(0).alias("shift"))
     # The character that goes when the one at i comes: none for the first w.
-    steps = F.zip_with(chars, F.concat(F.array_repeat(F.lit(-1), w), chars), lambda new, old: F.struct(new.alias("new"), old.alias("old")))
-    steps = F.slice(F.transform(steps, lambda s, i: F.struct(s["new"].alias("new"), s["old"].alias("old"), i.alias("i"))), F.lit(1), F.size(chars))
-    zero = F.struct(F.array_repeat(F.lit(0), len(SYMBOLS)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+    steps = F.slice(F.zip_with(chars, F.concat(F.array_repeat(none, w), chars), lambda new, old: F.struct(new.alias("new"), old.alias("old"))), F.lit(1), F.size(chars))
+    names = [f"c{k}" for k in range(WORDS)]
+    zero = F.struct(*[F.lit(0).cast("long").alias(c) for c in names], F.lit(0).cast("long").alias("sum"), F.lit(0).alias("i"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+    one = lambda s: F.call_function("shiftleft", F.lit(1).cast("long"), s["shift"])
+
+    def held(acc, s):
+        word = F.lit(0).cast("long")
+        for k, c in enumerate(names):
+            word = F.when(s["word"] == k, acc[c]).otherwise(word)
+        return F.call_function("shiftright", word, s["shift"]).bitwiseAND(F.lit((1 << BITS) - 1).cast("long")).cast("int")
 
     def step(acc, s):
-        one_in = F.get(x_log_x, F.get(acc["counts"], s["new"]) + 1) - F.get(x_log_x, F.get(acc["counts"], s["new"]))
-        gone = F.get(acc["counts"], s["old"])
-        one_out = F.when((s["old"] < 0) | (s["old"] == s["new"]), 0.0).otherwise(F.get(x_log_x, gone - 1) - F.get(x_log_x, gone))
-        total = acc["sum"] + F.when(s["old"] == s["new"], 0.0).otherwise(one_in) + one_out
-        counts = F.transform(acc["counts"], lambda c, j: c + (j == s["new"]).cast("int") - (j == s["old"]).cast("int"))
-        over = (s["i"] >= w - 1) & (F.round(F.lit(math.log2(w)) - total / w, 9) >= bits)
-        return F.struct(counts.alias("counts"), total.alias("sum"), F.coalesce(acc["first"], F.when(over, s["i"] - (w - 1))).alias("first"), F.when(over, s["i"] + 1).otherwise(acc["last"]).alias("last"))
+        new, old = s["new"], s["old"]
+        same = (new["word"] == old["word"]) & (new["shift"] == old["shift"])
+        n_new, n_old = held(acc, new), held(acc, old)
+        change = F.get(x_log_x, n_new + 1) - F.get(x_log_x, n_new) + F.when(old["word"] < 0, F.lit(0).cast("long")).otherwise(F.get(x_log_x, n_old - 1) - F.get(x_log_x, n_old))
+        counts = [(acc[c] + F.when(new["word"] == k, one(new)).otherwise(F.lit(0).cast("long")) - F.when(old["word"] == k, one(old)).otherwise(F.lit(0).cast("long"))).alias(c) for k, c in enumerate(names)]
+        return F.struct(*counts, (acc["sum"] + F.when(same, F.lit(0).cast("long")).otherwise(change)).alias("sum"), (acc["i"] + 1).alias("i"), acc["first"].alias("first"), acc["last"].alias("last"))
+
+    def mark(acc, s):
+        # Two steps, so that the new sum is computed once.
+        return F.element_at(F.transform(F.array(step(acc, s)), lambda a: F.struct(*[a[c].alias(c) for c in [*names, "sum", "i"]], F.when((a["i"] >= w) & (a["sum"] <= most), F.coalesce(a["first"], a["i"] - w)).otherwise(a["first"]).alias("first"), F.when((a["i"] >= w) & (a["sum"] <= most), a["i"]).otherwise(a["last"]).alias("last"))), 1)
 
-    return F.aggregate(steps, zero, step, lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last")))
+    return F.aggregate(steps, zero, mark, lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last")))
 
 
 def find_secrets(docs: DataFrame, p: EntropyParams = EntropyParams()) -> DataFrame:
@@ -95,7 +131,9 @@ def find_secrets(docs: DataFrame, p: EntropyParams = EntropyParams()) -> DataFra
     )
     base = placed.select("row", F.sort_array(F.concat(_as_spans(F.col("assign"), 0), _as_spans(F.col("access"), 1), _as_spans(F.col("hex"), 2))).alias("base"), "candidate")
     mixed = lambda x: x["match"].rlike("[0-9]") & x["match"].rlike("[A-Za-z]") & ~x["match"].rlike(p.allow)
-    spans = F.transform(F.filter("candidate", mixed), lambda x: F.struct(x["start"].alias("start"), window_span(x["match"], p).alias("at")))
+    # The class is found once a candidate, before its windows.
+    classed = F.transform(F.filter("candidate", mixed), lambda x: F.struct(x["start"].alias("start"), x["match"].alias("match"), threshold(x["match"], p).alias("most")))
+    spans = F.transform(classed, lambda x: F.struct(x["start"].alias("start"), window_span(x["match"], x["most"], p).alias("at")))
     spans = F.transform(F.filter(spans, lambda x: x["at"]["first"].isNotNull()), lambda x: F.struct((x["start"] + x["at"]["first"]).alias("start"), F.lit(3).alias("kind"), (x["start"] + x["at"]["last"]).alias("end")))
     added = base.select("row", "base", F.when(F.size("candidate") > 0, spans.cast(SPAN)).otherwise(F.array().cast(SPAN)).alias("spans"))
     apart = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
