@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.buckets import log_bucket, step_bucket
 from ..schema import WRITES
-from .prep import scalar
+from .prep import SLICE, scalar
 
 HOUR, DAY = 3600, 86400
+#: Ranks in a piece.
+RANKS = 1 << 16
 
 
 def _n() -> Column:
@@ -17,12 +19,12 @@ def _n() -> Column:
 
 
 def objects(a: DataFrame) -> DataFrame:
-    """obj_id, freq, first_size, create_t, last_t of an annotated trace."""
-    return a.groupBy("obj_id").agg(F.count("*").alias("freq"), F.min_by("obj_size", "vtime").alias("first_size"), F.min("t").alias("create_t"), F.max("t").alias("last_t"))
+    """obj_id, freq, first_size, create_t, last_t, bytes of a trace with t."""
+    return a.groupBy("obj_id").agg(F.count("*").alias("freq"), F.min_by("obj_size", "vtime").alias("first_size"), F.min("t").alias("create_t"), F.max("t").alias("last_t"), F.sum("obj_size").alias("bytes"))
 
 
 def trace_stat(a: DataFrame) -> DataFrame:
-    per = objects(a).join(a.groupBy("obj_id").agg(F.sum("obj_size").alias("bytes")), "obj_id")
+    per = objects(a)
     return per.agg(
         F.sum("freq").alias("n_req"), F.count("*").alias("n_obj"), F.sum("bytes").alias("req_bytes"), F.sum("first_size").alias("obj_bytes"),
         F.round(F.count("*") / F.sum("freq"), 6).alias("cold_miss_ratio"), F.round(F.sum("first_size") / F.sum("bytes"), 6).alias("byte_cold_miss_ratio"),
@@ -107,10 +109,8 @@ def reuse_heatmap(a: DataFrame, w: int = DAY, step: int = 300) -> DataFrame:
 
 
 def access_pattern(a: DataFrame, one_in: int = 101) -> DataFrame:
-    """Access times of one object in so many, as sorted lists, numbered by first access."""
-    picked = a.filter(F.pmod("obj_id", F.lit(one_in)) == 0)
-    lists = picked.groupBy("obj_id").agg(F.sort_array(F.collect_list("vtime")).alias("v"), F.sort_array(F.collect_list("t")).alias("r"))
-    return lists.select("obj_id", F.get("v", 0).alias("first_vtime"), F.array_join(F.transform("v", lambda x: x.cast("string")), ",").alias("vtimes"), F.array_join(F.transform("r", lambda x: x.cast("string")), ",").alias("rtimes"))
+    """Access times of one object in so many, a row for each access, with the object's first one."""
+    return a.filter(F.pmod("obj_id", F.lit(one_in)) == 0).select("obj_id", "first_vtime", "vtime", "t")
 
 
 def popularity(a: DataFrame) -> DataFrame:
@@ -122,7 +122,11 @@ def _ranked(a: DataFrame) -> DataFrame:
     """freq, rank (from 1, most frequent first) and n objects that share them, as (first rank, n): ranks come from the counts of frequencies, one row each."""
     counts = popularity(a)
     down = Window.orderBy(F.col("freq").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return counts.withColumn("last_rank", F.sum("n_obj").over(down)).withColumn("rank", F.explode(F.sequence(F.col("last_rank") - F.col("n_obj") + 1, "last_rank"))).select("freq", "rank")
+    ends = counts.withColumn("last_rank", F.sum("n_obj").over(down)).withColumn("first_rank", F.col("last_rank") - F.col("n_obj") + 1)
+    # Many objects may share a frequency: their ranks are made in pieces, which are dealt to all tasks.
+    pieces = ends.select("freq", "last_rank", F.explode(F.sequence("first_rank", "last_rank", F.lit(RANKS))).alias("from"))
+    pieces = pieces.repartition(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), "freq", "from")
+    return pieces.select("freq", F.explode(F.sequence("from", F.least("last_rank", F.col("from") + RANKS - 1))).alias("rank"))
 
 
 def zipf(a: DataFrame) -> DataFrame:
@@ -165,9 +169,12 @@ def prob_at_age(a: DataFrame, w: int = DAY, warmup: int = DAY) -> DataFrame:
 
 def create_future_reuse(a: DataFrame, warmup: int = DAY) -> DataFrame:
     """By age since creation: requests that are followed by another one and requests that are the last, for objects created in the day after the warm-up."""
-    freq = F.col("vtime_rank")
-    made = a.filter((F.col("create_rtime") >= warmup) & (F.col("create_rtime") <= warmup + DAY))
-    made = made.withColumn("vtime_rank", F.row_number().over(Window.partitionBy("obj_id").orderBy("vtime")))
+    freq = F.col("before") + F.col("rank")
+    made = a.filter((F.col("create_rtime") >= warmup) & (F.col("create_rtime") <= warmup + DAY)).withColumn("slice", F.floor(F.col("vtime") / SLICE))
+    # An object's requests are numbered within slices, and slices among one another.
+    over_slices = Window.partitionBy("obj_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = made.groupBy("obj_id", "slice").agg(F.count("*").alias("n")).select("obj_id", "slice", F.coalesce(F.sum("n").over(over_slices), F.lit(0)).alias("before"))
+    made = made.withColumn("rank", F.row_number().over(Window.partitionBy("obj_id", "slice").orderBy("vtime"))).join(slices, ["obj_id", "slice"])
     age = F.col("t") - F.col("create_rtime")
     bucket = F.when(age < HOUR, age).otherwise(F.floor(age / 5) * 5)
     return made.groupBy(bucket.alias("age"), F.col("next_vtime").isNotNull().alias("reused")).agg(_n(), F.sum(freq.cast("long")).alias("sum_freq"), F.sum(F.greatest(F.col("rtime_since_last"), F.lit(0))).alias("sum_access_age"))
@@ -199,10 +206,14 @@ def size_change_fine(a: DataFrame) -> DataFrame:
 
 def write_reuse(a: DataFrame, step: int = HOUR) -> DataFrame:
     """Time from an object's latest write to each later access, by kind of access."""
-    so_far = Window.partitionBy("obj_id").orderBy("vtime").rowsBetween(Window.unboundedPreceding, -1)
-    wrote = F.last(F.when(F.col("op").isin(WRITES), F.col("t")), ignorenulls=True).over(so_far)
+    rows = a.withColumn("slice", F.floor(F.col("vtime") / SLICE)).withColumn("written", F.when(F.col("op").isin(WRITES), F.col("t")))
+    so_far = Window.partitionBy("obj_id", "slice").orderBy("vtime").rowsBetween(Window.unboundedPreceding, -1)
+    slices = rows.groupBy("obj_id", "slice").agg(F.max_by("written", F.when(F.col("written").isNotNull(), F.col("vtime"))).alias("last"))
+    earlier = Window.partitionBy("obj_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.select("obj_id", "slice", F.last("last", ignorenulls=True).over(earlier).alias("before"))
+    wrote = F.coalesce(F.last("written", ignorenulls=True).over(so_far), "before")
     kind = F.when(F.col("op").isin(WRITES), "overwrite").when(F.col("op") == "delete", "remove").otherwise("read")
-    return a.withColumn("wrote", wrote).filter("wrote is not null").groupBy(kind.alias("kind"), F.floor((F.col("t") - F.col("wrote")) / step).alias("bucket")).agg(_n())
+    return rows.join(slices, ["obj_id", "slice"]).withColumn("wrote", wrote).filter("wrote is not null").groupBy(kind.alias("kind"), F.floor((F.col("t") - F.col("wrote")) / step).alias("bucket")).agg(_n())
 
 
 def cdf(hist: DataFrame, key: str, count: str) -> DataFrame:

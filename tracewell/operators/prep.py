@@ -32,9 +32,14 @@ def with_neighbours(trace: DataFrame, *fields: str, slice_len: int = SLICE) -> D
     return joined.select(*trace.columns, F.coalesce("p", "before").alias("prev"), F.coalesce("n", "after").alias("next"), "first")
 
 
+def timed(trace: DataFrame) -> DataFrame:
+    """The trace with t, seconds from the first request: enough for analyses that don't look at other accesses."""
+    return trace.withColumn("t", F.col("clock_time") - scalar(trace, F.min("clock_time")))
+
+
 def annotate(trace: DataFrame, window: int = 3600) -> DataFrame:
-    """Each request with what its object's history says about it. t counts seconds from the first request."""
-    t = trace.withColumn("t", F.col("clock_time") - scalar(trace, F.min("clock_time")))
+    """Each request with what its object's history says about it."""
+    t = timed(trace)
     n = with_neighbours(t, "t", "obj_size")
     cold = F.col("prev").isNull()
     none = F.lit(-1).cast("long")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import stored
 from .distance import lru_curve
-from .simulate import miss_trace
+from .lru import dense, sharded_miss_trace
 
 RING = 1 << 32
 
@@ -48,15 +48,28 @@ def merged(*traces: DataFrame) -> DataFrame:
     return out
 
 
-def hierarchy(trace: DataFrame, l1_policy: str, l1_size: int, l1_count: int) -> DataFrame:
-    """The LRU curve of a second cache behind l1_count first ones that share the objects. Requests keep their order, so that the misses' ranks are the second trace."""
-    misses = stored(miss_trace(trace, l1_policy, l1_size, l1_count).select("vtime", "obj_id"), "misses")
-    block = F.floor(F.col("vtime") / 65536)
-    rows = misses.select("vtime", "obj_id", block.alias("block"))
-    per = rows.groupBy("block").agg(F.count("*").alias("n"))
-    per = per.select("block", (F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).alias("base"))
-    ranked = rows.withColumn("rn", F.row_number().over(Window.partitionBy("block").orderBy("vtime"))).join(per, "block")
-    return lru_curve(ranked.select((F.col("base") + F.col("rn")).alias("vtime"), "obj_id"))
+def hierarchy(trace: DataFrame, l1_size: int, l1_count: int) -> DataFrame:
+    """The LRU curve of a second cache behind l1_count first ones of l1_size objects each, which share the objects. The misses, in their old order, are the second trace."""
+    misses = stored(sharded_miss_trace(trace, l1_size, l1_count), "misses")
+    return lru_curve(stored(dense(misses, "own_vtime").select("vtime", "obj_id"), "second-trace"))
+
+
+def replicas(trace: DataFrame, servers: DataFrame, n: int, points: int = 160) -> DataFrame:
+    """Each object with its first n servers: those that own the arcs from its place onwards, each server once. Servers are few next to objects; their points are laid out once for each arc."""
+    arcs = ring(servers, points).select("low", "high", "server")
+    by_place = Window.orderBy("low")
+    numbered = arcs.withColumn("k", F.row_number().over(by_place))
+    m = numbered.count()
+    # The arcs that follow each one, as far as n different servers may need; short of that, all of them.
+    reach = min(m, points * n + n)
+    after = numbered.select("k", "low", "high", F.explode(F.sequence(F.lit(0), F.lit(reach - 1))).alias("step")).withColumn("other", (F.col("k") - 1 + F.col("step")) % m + 1)
+    seen = after.join(numbered.select(F.col("k").alias("other"), "server"), "other").groupBy("k", "low", "high", "server").agg(F.min("step").alias("step"))
+    ranked = seen.withColumn("replica", F.row_number().over(Window.partitionBy("k").orderBy("step"))).filter(F.col("replica") <= n)
+    cells = 1 << 12
+    width = RING // cells
+    arcs_of = ranked.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor(F.col("high") / width))))
+    objects = trace.select("obj_id").distinct().withColumn("at", point(F.col("obj_id").cast("string"))).withColumn("cell", F.floor(F.col("at") / width))
+    return objects.join(arcs_of, "cell").filter("at >= low and at <= high").select("obj_id", "replica", "server")
 
 
 def server_load(trace: DataFrame, servers: DataFrame) -> DataFrame:

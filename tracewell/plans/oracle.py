@@ -27,9 +27,9 @@ a AS (
 )"""
 
 
-def sql(body: str, trace: str = "events", recursive: bool = False) -> str:
+def sql(body: str, trace: str = "events") -> str:
     base = {"events": _EVENTS, "skew": _SKEW, "orders": _ORDERS}[trace]
-    return f"WITH {'RECURSIVE ' if recursive else ''}{base}{_ANNOTATED}{body}"
+    return f"WITH {base}{_ANNOTATED}{body}"
 
 
 _OBJ = ", o AS (SELECT obj_id, count(*) AS freq, arg_min(obj_size, vtime) AS first_size, min(t) AS create_t, max(t) AS last_t, sum(obj_size) AS bytes FROM a GROUP BY 1)"
@@ -58,31 +58,6 @@ def lru_sql(policy: str, sizes: list[int], trace: str) -> str:
     return sql(f"{_STACK}, g AS (SELECT * FROM (VALUES {grid}) v(cache_size)), r AS (SELECT cache_size, d >= 0 AND d < cache_size AS hit, fs FROM sd JOIN a USING (vtime), g) SELECT '{policy}' AS policy, CAST(cache_size AS BIGINT) AS cache_size, {_COUNTS} FROM r GROUP BY 2", trace)
 
 
-def _fold(step: str, start: str, fields: str, policy: str, sizes: list[int], trace: str, keep: str = "") -> str:
-    """A policy as a recursive query: one request a step, the cache in lists."""
-    grid = ", ".join(f"({c})" for c in sizes)
-    body = f"""
-, req AS MATERIALIZED (SELECT vtime, obj_id, fs, coalesce(nv, 4611686018427387904) AS nxt FROM a),
-g AS (SELECT CAST(column0 AS BIGINT) AS cache_size FROM (VALUES {grid}) v(column0)),
-run AS (
-  SELECT cache_size, CAST(0 AS BIGINT) AS vtime, false AS hit, CAST(0 AS BIGINT) AS fs, {start} FROM g
-  UNION ALL
-  SELECT r.cache_size, q.vtime, list_contains(r.k, q.obj_id), q.fs, {step} FROM run r JOIN req q ON q.vtime = r.vtime + 1
-)
-SELECT '{policy}' AS policy, cache_size, {_COUNTS} FROM run WHERE vtime > 0 GROUP BY 2"""
-    return sql(body, trace, recursive=True)
-
-
-def fifo_sql(sizes: list[int], trace: str) -> str:
-    step = "CASE WHEN list_contains(r.k, q.obj_id) THEN r.k WHEN len(r.k) >= r.cache_size THEN list_append(r.k[2:], q.obj_id) ELSE list_append(r.k, q.obj_id) END AS k"
-    return _fold(step, "CAST([] AS BIGINT[]) AS k", "k", "fifo", sizes, trace)
-
-
-def mru_sql(sizes: list[int], trace: str) -> str:
-    step = "CASE WHEN list_contains(r.k, q.obj_id) THEN list_append(list_concat(r.k[1 : list_position(r.k, q.obj_id) - 1], r.k[list_position(r.k, q.obj_id) + 1 :]), q.obj_id) WHEN len(r.k) >= r.cache_size THEN list_append(r.k[1 : len(r.k) - 1], q.obj_id) ELSE list_append(r.k, q.obj_id) END AS k"
-    return _fold(step, "CAST([] AS BIGINT[]) AS k", "k", "mru", sizes, trace)
-
-
 ORACLE: dict[str, str] = {
     "annotate": sql(" SELECT vtime, obj_id, t, cold AS compulsory_miss, dv AS vtime_since_last, dt AS rtime_since_last, create_rtime, coalesce(ps, -1) AS prev_size, overwrite, seen_w AS first_seen_in_window FROM a"),
     "oracle_annotate": sql(" SELECT vtime, clock_time, obj_id, fs AS obj_size, coalesce(nv, -1) AS next_access_vtime FROM a"),
@@ -101,7 +76,7 @@ ORACLE: dict[str, str] = {
     "reuse_rt": sql(" SELECT CASE WHEN dt < 0 THEN -1 ELSE dt // 5 END AS bucket, count(*) AS cnt FROM a GROUP BY 1"),
     "reuse_vt": sql(" SELECT " + _REUSE_V + " AS bucket, count(*) AS cnt FROM a GROUP BY 1"),
     "reuse_heatmap": sql(" SELECT t // 86400 AS win, 'rtime' AS kind, dt // 300 AS bucket, count(*) AS cnt FROM a WHERE NOT cold GROUP BY 1, 3 UNION ALL SELECT t // 86400, 'vtime', " + _REUSE_V + " AS b, count(*) FROM a WHERE NOT cold GROUP BY 1, 3"),
-    "access_pattern": sql(" SELECT obj_id, min(vtime) AS first_vtime, string_agg(CAST(vtime AS VARCHAR), ',' ORDER BY vtime) AS vtimes, string_agg(CAST(t AS VARCHAR), ',' ORDER BY vtime) AS rtimes FROM a WHERE obj_id % 101 = 0 GROUP BY 1"),
+    "access_pattern": sql(" SELECT obj_id, fv AS first_vtime, vtime, t FROM a WHERE obj_id % 101 = 0"),
     "popularity": sql(_OBJ + " SELECT freq, count(*) AS n_obj FROM o GROUP BY 1", "skew"),
     "zipf_alpha": sql(_ZIPF, "skew"),
     "zipf_fit": sql(_ZIPF, "orders"),
@@ -132,6 +107,14 @@ ORACLE: dict[str, str] = {
     "first_last": sql(" SELECT arg_min(obj_id, vtime) AS first_obj, arg_max(obj_id, vtime) AS last_obj, count(*) AS n_req FROM t0"),
     "seek_half": sql(" SELECT vtime, obj_id FROM t0 WHERE vtime > (SELECT max(vtime) // 2 FROM t0)"),
     "sim_lru": lru_sql("lru", [10, 50, 100], "events"),
-    "sim_fifo": fifo_sql([10, 50, 100], "events"),
-    "sim_mru": mru_sql([10, 50, 100], "events"),
+    "adm_size": sql(f", r0 AS (SELECT vtime, obj_id, fs, row_number() OVER (ORDER BY vtime) AS v FROM a WHERE fs < 100), r1 AS (SELECT *, lag(v) OVER (PARTITION BY obj_id ORDER BY v) AS p FROM r0), sd AS (SELECT i.vtime, CASE WHEN i.p IS NULL THEN -1 ELSE (SELECT count(*) FROM r1 j WHERE j.v > i.p AND j.v < i.v AND coalesce(j.p, 0) <= i.p) END AS d FROM r1 i), g AS (SELECT * FROM (VALUES (10), (50), (100)) v(cache_size)), r AS (SELECT cache_size, coalesce(d >= 0 AND d < cache_size, false) AS hit, fs FROM a LEFT JOIN sd USING (vtime), g) SELECT 'lru' AS policy, CAST(cache_size AS BIGINT) AS cache_size, {_COUNTS} FROM r GROUP BY 2", "skew"),
+    "interval_report": sql(_STACK + ", p AS (SELECT (vtime - 1) // 1000 AS interval, count(*) AS n, count(*) FILTER (d < 0 OR d >= 100) AS m FROM sd GROUP BY 1) SELECT interval, round(m / n, 6) AS miss_ratio, round(sum(m) OVER (ORDER BY interval) / sum(n) OVER (ORDER BY interval), 6) AS miss_ratio_so_far FROM p", "skew"),
+    "miss_trace": sql(_STACK + " SELECT vtime, obj_id FROM sd WHERE d < 0 OR d >= 100", "skew"),
+    "topo_hierarchy": sql(""", s1 AS (SELECT i.vtime, i.obj_id, i.pv, CASE WHEN i.pv IS NULL THEN -1 ELSE (SELECT count(*) FROM a j WHERE j.obj_id % 4 = i.obj_id % 4 AND j.vtime > i.pv AND j.vtime < i.vtime AND coalesce(j.pv, 0) <= i.pv) END AS d FROM a i),
+m0 AS (SELECT obj_id, row_number() OVER (ORDER BY vtime) AS v FROM s1 WHERE d < 0 OR d >= 16), m1 AS (SELECT *, lag(v) OVER (PARTITION BY obj_id ORDER BY v) AS p FROM m0),
+sd AS (SELECT CASE WHEN i.p IS NULL THEN -1 ELSE (SELECT count(*) FROM m1 j WHERE j.v > i.p AND j.v < i.v AND coalesce(j.p, 0) <= i.p) END AS d FROM m1 i)""" + _MRC + " SELECT * FROM curve", "skew"),
+    "merge_traces": sql(" SELECT row_number() OVER (ORDER BY clock_time, CASE WHEN ns < 4 THEN 0 ELSE 1 END, vtime) AS vtime, CASE WHEN ns < 4 THEN 0 ELSE 1 END AS trace_no, vtime AS own_vtime, obj_id FROM t0"),
+    "trace_round_trip": sql(" SELECT vtime - 100 AS vtime, clock_time, obj_id, fs AS obj_size, coalesce(nv, -1) AS next_access_vtime FROM a WHERE vtime > 100 AND vtime <= 9100"),
+    "trace_print": sql(" SELECT vtime, concat_ws(',', clock_time, obj_id, fs, coalesce(nv, -1)) AS line FROM a"),
+    "split_tenants": sql(" SELECT ns, vtime, obj_id FROM t0"),
 }

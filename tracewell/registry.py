@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from .operators import analytics as an
 from .operators import distance as di
-from .operators import prep, simulate, topology
+from .operators import lru, prep, topology
 from .plans.oracle import ORACLE
-from .sources.tables import skewed_trace, trace_from_events, trace_from_orders
+from .plans.storage import shared_dir, stored
+from .sources import formats
+from .sources.tables import skewed_trace, trace_from_events, trace_from_orders, with_vtime
 
 TRACES = {"events": trace_from_events, "skew": skewed_trace, "orders": trace_from_orders}
 SIZES = [10, 50, 100]
@@ -25,8 +27,8 @@ def _annotated(trace: str, f: Callable[[DataFrame], DataFrame]) -> Callable[[Spa
     return lambda spark, sf_dir: f(prep.annotate(TRACES[trace](spark, sf_dir)))
 
 
-def _sim(policy: str, trace: str = "skew", **more) -> Callable[[SparkSession, str], DataFrame]:
-    return _on(trace, lambda t: simulate.simulate(t, [policy], SIZES, **more))
+def _timed(trace: str, f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: f(prep.timed(TRACES[trace](spark, sf_dir)))
 
 
 def _servers(t: DataFrame) -> DataFrame:
@@ -34,6 +36,20 @@ def _servers(t: DataFrame) -> DataFrame:
     return t.select(F.col("ns").alias("server")).distinct()
 
 
+def _written_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a packed file with next accesses, read back; requests 101 to 9,100 of it, sizes ignored and kept."""
+    parts = stored(formats.write_binary(prep.oracle_annotate(trace_from_events(spark, sf_dir)), shared_dir(spark, "packed")), "parts")
+    back = formats.read_parts(spark, parts, "oracleGeneral")
+    return formats.as_requests(back, skip=100, limit=9000).select("vtime", "clock_time", "obj_id", "obj_size", "next_access_vtime")
+
+
+def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events in a folder for each tenant, read back."""
+    folder = shared_dir(spark, "tenants")
+    formats.split_by(trace_from_events(spark, sf_dir), folder, "ns")
+    return spark.read.parquet(folder).select("ns", "vtime", "obj_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     facts = ["vtime", "obj_id", "t", "compulsory_miss", "vtime_since_last", "rtime_since_last", "create_rtime", "prev_size", "overwrite", "first_seen_in_window"]
     return {
@@ -41,11 +57,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "oracle_annotate": _on("events", lambda t: prep.oracle_annotate(t).select("vtime", "clock_time", "obj_id", "obj_size", "next_access_vtime")),
         "write_aware_next": _on("events", prep.write_aware_next),
         "orders_trace": _on("orders", lambda t: t.select("vtime", "clock_time", "obj_id", "obj_size")),
-        "trace_stat": _annotated("events", an.trace_stat),
-        "x_hit": _annotated("skew", an.x_hit),
-        "top_popular": _annotated("skew", an.top_popular),
+        "trace_stat": _timed("events", an.trace_stat),
+        "x_hit": _timed("skew", an.x_hit),
+        "top_popular": _timed("skew", an.top_popular),
         "op_stat": _annotated("events", an.op_stat),
-        "op_rollup": _annotated("events", an.op_rollup),
+        "op_rollup": _timed("events", an.op_rollup),
         "req_rate": _annotated("events", an.req_rate),
         "req_rate_shifted": _annotated("events", an.req_rate_shifted),
         "req_rate_summary": _annotated("events", an.req_rate_summary),
@@ -55,22 +71,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "reuse_vt": _annotated("events", an.reuse_vt),
         "reuse_heatmap": _annotated("events", an.reuse_heatmap),
         "access_pattern": _annotated("events", an.access_pattern),
-        "popularity": _annotated("skew", an.popularity),
-        "zipf_alpha": _annotated("skew", an.zipf),
-        "zipf_fit": _annotated("orders", an.zipf),
+        "popularity": _timed("skew", an.popularity),
+        "zipf_alpha": _timed("skew", an.zipf),
+        "zipf_fit": _timed("orders", an.zipf),
         "popularity_decay": _annotated("events", an.popularity_decay),
         "popularity_decay_norm": _annotated("skew", an.popularity_decay_norm),
-        "ttl_dist": _annotated("events", an.ttl_dist),
+        "ttl_dist": _timed("events", an.ttl_dist),
         "lifetime": _annotated("events", an.lifetime),
         "prob_at_age": _annotated("events", an.prob_at_age),
         "create_future_reuse": _annotated("skew", an.create_future_reuse),
         "size_change": _annotated("events", an.size_change),
         "size_change_fine": _annotated("events", an.size_change_fine),
         "write_reuse": _annotated("events", an.write_reuse),
-        "hist_cdf": _annotated("skew", lambda a: an.cdf(an.popularity(a), "freq", "n_obj")),
+        "hist_cdf": _timed("skew", lambda a: an.cdf(an.popularity(a), "freq", "n_obj")),
         "one_hit_ratio": _annotated("skew", an.one_hit_ratio),
-        "obj_reuse_stat": _annotated("events", an.obj_reuse_stat),
-        "group_compare": _annotated("skew", an.group_compare),
+        "obj_reuse_stat": _timed("events", an.obj_reuse_stat),
+        "group_compare": _timed("skew", an.group_compare),
         "dist_last_access": _on("events", lambda t: di.access_distances(t).select("vtime", "dist_last")),
         "dist_first_access": _on("events", lambda t: di.access_distances(t).select("vtime", "dist_first")),
         "dist_cnt": _on("skew", lambda t: di.access_distances(t).groupBy(F.col("dist_last").alias("dist")).agg(F.count("*").alias("cnt"))),
@@ -85,21 +101,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "sample_temporal": _on("events", lambda t: prep.sample_temporal(t, 10).select("vtime", "obj_id")),
         "first_last": _on("events", lambda t: t.agg(F.min_by("obj_id", "vtime").alias("first_obj"), F.max_by("obj_id", "vtime").alias("last_obj"), F.count("*").alias("n_req"))),
         "seek_half": _on("events", lambda t: t.filter(F.col("vtime") > prep.scalar(t, F.floor(F.max("vtime") / 2))).select("vtime", "obj_id")),
-        "sim_lru": _sim("lru", "events"),
-        "sim_fifo": _sim("fifo", "events"),
-        "sim_mru": _sim("mru", "events"),
-        "sim_clock": _sim("clock"),
-        "sim_lfu": _sim("lfu"),
-        "sim_sieve": _sim("sieve"),
-        "sim_belady": _sim("belady"),
-        "sim_slru": _sim("slru"),
-        "sim_s3fifo": _sim("s3fifo"),
-        "sim_sharded": _sim("s3fifo", shards=8),
-        "adm_size": _on("skew", lambda t: simulate.simulate(t, ["lru"], SIZES, admit="obj_size < 100")),
-        "mrc_reduction": _on("skew", lambda t: simulate.miss_ratio_reduction(simulate.simulate(t, ["fifo", "lru", "clock", "sieve", "s3fifo"], SIZES))),
-        "interval_report": _on("skew", lambda t: simulate.interval_report(simulate.requests_of_caches(t, [("lru", 100)]), 1000)),
-        "miss_trace": _on("skew", lambda t: simulate.miss_trace(t, "lru", 100).select("vtime", "obj_id")),
-        "topo_hierarchy": _on("skew", lambda t: topology.hierarchy(t, "lru", 64, 4)),
+        "sim_lru": _on("events", lambda t: lru.lru_misses(lru.distances_with_sizes(t), SIZES)),
+        "adm_size": _on("skew", lambda t: lru.lru_misses(lru.admitted_distances(t, "obj_size < 100"), SIZES)),
+        "interval_report": _on("skew", lambda t: lru.interval_report(di.stack_distances(t), 100, 1000)),
+        "miss_trace": _on("skew", lambda t: lru.miss_trace(t, 100)),
+        "topo_hierarchy": _on("skew", lambda t: topology.hierarchy(t, 16, 4)),
+        "merge_traces": _on("events", lambda t: with_vtime(topology.merged(t.filter("ns < 4"), t.filter("ns >= 4")), "clock_time", "trace_no", "own_vtime").select("vtime", "trace_no", "own_vtime", "obj_id")),
+        "trace_round_trip": _written_and_read,
+        "trace_print": _on("events", lambda t: formats.printed(prep.oracle_annotate(t))),
+        "split_tenants": _split,
         "topo_cluster": _on("skew", lambda t: topology.server_load(t, _servers(t))),
     }
 

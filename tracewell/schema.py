@@ -1,15 +1,9 @@
-"""The request relation, names of operations, and the two small grammars for sizes and parameters."""
+"""Operations that write, and the two small grammars for sizes and parameters. A request has vtime (its place in the trace, from 1), clock_time, obj_id, obj_size, op, ttl, ns."""
 
 from __future__ import annotations
 
 import re
 
-#: One row per request. vtime is the 1-based place in the trace.
-REQUEST_COLUMNS = ["vtime", "clock_time", "obj_id", "obj_size", "op", "ttl", "ns"]
-REQUEST_DDL = "vtime bigint, clock_time bigint, obj_id bigint, obj_size bigint, op string, ttl int, ns int"
-
-#: Fixed names of operations.
-OPS = ["nop", "get", "gets", "set", "add", "cas", "replace", "append", "prepend", "delete", "incr", "decr", "read", "write", "update", "invalid"]
 #: Operations that count as overwriting.
 WRITES = ["set", "replace", "cas"]
 
@@ -18,13 +12,14 @@ AUTO_FRACTIONS = [0.001, 0.003, 0.01, 0.03, 0.1, 0.2, 0.4, 0.8]
 
 
 def parse_sizes(spec: str, wss: int) -> list[int]:
-    """"1GB,512mb,100" in bytes; with a point anywhere, fractions of the working set; "0" or "auto", the usual fractions."""
+    """"1GB,512mb,100" in bytes; an entry with a point is a fraction of the working set; "0" or "auto", the usual fractions."""
     if spec in ("0", "auto"):
         return [max(1, int(f * wss)) for f in AUTO_FRACTIONS]
-    if "." in spec:
-        return [max(1, int(float(x) * wss)) for x in spec.split(",")]
     out = []
     for x in spec.split(","):
+        if "." in x:
+            out.append(max(1, int(float(x) * wss)))
+            continue
         m = re.fullmatch(r"(\d+)([KMGT]?)(?:I?B)?", x.strip().upper())
         if not m:
             raise ValueError(f"not a size: {x}")
