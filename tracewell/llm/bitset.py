@@ -9,8 +9,8 @@ from .common import bit
 
 
 def _slots(h: Column, n_bits: int) -> list[Column]:
-    """Three bit numbers from one hash, 0 to n_bits - 1 (a remainder would be negative where the hash is, as a shift by 0 keeps its sign)."""
-    return [F.pmod(F.shiftrightunsigned(h, 21 * k), F.lit(n_bits)) for k in range(3)]
+    """Three bit numbers from one hash, 0 to n_bits - 1, for up to 2^27 bits (a remainder would be negative where the hash is, as a shift by 0 keeps its sign)."""
+    return [F.pmod(F.shiftrightunsigned(h, by), F.lit(n_bits)) for by in (0, 20, 37)]
 
 
 def hashed_set(hashes: DataFrame, n_bits: int) -> DataFrame:

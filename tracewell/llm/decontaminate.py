@@ -20,8 +20,8 @@ from .common import ascii_lower, broadcast_if_small, written
 
 WINDOW = 10
 ANCHOR = WINDOW // 2
-#: Bits of the hashed set. More n-grams than bits only make the look-up let more rows through to the exact join.
-SET_BITS = 1 << 21
+#: Bits of the hashed set, at least and at most (16 MB): a power of two of 16 or more for each n-gram. Beyond the bound the look-up only lets more rows through to the exact join.
+SET_BITS, MAX_SET_BITS = 1 << 21, 1 << 27
 MAX_BROADCAST_WINDOWS = 1_000_000
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -56,7 +56,9 @@ def candidate_rows(docs: DataFrame, windows: DataFrame, keep: list[str]) -> Data
     lengths = sorted(r["n"] for r in windows.select("n").distinct().collect())  # at most WINDOW values
     grams = windows.select("n", F.split("window", " ").alias("ws"))
     anchors = grams.select(F.explode(F.when(F.col("n") == WINDOW, _gram_hashes(F.col("ws"), ANCHOR, 1)).otherwise(F.array(F.xxhash64("ws")))).alias("h")).distinct()
-    bits = written(hashed_set(anchors, SET_BITS), "decon-set")
+    anchors = written(anchors, "decon-anchors")
+    n_bits = max(SET_BITS, min(MAX_SET_BITS, 1 << (16 * anchors.count()).bit_length()))
+    bits = written(hashed_set(anchors, n_bits), "decon-set")
     rows = docs.select(F.struct(*keep).alias("row"), benchmark_words(F.col("text")).alias("ws"))
     rows = rows.select("row", "ws", F.size("ws").cast("long").alias("n_words"))
     looked_up = [_gram_hashes(F.col("ws"), ANCHOR, ANCHOR)] if WINDOW in lengths else []
@@ -66,7 +68,7 @@ def candidate_rows(docs: DataFrame, windows: DataFrame, keep: list[str]) -> Data
     rows = rows.withColumn("bits", bits.scalar())
     maybe = F.lit(False)
     for hashes in looked_up:
-        maybe = maybe | F.exists(hashes, lambda h: in_set(F.col("bits"), h, SET_BITS))
+        maybe = maybe | F.exists(hashes, lambda h: in_set(F.col("bits"), h, n_bits))
     return rows.select("row", "n_words", F.when(maybe, F.col("ws")).alias("ws"))
 
 
@@ -80,10 +82,12 @@ def find_hits(docs: DataFrame, bench: DataFrame, keep: list[str]) -> DataFrame:
     candidates = rows.filter("ws is not null").select("rid", "ws")
     grams = F.concat(*[_placed_grams(F.col("ws"), n) for n in lengths])
     each = candidates.select("rid", F.explode(grams).alias("g")).select("rid", F.col("g.at").alias("at"), F.col("g.n").alias("n"), F.col("g.window").alias("window"))
-    hits = each.join(broadcast_if_small(windows, windows.count(), MAX_BROADCAST_WINDOWS), ["window", "n"])
-    found = hits.groupBy("rid").agg(
-        F.sort_array(F.array_distinct(F.flatten(F.collect_set(F.expr("sequence(at, at + n - 1)"))))).alias("hit_words"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids")
-    )
+    # A window that many items hold meets a document's words once; its items are looked up by window afterwards.
+    only = windows.select("window", "n").distinct()
+    hits = written(each.join(broadcast_if_small(only, windows.count(), MAX_BROADCAST_WINDOWS), ["window", "n"]), "decon-hits")
+    places = hits.groupBy("rid").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set(F.expr("sequence(at, at + n - 1)"))))).alias("hit_words"))
+    items = hits.select("rid", "window", "n").distinct().join(windows, ["window", "n"]).select("rid", F.col("item_id").cast("string").alias("item")).distinct()
+    found = places.join(items.groupBy("rid").agg(F.sort_array(F.collect_list("item")).alias("item_ids")), "rid", "left")
     out = rows.select("rid", "row", "n_words").join(found, "rid", "left")
     return out.select("row", "n_words", F.coalesce("hit_words", F.array().cast("array<int>")).alias("hit_words"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
 

@@ -4,7 +4,7 @@ Each letter has a random vector of +1 and -1, drawn from a generator that its co
 product of its letters' vectors, each rotated by its place; a text is the sum of its n-grams' vectors, a language the
 sum of its texts'. A document gets the language whose prototype has the largest cosine with it.
 
-Defined cases: a null text, or one without letters, is `und` with score 0; if nothing was learned all are; ties go to
+A column with more than max_languages values is an error. Defined cases: a null text, or one without letters, is `und` with score 0; if nothing was learned all are; ties go to
 the language that sorts first; repeated rows are predicted each; an empty table gives an empty result.
 """
 
@@ -30,6 +30,8 @@ class LanguageParams:
     dim: int = 1024
     n: int = 3
     seed: int = 5
+    #: More distinct languages than this stop the run: prototypes meet on the driver, 1,024 numbers each.
+    max_languages: int = 1000
     #: So many n-grams are gathered before they are counted and summed up.
     piece: int = 1 << 20
 
@@ -128,6 +130,8 @@ def prototypes(docs: DataFrame, p: LanguageParams = LanguageParams()) -> dict[st
             yield pd.DataFrame({"lang": lang, "dim": np.arange(p.dim, dtype="int32"), "value": v})
 
     learn = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("text", "lang")
+    if learn.select("lang").distinct().limit(p.max_languages + 1).count() > p.max_languages:
+        raise ValueError(f"more than {p.max_languages} languages")
     # Sums of whole numbers below 2^53 are the same in any order.
     rows = learn.mapInPandas(partial, "lang string, dim int, value double").groupBy("lang", "dim").agg(F.sum("value").alias("value")).collect()
     out: dict[str, np.ndarray] = {}

@@ -51,11 +51,11 @@ class ModelParams:
 def features(word: str, p: ModelParams) -> list[int]:
     """Buckets of the word and of its character n-grams, word ends marked."""
     marked = f"<{word}>"
-    grams = [marked]
+    out = [xxhash.xxh32_intdigest(marked) % p.buckets]
     # A very long word (a base64 blob, say) has as many n-grams as characters; all count.
     for n in range(p.min_n, p.max_n + 1):
-        grams += [marked[i : i + n] for i in range(len(marked) - n + 1)]
-    return [xxhash.xxh32_intdigest(g) % p.buckets for g in grams]
+        out += [xxhash.xxh32_intdigest(marked[i : i + n]) % p.buckets for i in range(len(marked) - n + 1)]
+    return out
 
 
 def bag(text: str | None, p: ModelParams) -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +146,7 @@ def _scored(docs: DataFrame, labels: DataFrame, p: ModelParams, keep: list[str])
     def score_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer(*model.value, p)
         for b in batches:
-            scores = pa.array([score(t) for t in b.column(len(keep)).to_pylist()], pa.float64())
+            scores = pa.array([score(t.as_py()) for t in b.column(len(keep))], pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], scores], names=[*b.schema.names[: len(keep)], "score"])
 
     renamed = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col("text").alias("the_text"))

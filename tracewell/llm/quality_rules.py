@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import ALL, ASCII_SPACE, broadcast_if_small, words, written
 
-MAX_BROADCAST_TRUSTED = 2_000_000
+MAX_BROADCAST_TRUSTED = 200_000
 
 
 @dataclass(frozen=True)
