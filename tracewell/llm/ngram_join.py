@@ -29,7 +29,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bitset import hashed_set, in_set
@@ -362,6 +362,13 @@ def _one_per_set(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tested.filter("not may").unionByName(copied).drop("may"), sets.drop("copies")
 
 
+def _met(rows: DataFrame, per: DataFrame, on: list[str], large: Column, how: str = "inner") -> DataFrame:
+    """rows joined with a table of one row for each value of `on`. Where `large` holds, on both sides, the rows are dealt to several tasks."""
+    parts = F.when(large, HOT_PARTS).otherwise(1)
+    dealt = per.withColumn("deal", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return rows.withColumn("deal", F.pmod(F.xxhash64("id"), parts).cast("int")).join(dealt, [*on, "deal"], how).drop("deal")
+
+
 def shared_tokens(chosen: DataFrame, hot_class: int) -> DataFrame:
     """token, id, m (the token's sets): prefix hashes that two or more sets have, without those whose sets all meet at another one."""
     tokens = chosen.select("id", F.explode("prefix").alias("token"))
@@ -374,7 +381,7 @@ def shared_tokens(chosen: DataFrame, hot_class: int) -> DataFrame:
     before = written(shared.withColumn("prev", F.lag("token").over(Window.partitionBy("id").orderBy("token"))), "join-shared")
     stat = before.groupBy("token").agg(F.count("*").alias("m"), F.min("prev").alias("low"), F.max("prev").alias("high"), F.count(F.when(F.col("prev").isNull(), 1)).alias("open"))
     kept = stat.filter("m > 1 and (open > 0 or low <> high)").select("token", "m")
-    return before.select("token", "id").join(kept, "token")
+    return _met(before.select("token", "id"), kept, ["token"], hot)
 
 
 def _same_document(real: DataFrame, sets: DataFrame) -> DataFrame:
@@ -400,16 +407,17 @@ def near_duplicates(docs: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
     same_document = written(_same_document(real, sets), "join-repeated")
     discard(signed, tokens)
 
-    firsts = members.groupBy("token", "star_band").agg(F.min(F.struct("n", "id"))["id"].alias("first"))
-    stars = members.select("token", "star_band", "id").join(firsts, ["token", "star_band"]).filter("id <> first").select(F.greatest("id", "first").alias("a"), F.least("id", "first").alias("b")).distinct()
+    large = F.col("m") > HOT_COUNT
+    firsts = members.groupBy("token", "m", "star_band").agg(F.min(F.struct("n", "id"))["id"].alias("first"))
+    stars = _met(members.select("token", "m", "star_band", "id"), firsts, ["token", "m", "star_band"], large).filter("id <> first").select(F.greatest("id", "first").alias("a"), F.least("id", "first").alias("b")).distinct()
     stars = written(_possible(stars, bitmaps, p), "join-stars")
     links = written(_verified(stars, docs, sets, p).unionByName(same_document), "join-links")
     comps = components(links)
     # First each document's nearest in a tile, which joins most components; then whatever is left.
     for nearest in (True, True, False):
         known = with_smallest(members.select("token", "id", "n", "m"), comps)
-        open_tokens = known.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("token")
-        left = written(known.join(open_tokens, "token", "left_semi"), "join-open")
+        open_tokens = known.groupBy("token", "m").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("token", "m")
+        left = written(_met(known, open_tokens, ["token", "m"], large, "left_semi"), "join-open")
         pairs = written(_possible(_tile_pairs(left, bitmaps, p, nearest), bitmaps, p), "join-pairs")
         more = written(links.unionByName(_verified(pairs, docs, sets, p)), "join-links")
         discard(left, pairs, links)
