@@ -87,6 +87,7 @@ ORACLE: dict[str, str] = {
     "prob_at_age": sql(" SELECT greatest(dt, 0) // 86400 AS access_age, (t - create_rtime) // 86400 AS create_age, count(*) AS cnt FROM a WHERE t >= 86400 GROUP BY 1, 2"),
     "create_future_reuse": sql(", m AS (SELECT *, row_number() OVER (PARTITION BY obj_id ORDER BY vtime) AS rn, t - create_rtime AS g FROM a WHERE create_rtime BETWEEN 86400 AND 172800) SELECT CASE WHEN g < 3600 THEN g ELSE g // 5 * 5 END AS age, nv IS NOT NULL AS reused, count(*) AS cnt, CAST(sum(rn) AS BIGINT) AS sum_freq, CAST(sum(greatest(dt, 0)) AS BIGINT) AS sum_access_age FROM m GROUP BY 1, 2", "skew"),
     "size_change": sql(", c AS (SELECT obj_size - ps AS d, ps FROM a WHERE overwrite) SELECT 'relative' AS kind, CAST(greatest(-10, least(20, floor(10 * d / ps))) AS BIGINT) AS bucket, count(*) AS cnt FROM c GROUP BY 2 UNION ALL SELECT 'absolute', CAST(sign(d) * CASE WHEN d = 0 THEN 0 ELSE 1 + floor(ln(abs(d)) / ln(2.0) + 1e-9) END AS BIGINT) AS b, count(*) FROM c GROUP BY 2"),
+    "size_change_fine": sql(", c AS (SELECT obj_size - ps AS d, (obj_size - ps) / ps AS r FROM a WHERE overwrite), e AS (SELECT unnest([0.0001, 0.0002, 0.0005, 0.0008, 0.001, 0.002, 0.005, 0.008, 0.01, 0.02, 0.05, 0.08, 0.1]) AS edge), b AS (SELECT CAST(CASE WHEN d = 0 OR abs(r) < 0.00001 THEN 0 ELSE sign(d) * (1 + (SELECT count(*) FROM e WHERE CAST(edge AS DOUBLE) <= abs(r))) END AS BIGINT) AS bucket FROM c) SELECT bucket, count(*) AS cnt FROM b GROUP BY 1"),
     "write_reuse": sql(", w AS (SELECT *, last_value(CASE WHEN op IN ('set', 'replace', 'cas') THEN t END IGNORE NULLS) OVER (PARTITION BY obj_id ORDER BY vtime ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS wrote FROM a) SELECT CASE WHEN op IN ('set', 'replace', 'cas') THEN 'overwrite' WHEN op = 'delete' THEN 'remove' ELSE 'read' END AS kind, (t - wrote) // 3600 AS bucket, count(*) AS cnt FROM w WHERE wrote IS NOT NULL GROUP BY 1, 2"),
     "hist_cdf": sql(_OBJ + ", h AS (SELECT freq, count(*) AS n FROM o GROUP BY 1) SELECT freq, round(sum(n) OVER (ORDER BY freq) / sum(n) OVER (), 6) AS cdf FROM h", "skew"),
     "one_hit_ratio": sql(", c AS (SELECT vtime, cold, CASE WHEN cold THEN 1 WHEN pv = fv THEN -1 ELSE 0 END AS ch FROM a), s AS (SELECT vtime, cold, sum(ch) OVER (ORDER BY vtime) AS ones, sum(CAST(cold AS INT)) OVER (ORDER BY vtime) AS n FROM c) SELECT CAST(n AS BIGINT) AS n_obj, vtime, round(ones / n, 6) AS ratio FROM s WHERE cold AND n % 100 = 0", "skew"),
@@ -113,6 +114,11 @@ ORACLE: dict[str, str] = {
     "topo_hierarchy": sql(""", s1 AS (SELECT i.vtime, i.obj_id, i.pv, CASE WHEN i.pv IS NULL THEN -1 ELSE (SELECT count(*) FROM a j WHERE j.obj_id % 4 = i.obj_id % 4 AND j.vtime > i.pv AND j.vtime < i.vtime AND coalesce(j.pv, 0) <= i.pv) END AS d FROM a i),
 m0 AS (SELECT obj_id, row_number() OVER (ORDER BY vtime) AS v FROM s1 WHERE d < 0 OR d >= 16), m1 AS (SELECT *, lag(v) OVER (PARTITION BY obj_id ORDER BY v) AS p FROM m0),
 sd AS (SELECT CASE WHEN i.p IS NULL THEN -1 ELSE (SELECT count(*) FROM m1 j WHERE j.v > i.p AND j.v < i.v AND coalesce(j.p, 0) <= i.p) END AS d FROM m1 i)""" + _MRC + " SELECT * FROM curve", "skew"),
+    "topo_cluster": sql(""", srv AS (SELECT DISTINCT ns AS server FROM t0),
+pts AS (SELECT CAST('0x' || substr(md5(server || '-' || k), 1, 8) AS BIGINT) AS place, min(server) AS server FROM srv, (SELECT unnest(range(0, 160)) AS k) GROUP BY 1),
+ob AS (SELECT DISTINCT obj_id, CAST('0x' || substr(md5(CAST(obj_id AS VARCHAR)), 1, 8) AS BIGINT) AS place FROM t0),
+wh AS (SELECT ob.obj_id, coalesce(pts.server, (SELECT arg_min(server, place) FROM pts)) AS server FROM ob ASOF LEFT JOIN pts ON ob.place <= pts.place)
+SELECT server, count(*) AS n_req, CAST(sum(obj_size) AS BIGINT) AS bytes, count(DISTINCT obj_id) AS n_obj FROM t0 JOIN wh USING (obj_id) GROUP BY 1""", "skew"),
     "merge_traces": sql(" SELECT row_number() OVER (ORDER BY clock_time, CASE WHEN ns < 4 THEN 0 ELSE 1 END, vtime) AS vtime, CASE WHEN ns < 4 THEN 0 ELSE 1 END AS trace_no, vtime AS own_vtime, obj_id FROM t0"),
     "trace_round_trip": sql(" SELECT vtime - 100 AS vtime, clock_time, obj_id, fs AS obj_size, coalesce(nv, -1) AS next_access_vtime FROM a WHERE vtime > 100 AND vtime <= 9100"),
     "trace_print": sql(" SELECT vtime, concat_ws(',', clock_time, obj_id, fs, coalesce(nv, -1)) AS line FROM a"),
