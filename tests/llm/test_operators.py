@@ -296,9 +296,9 @@ def brute_spans(text):
         bits = p.hex_bits if re.fullmatch("[0-9a-f]+", s) else p.alnum_bits if re.fullmatch("[A-Za-z0-9]+", s) else p.other_bits
         over = [i for i in range(len(s) - p.window + 1) if round(-sum(c / p.window * math.log2(c / p.window) for c in Counter(s[i : i + p.window]).values()), 9) >= bits]
         if over:
-            span = (m.start() + over[0], 3, m.start() + over[-1] + p.window)
-            if not any(b[0] < span[2] and span[0] < b[2] for b in base):
-                out.append(span)
+            free = [k for k in range(m.start() + over[0], m.start() + over[-1] + p.window) if not any(a <= k < b for a, _, b in base)]
+            cuts = [0, *(k for k in range(1, len(free)) if free[k] > free[k - 1] + 1), len(free)]
+            out += [(free[a], 3, free[b - 1] + 1) for a, b in zip(cuts, cuts[1:]) if b - a >= p.window]
     show = lambda spans: ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in spans)
     return *(sum(k == j for _, k, _ in base) for j in range(3)), hashlib.sha256(show(base).encode()).hexdigest(), show(sorted(out))
 
@@ -306,11 +306,21 @@ def brute_spans(text):
 @pytest.mark.parametrize("which", ["docs", "awkward", "keys"])
 def test_secrets(request, spark, which):
     made = [(1, "id=9aF3kLmP0qRsT7uVwXyZ1b2C and 123e4567-e89b-12d3-a456-426614174000 http://x/aaaaaaaaaaaaaaaaaaaaaaaa1"), (2, "é" * 5 + " API_KEY: 'abc' apikey = 'abcdef' Password:x secret= token=abcdefgh"), (3, "Q" * 30 + "1 " + "aB3" * 2000)]
+    key, hexes = "9aF3kLmP0qRsT7uVwXyZ1b2C", "9f86d081884c7d659a2feaa0"
+    made += [(4, f"{key}/{hexes}/{key[::-1]}"), (5, f"{hexes}={key} short/{hexes}"), (6, f"{key}_token={key} {key}AKIA{'Q' * 16}")]
     d = spark.createDataFrame(made, "doc_id bigint, text string") if which == "keys" else request.getfixturevalue(which)
     want = sorted([(i, *brute_spans(t)) for i, t in texts(d)], key=repr)
     assert rows(secrets.secret_digest(d), "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans") == want
 
 
+def test_secrets_beside_patterns(spark):
+    """Keys joined to a pattern's match keep what the match doesn't cover."""
+    key, hexes = "9aF3kLmP0qRsT7uVwXyZ1b2C", "9f86d081884c7d659a2feaa0"
+    got = secrets.secret_digest(spark.createDataFrame([(1, f"{key}/{hexes}/{key}")], "doc_id bigint, text string")).collect()[0]
+    kinds = {k: {tuple(map(int, x.split(":")[1:])) for x in got["spans"].split(",") if x.startswith(k)} for k in secrets.KINDS}
+    assert kinds["hex"] == {(25, 49)} and any(a <= 1 and b >= 24 for a, b in kinds["entropy"]) and any(a <= 51 and b >= 73 for a, b in kinds["entropy"])
+
+
 def test_secrets_of_long_strings(spark):
     """An embedded image of half a megabyte, and thousands of matches in one text."""
     rng = np.random.default_rng(4)

@@ -105,8 +105,14 @@ WITH docs AS (
   SELECT rid, s, i FROM symbols GROUP BY rid, s, bits, i HAVING round(-sum(n / 20 * log2(n / 20)), 9) >= bits
 ), added AS (
   SELECT rid, 3 AS kind, s + min(i) - 1 AS s, s + max(i) + 19 AS e FROM over GROUP BY rid, over.s
+), met AS (
+  SELECT a.rid, a.s AS a_s, a.e AS a_e, b.s AS b_s, b.e AS b_e, b.kind FROM added a JOIN base b ON b.rid = a.rid AND b.s < a.e AND a.s < b.e
+), gaps AS (
+  SELECT rid, greatest(a_s, max(b_e) OVER (PARTITION BY rid, a_s ORDER BY b_s, kind, b_e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS s, b_s AS e FROM met
+  UNION ALL SELECT rid, greatest(a_s, max(b_e)), a_e FROM met GROUP BY rid, a_s, a_e
 ), spans AS (
-  SELECT * FROM base UNION ALL SELECT * FROM added a WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = a.rid AND b.s < a.e AND a.s < b.e)
+  SELECT * FROM base UNION ALL SELECT rid, 3, s, e FROM gaps WHERE e - s >= 20
+  UNION ALL SELECT * FROM added a WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = a.rid AND b.s < a.e AND a.s < b.e)
 ), shown AS (
   SELECT rid, kind, s, ['assign', 'access', 'hex', 'entropy'][kind + 1] || ':' || cast(s AS BIGINT) || ':' || cast(e AS BIGINT) AS x FROM spans
 ), joined AS (

@@ -2,7 +2,8 @@
 
 Candidate strings are runs of characters that keys are made of. A window of fixed width slides over each; symbol
 counts change by the character that comes and the one that goes, and so does the entropy. Windows over the threshold
-of their character class mark a span, unless the string is on the allow-list or the span meets a pattern's.
+of their character class mark a span, unless the string is on the allow-list. Of a span that meets patterns' spans, the
+parts of a window's length or more that none of them covers stay.
 
 Defined cases: a null text is an empty text; positions are code points, ends exclusive; repeated rows are scanned each;
 an empty table gives an empty result.
@@ -117,6 +118,15 @@ def window_span(string: Column, most: Column, p: EntropyParams) -> Column:
     return F.aggregate(steps, zero, mark, lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last")))
 
 
+def _uncovered(span: Column, base: Column, least: int) -> Column:
+    """The parts of a span, of at least so many characters, that no span of base (sorted by start) covers: the span itself, if it meets none."""
+    met = F.filter(base, lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
+    part = lambda start, end: F.when(end - start >= least, F.array(F.struct(start.alias("start"), F.lit(3).alias("kind"), end.alias("end"))).cast(SPAN)).otherwise(F.array().cast(SPAN))
+    first = F.struct(span["start"].alias("at"), F.array().cast(SPAN).alias("parts"))
+    step = lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.concat(acc["parts"], part(acc["at"], b["start"])).alias("parts"))
+    return F.aggregate(met, first, step, lambda acc: F.concat(acc["parts"], part(acc["at"], span["end"])))
+
+
 def find_secrets(docs: DataFrame, p: EntropyParams = EntropyParams()) -> DataFrame:
     """docs' columns as `row`, base (spans of the patterns) and added (spans of the entropy method): arrays of start, kind (index in KINDS), end, sorted."""
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce("text", F.lit("")).alias("t"))
@@ -136,8 +146,7 @@ def find_secrets(docs: DataFrame, p: EntropyParams = EntropyParams()) -> DataFra
     spans = F.transform(classed, lambda x: F.struct(x["start"].alias("start"), window_span(x["match"], x["most"], p).alias("at")))
     spans = F.transform(F.filter(spans, lambda x: x["at"]["first"].isNotNull()), lambda x: F.struct((x["start"] + x["at"]["first"]).alias("start"), F.lit(3).alias("kind"), (x["start"] + x["at"]["last"]).alias("end")))
     added = base.select("row", "base", F.when(F.size("candidate") > 0, spans.cast(SPAN)).otherwise(F.array().cast(SPAN)).alias("spans"))
-    apart = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    return added.select("row", "base", F.filter("spans", apart).alias("added"))
+    return added.select("row", "base", F.flatten(F.transform("spans", lambda s: _uncovered(s, F.col("base"), p.window))).alias("added"))
 
 
 def _joined(spans: Column) -> Column:
