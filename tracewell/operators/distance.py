@@ -3,7 +3,8 @@
 The stack distance of request i with previous access p(i) is the number of requests j < i with p(j) <= p(i), less p(i)
 (p = 0 for a first access). This is counted without putting the trace into one task: requests are cut into blocks by their
 own place and by p's. Pairs of blocks are summed from a small table of block counts; what is left are pairs within a
-block of places, and within a block of p, and each block is one group.
+block of places, and within a block of p, and each block is one group. Blocks grow with the square root of the trace, so
+that the table of all pairs of blocks has at most a quarter row a request (and some more in small traces).
 """
 
 from __future__ import annotations
@@ -20,6 +21,14 @@ from .prep import with_neighbours
 BLOCK = 1 << 16
 
 
+def block_length(n: int) -> int:
+    """A power of two, from BLOCK up, of which (n / length)^2 / 2, the pairs of blocks, is at most n / 4."""
+    length = BLOCK
+    while length * length < 2 * n:
+        length *= 2
+    return length
+
+
 def smaller_before(values: np.ndarray) -> np.ndarray:
     """For each value of an array the number of smaller or equal ones before it. Doubling runs are merged by sorting."""
     n = len(values)
@@ -47,9 +56,11 @@ def access_distances(trace: DataFrame) -> DataFrame:
     return n.select("vtime", "obj_id", F.coalesce(F.col("vtime") - prev, none).alias("dist_last"), F.when(prev.isNull(), none).otherwise(F.col("vtime") - F.col("first.vtime")).alias("dist_first"), prev.alias("prev_vtime"), F.col("next.vtime").alias("next_vtime"))
 
 
-def stack_distances(trace: DataFrame, block: int = BLOCK) -> DataFrame:
-    """vtime, obj_id, prev_vtime, next_vtime, stack_dist: the number of other objects since the previous access, -1 for a first access."""
+def stack_distances(trace: DataFrame, block: int | None = None) -> DataFrame:
+    """vtime, obj_id, prev_vtime, next_vtime, stack_dist: the number of other objects since the previous access, -1 for a first access. Without a block, its length follows from the trace's."""
     d = stored(access_distances(trace).select("vtime", "obj_id", "prev_vtime", "next_vtime"), "accesses")
+    last = d.agg(F.max("vtime")).first()[0] or 0
+    block = block or block_length(last)
     warm = d.filter("prev_vtime is not null").select("vtime", F.col("prev_vtime").alias("p"), F.floor(F.col("vtime") / block).alias("b"), F.floor(F.col("prev_vtime") / block).alias("c"))
 
     def within_place(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -67,8 +78,9 @@ def stack_distances(trace: DataFrame, block: int = BLOCK) -> DataFrame:
     far = warm.groupBy("c").applyInPandas(within_prev, "vtime bigint, n bigint")
     # Block pairs: requests of earlier place blocks whose p lies in an earlier p block. One row per pair of blocks.
     cells = warm.groupBy("b", "c").agg(F.count("*").alias("n"))
-    top = cells.agg(F.max("b").alias("b")).select(F.explode(F.sequence(F.lit(0).cast("long"), "b")).alias("b"))
-    grid = top.select("b", F.explode(F.sequence(F.lit(0).cast("long"), "b")).alias("c")).join(cells, ["b", "c"], "left").na.fill(0, ["n"])
+    k = last // block + 1
+    places = trace.sparkSession.range(k * k).select(F.expr(f"id div {k}").alias("b"), (F.col("id") % k).alias("c")).filter("c <= b")
+    grid = places.join(cells, ["b", "c"], "left").na.fill(0, ["n"])
     up = Window.partitionBy("c").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     left = Window.partitionBy("b").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
     sums = grid.withColumn("above", F.coalesce(F.sum("n").over(up), F.lit(0))).withColumn("n", F.coalesce(F.sum("above").over(left), F.lit(0))).select("b", "c", "n")
@@ -95,8 +107,10 @@ def lru_curve(trace: DataFrame, max_size: int | None = None) -> DataFrame:
     """cache_size (objects), miss_ratio: exact, for each size from 0 to the number of objects (or max_size)."""
     hist = stored(stack_distances(trace).groupBy("stack_dist").agg(F.count("*").alias("n")), "stack-histogram")
     total = hist.agg(F.sum("n").alias("total"), F.sum(F.when(F.col("stack_dist") < 0, F.col("n")).otherwise(0)).alias("cold"))
-    top = F.lit(max_size).cast("long") if max_size is not None else F.col("cold")
-    spine = total.select("total", F.explode(F.sequence(F.lit(0).cast("long"), top)).alias("cache_size"))
+    sums = total.first()
+    top = max_size if max_size is not None else sums["cold"]
+    # One row a size, made by all tasks.
+    spine = trace.sparkSession.range((top or 0) + 1 if sums["total"] else 0).select(F.lit(sums["total"]).alias("total"), F.col("id").alias("cache_size"))
     hits = hist.filter("stack_dist >= 0").select((F.col("stack_dist") + 1).alias("cache_size"), "n")
     # The curve has as many rows as there are objects: sums within pieces of sizes, then over the pieces.
     rows = spine.join(hits, "cache_size", "left").na.fill(0, ["n"]).withColumn("piece", F.floor(F.col("cache_size") / BLOCK))
