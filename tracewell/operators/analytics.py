@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.buckets import log_bucket, step_bucket
 from ..schema import WRITES
-from .prep import SLICE, scalar
+from ..sources.tables import with_vtime
+from .prep import SLICE, scalar, with_neighbours
 
 HOUR, DAY = 3600, 86400
 #: Ranks in a piece.
@@ -79,6 +80,14 @@ def req_rate_summary(a: DataFrame, w: int = HOUR) -> DataFrame:
     return r.agg(F.count("*").alias("n_windows"), *ends, (F.count("*") < 10).alias("few_windows"))
 
 
+def trimmed(rows: DataFrame, value: str, order: str, first: int, last: int) -> DataFrame:
+    """Mean and deviation of a column without its first and last rows in an order, 0 if nothing is left; its median over all rows."""
+    numbered = with_vtime(rows.select(F.col(order).alias("own"), F.col(value).alias("value")), "own")
+    inside = numbered.withColumn("x", F.when((F.col("vtime") > first) & (F.col("vtime") <= scalar(numbered, F.count("*")) - last), F.col("value")))
+    zero = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
+    return inside.agg(F.count("*").alias("n_rows"), F.count("x").alias("n_kept"), zero(F.avg("x")).alias("mean"), zero(F.stddev_pop("x")).alias("std"), zero(F.median("value")).alias("median"))
+
+
 def size_dist(a: DataFrame) -> DataFrame:
     """Requests and objects (by first size) of each size."""
     req = a.groupBy(F.col("obj_size").alias("size")).agg(F.count("*").alias("n_req"), F.count(F.when(F.col("compulsory_miss"), 1)).alias("n_obj"))
@@ -216,6 +225,36 @@ def write_reuse(a: DataFrame, step: int = HOUR) -> DataFrame:
     return rows.join(slices, ["obj_id", "slice"]).withColumn("wrote", wrote).filter("wrote is not null").groupBy(kind.alias("kind"), F.floor((F.col("t") - F.col("wrote")) / step).alias("bucket")).agg(_n())
 
 
+#: Operations that start an object's life anew, and those that read.
+PUTS, READS = ["set", "replace"], ["get", "gets", "incr", "decr"]
+
+
+def write_future_reuse(trace_t: DataFrame, fine: int = HOUR, step: int = 5) -> DataFrame:
+    """By age since an object's latest write, until it is deleted: requests that another read follows and requests that end the reuse, the reads since the write and the time since the latest of them.
+
+    A write or delete is counted at the age of the life that it ends. A write has no reads behind it; a delete has those of that life.
+    """
+    rows = with_neighbours(trace_t, "op", "t").drop("prev", "first").withColumn("slice", F.floor(F.col("vtime") / SLICE))
+    ends, read = F.col("op").isin([*PUTS, "delete"]), F.col("op").isin(READS)
+    so_far = Window.partitionBy("obj_id", "slice").orderBy("vtime").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("reads", F.count(F.when(read, 1)).over(so_far))
+    end, seen = F.when(ends, F.struct("vtime", "op", "t", "reads")), F.when(read, F.struct("vtime", "t"))
+    # What a slice leaves behind, and what an object brings into a slice.
+    slices = rows.groupBy("obj_id", "slice").agg(F.count(F.when(read, 1)).alias("n"), F.max(end).alias("end"), F.max(seen).alias("seen"))
+    earlier = Window.partitionBy("obj_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    whole = lambda e: F.when(e.isNotNull(), F.struct(e["vtime"].alias("vtime"), e["op"].alias("op"), e["t"].alias("t"), (e["reads"] + F.col("base")).alias("reads")))
+    slices = slices.select("obj_id", "slice", "base", F.last(whole(F.col("end")), ignorenulls=True).over(earlier).alias("end_before"), F.last("seen", ignorenulls=True).over(earlier).alias("seen_before"))
+    rows = rows.withColumn("end", F.last(end, ignorenulls=True).over(so_far)).withColumn("seen", F.last(seen, ignorenulls=True).over(so_far)).join(slices, ["obj_id", "slice"])
+    rows = rows.withColumn("end", F.coalesce(whole(F.col("end")), "end_before")).withColumn("seen", F.coalesce("seen", "seen_before")).filter(F.col("end.op").isin(PUTS))
+    put = F.col("op").isin(PUTS)
+    freq = F.when(put, 0).otherwise(F.col("base") + F.col("reads") - F.col("end.reads"))
+    since = F.when(put | F.col("seen").isNull() | (F.col("seen.vtime") < F.col("end.vtime")), 0).otherwise(F.col("t") - F.col("seen.t"))
+    age = F.col("t") - F.col("end.t")
+    reused = ~ends & F.coalesce(~F.col("next.op").isin([*WRITES, "delete"]), F.lit(False))
+    return rows.groupBy(F.when(age < fine, age).otherwise(F.floor(age / step) * step).alias("age"), reused.alias("reused")).agg(_n(), F.sum(freq).alias("sum_freq"), F.sum(since).alias("sum_access_age"))
+
+
 def cdf(hist: DataFrame, key: str, count: str) -> DataFrame:
     """Running share of a histogram."""
     up = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -258,3 +297,35 @@ def op_rollup(a: DataFrame) -> DataFrame:
 def interval_heatmap(d: DataFrame, value: str, interval: int) -> DataFrame:
     """A distance by intervals of vtime and logarithmic bucket; first accesses are left out."""
     return d.filter(F.col(value) >= 0).groupBy(F.floor((F.col("vtime") - 1) / interval).alias("interval"), log_bucket(F.col(value) + 1).alias("bucket")).agg(_n())
+
+
+def heatmap_hit_ratio_window(d: DataFrame, size: int, interval: int) -> DataFrame:
+    """Hit ratio of an LRU cache that is empty at the start of one interval and runs to the end of another, for all pairs of intervals. d: vtime, prev_vtime, stack_dist.
+
+    Requests become one count for each pair (interval of the access before, own interval); the picture is made of running sums over these.
+    """
+    own, before = F.floor((F.col("vtime") - 1) / interval), F.floor((F.col("prev_vtime") - 1) / interval)
+    hit = (F.col("stack_dist") >= 0) & (F.col("stack_dist") < size)
+    counts = d.groupBy(own.alias("end_interval"), F.when(hit, before).alias("start_interval")).agg(F.count("*").alias("n"))
+    per = counts.groupBy("end_interval").agg(F.sum("n").alias("n_req"))
+    hits = counts.filter("start_interval is not null").select("start_interval", "end_interval", F.col("n").alias("n_hit"))
+    cells = per.withColumn("start_interval", F.explode(F.sequence(F.lit(0).cast("long"), "end_interval"))).join(hits, ["start_interval", "end_interval"], "left").na.fill(0, ["n_hit"])
+    down = Window.partitionBy("end_interval").orderBy(F.col("start_interval").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    on = Window.partitionBy("start_interval").orderBy("end_interval").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cells = cells.withColumn("n_hit", F.sum("n_hit").over(down))
+    return cells.select("start_interval", "end_interval", F.round(F.sum("n_hit").over(on) / F.sum("n_req").over(on), 6).alias("hit_ratio"))
+
+
+def heatmap_hit_ratio_size(d: DataFrame, size: int, step: int, interval: int, decay: float = 0.0) -> DataFrame:
+    """Hit ratio of LRU caches of 0, step, 2 * step ... up to size objects in each interval; with a decay, so much of the ratio before it goes into each interval's. d: vtime, stack_dist."""
+    counts = d.groupBy(F.floor((F.col("vtime") - 1) / interval).alias("interval"), F.when(F.col("stack_dist") >= 0, F.floor(F.col("stack_dist") / step) + 1).alias("k")).agg(F.count("*").alias("n"))
+    per = counts.groupBy("interval").agg(F.sum("n").alias("n_req"))
+    cells = per.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(size // step).cast("long")))).join(counts, ["interval", "k"], "left").na.fill(0, ["n"])
+    up = Window.partitionBy("interval").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ratios = cells.select((F.col("k") * step).alias("cache_size"), "interval", (F.sum("n").over(up) / F.col("n_req")).alias("h"))
+    if not decay:
+        return ratios.select("cache_size", "interval", F.round("h", 6).alias("hit_ratio"))
+    # An array holds one size's intervals, as many as the picture has.
+    series = ratios.groupBy("cache_size").agg(F.sort_array(F.collect_list(F.struct("interval", "h"))).alias("s"))
+    folded = F.aggregate("s", F.array().cast("array<double>"), lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) == 0, x["h"]).otherwise(F.try_element_at(acc, F.lit(-1)) * decay + (1 - decay) * x["h"]))))
+    return series.select("cache_size", F.explode(F.arrays_zip("s", folded.alias("m"))).alias("z")).select("cache_size", "z.s.interval", F.round("z.m", 6).alias("hit_ratio"))

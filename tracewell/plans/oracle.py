@@ -70,6 +70,7 @@ ORACLE: dict[str, str] = {
     "op_rollup": sql(" SELECT ns, op, count(*) AS cnt, CAST(sum(obj_size) AS BIGINT) AS bytes FROM a GROUP BY ROLLUP (ns, op)"),
     "req_rate": sql(_RATE + " SELECT * FROM rate"),
     "req_rate_shifted": sql(", s AS (SELECT coalesce(lag(t) OVER (ORDER BY vtime), 0) // 3600 AS win FROM a), h AS (SELECT win, count(*) AS n FROM s GROUP BY 1) SELECT x AS win, coalesce(n, 0) AS cnt FROM (SELECT unnest(range(0, (SELECT max(t) // 3600 FROM a))) AS x) LEFT JOIN h ON h.win = x"),
+    "req_rate_trimmed": sql(_RATE + ", z AS (SELECT n_req, row_number() OVER (ORDER BY win) AS rn, count(*) OVER () AS n FROM rate) SELECT count(*) AS n_rows, count(*) FILTER (rn > 2 AND rn <= n - 1) AS n_kept, round(coalesce(avg(n_req) FILTER (rn > 2 AND rn <= n - 1), 0), 6) AS mean, round(coalesce(stddev_pop(n_req) FILTER (rn > 2 AND rn <= n - 1), 0), 6) AS std, round(coalesce(median(n_req), 0), 6) AS median FROM z"),
     "req_rate_summary": sql(_RATE + " SELECT count(*) AS n_windows, min(req_rate) AS min_req_rate, max(req_rate) AS max_req_rate, min(byte_rate) AS min_byte_rate, max(byte_rate) AS max_byte_rate, min(obj_rate) AS min_obj_rate, max(obj_rate) AS max_obj_rate, count(*) < 10 AS few_windows FROM rate"),
     "size_dist": sql(" SELECT obj_size AS size, count(*) AS n_req, count(*) FILTER (cold) AS n_obj FROM a GROUP BY 1"),
     "size_heatmap": sql(" SELECT t // 3600 AS win, " + _LOG.format("obj_size") + " AS bucket, count(*) AS n_req, count(*) FILTER (seen_w) AS n_obj FROM a GROUP BY 1, 2"),
@@ -88,6 +89,7 @@ ORACLE: dict[str, str] = {
     "create_future_reuse": sql(", m AS (SELECT *, row_number() OVER (PARTITION BY obj_id ORDER BY vtime) AS rn, t - create_rtime AS g FROM a WHERE create_rtime BETWEEN 86400 AND 172800) SELECT CASE WHEN g < 3600 THEN g ELSE g // 5 * 5 END AS age, nv IS NOT NULL AS reused, count(*) AS cnt, CAST(sum(rn) AS BIGINT) AS sum_freq, CAST(sum(greatest(dt, 0)) AS BIGINT) AS sum_access_age FROM m GROUP BY 1, 2", "skew"),
     "size_change": sql(", c AS (SELECT obj_size - ps AS d, ps FROM a WHERE overwrite) SELECT 'relative' AS kind, CAST(greatest(-10, least(20, floor(10 * d / ps))) AS BIGINT) AS bucket, count(*) AS cnt FROM c GROUP BY 2 UNION ALL SELECT 'absolute', CAST(sign(d) * CASE WHEN d = 0 THEN 0 ELSE 1 + floor(ln(abs(d)) / ln(2.0) + 1e-9) END AS BIGINT) AS b, count(*) FROM c GROUP BY 2"),
     "size_change_fine": sql(", c AS (SELECT obj_size - ps AS d, (obj_size - ps) / ps AS r FROM a WHERE overwrite), e AS (SELECT unnest([0.0001, 0.0002, 0.0005, 0.0008, 0.001, 0.002, 0.005, 0.008, 0.01, 0.02, 0.05, 0.08, 0.1]) AS edge), b AS (SELECT CAST(CASE WHEN d = 0 OR abs(r) < 0.00001 THEN 0 ELSE sign(d) * (1 + (SELECT count(*) FROM e WHERE CAST(edge AS DOUBLE) <= abs(r))) END AS BIGINT) AS bucket FROM c) SELECT bucket, count(*) AS cnt FROM b GROUP BY 1"),
+    "write_future_reuse": sql(", f AS (SELECT *, count(*) FILTER (op IN ('get', 'gets', 'incr', 'decr')) OVER b AS reads, max(CASE WHEN op IN ('set', 'replace', 'delete') THEN vtime END) OVER b AS ev, max(CASE WHEN op IN ('get', 'gets', 'incr', 'decr') THEN vtime END) OVER b AS rv FROM a WINDOW b AS (PARTITION BY obj_id ORDER BY vtime ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), g AS (SELECT f.*, f.t - e.t AS age0, f.op IN ('set', 'replace') AS put, f.reads - e.reads AS fr, CASE WHEN f.rv > f.ev THEN f.t - r.t ELSE 0 END AS ag FROM f JOIN f e ON e.vtime = f.ev AND e.op IN ('set', 'replace') LEFT JOIN f r ON r.vtime = f.rv) SELECT CASE WHEN age0 < 3600 THEN age0 ELSE age0 // 5 * 5 END AS age, op NOT IN ('set', 'replace', 'delete') AND coalesce(nop NOT IN ('set', 'replace', 'cas', 'delete'), false) AS reused, count(*) AS cnt, CAST(sum(CASE WHEN put THEN 0 ELSE fr END) AS BIGINT) AS sum_freq, CAST(sum(CASE WHEN put THEN 0 ELSE ag END) AS BIGINT) AS sum_access_age FROM g GROUP BY 1, 2", "skew"),
     "write_reuse": sql(", w AS (SELECT *, last_value(CASE WHEN op IN ('set', 'replace', 'cas') THEN t END IGNORE NULLS) OVER (PARTITION BY obj_id ORDER BY vtime ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS wrote FROM a) SELECT CASE WHEN op IN ('set', 'replace', 'cas') THEN 'overwrite' WHEN op = 'delete' THEN 'remove' ELSE 'read' END AS kind, (t - wrote) // 3600 AS bucket, count(*) AS cnt FROM w WHERE wrote IS NOT NULL GROUP BY 1, 2"),
     "hist_cdf": sql(_OBJ + ", h AS (SELECT freq, count(*) AS n FROM o GROUP BY 1) SELECT freq, round(sum(n) OVER (ORDER BY freq) / sum(n) OVER (), 6) AS cdf FROM h", "skew"),
     "one_hit_ratio": sql(", c AS (SELECT vtime, cold, CASE WHEN cold THEN 1 WHEN pv = fv THEN -1 ELSE 0 END AS ch FROM a), s AS (SELECT vtime, cold, sum(ch) OVER (ORDER BY vtime) AS ones, sum(CAST(cold AS INT)) OVER (ORDER BY vtime) AS n FROM c) SELECT CAST(n AS BIGINT) AS n_obj, vtime, round(ones / n, 6) AS ratio FROM s WHERE cold AND n % 100 = 0", "skew"),
@@ -101,6 +103,8 @@ ORACLE: dict[str, str] = {
     "lru_mrc": sql(_STACK + _MRC + " SELECT * FROM curve"),
     "lru_mrc_orders": sql(_STACK + _MRC + " SELECT * FROM curve", "orders"),
     "heatmap_stack_dist": sql(_STACK + " SELECT (vtime - 1) // 1000 AS interval, " + _LOG.format("d + 1") + " AS bucket, count(*) AS cnt FROM sd WHERE d >= 0 GROUP BY 1, 2", "skew"),
+    "heatmap_hit_ratio_window": sql(_STACK + ", r AS (SELECT (vtime - 1) // 1000 AS iv, (pv - 1) // 1000 AS ip, d FROM sd), k AS (SELECT DISTINCT iv FROM r) SELECT s.iv AS start_interval, e.iv AS end_interval, round(count(*) FILTER (d >= 0 AND d < 100 AND ip >= s.iv) / count(*), 6) AS hit_ratio FROM k s JOIN k e ON e.iv >= s.iv JOIN r ON r.iv BETWEEN s.iv AND e.iv GROUP BY 1, 2", "skew"),
+    "heatmap_hit_ratio_size": sql(_STACK + " SELECT c AS cache_size, (vtime - 1) // 1000 AS interval, round(count(*) FILTER (d >= 0 AND d < c) / count(*), 6) AS hit_ratio FROM sd, range(0, 201, 20) z(c) GROUP BY 1, 2", "skew"),
     "heatmap_reuse_time": sql(" SELECT (vtime - 1) // 1000 AS interval, " + _LOG.format("dt + 1") + " AS bucket, count(*) AS cnt FROM a WHERE dt >= 0 GROUP BY 1, 2"),
     "wss": sql(_OBJ + " SELECT count(*) AS wss_obj, CAST(sum(first_size) AS BIGINT) AS wss_byte FROM o"),
     "sample_spatial": sql(" SELECT vtime, obj_id FROM t0 WHERE obj_id % 10 = 0"),

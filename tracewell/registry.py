@@ -83,6 +83,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "size_change": _annotated("events", an.size_change),
         "size_change_fine": _annotated("events", an.size_change_fine),
         "write_reuse": _annotated("events", an.write_reuse),
+        "write_future_reuse": _timed("skew", an.write_future_reuse),
+        "req_rate_trimmed": _annotated("events", lambda a: an.trimmed(an.req_rate(a), "n_req", "win", 2, 1)),
         "hist_cdf": _timed("skew", lambda a: an.cdf(an.popularity(a), "freq", "n_obj")),
         "one_hit_ratio": _annotated("skew", an.one_hit_ratio),
         "obj_reuse_stat": _timed("events", an.obj_reuse_stat),
@@ -95,6 +97,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "lru_mrc": _on("events", di.lru_curve),
         "lru_mrc_orders": _on("orders", di.lru_curve),
         "heatmap_stack_dist": _on("skew", lambda t: an.interval_heatmap(di.stack_distances(t), "stack_dist", 1000)),
+        "heatmap_hit_ratio_window": _on("skew", lambda t: an.heatmap_hit_ratio_window(di.stack_distances(t), 100, 1000)),
+        "heatmap_hit_ratio_size": _on("skew", lambda t: an.heatmap_hit_ratio_size(di.stack_distances(t), 200, 20, 1000)),
         "heatmap_reuse_time": _annotated("events", lambda a: an.interval_heatmap(a, "rtime_since_last", 1000)),
         "wss": _on("events", prep.working_set),
         "sample_spatial": _on("events", lambda t: prep.sample_spatial(t, 10, hashed=False).select("vtime", "obj_id")),
