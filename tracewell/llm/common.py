@@ -9,7 +9,7 @@ import weakref
 from collections.abc import Callable, Iterator
 from contextvars import ContextVar
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The six ASCII white-space characters, as a Java regular-expression class body.
@@ -59,12 +59,12 @@ _folders: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary(
 _run: ContextVar[list[str] | None] = ContextVar("run", default=None)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a table in the shared folder: it is computed once and a lost executor costs no recomputation."""
+def written(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """df as a table in the shared folder: it is computed once and a lost executor costs no recomputation. options: the Parquet writer's."""
     path = shared_dir(df.sparkSession, label)
     if (tables := _run.get()) is not None:
         tables.append(path)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _folders[out] = path
     return out
@@ -85,6 +85,18 @@ def bucketed(df: DataFrame, label: str, n: int, *columns: str) -> DataFrame:
     return out
 
 
+def ranked(df: DataFrame, label: str, *order: Column) -> DataFrame:
+    """df with rank = 1, 2, ... in an order. Rows are range-partitioned and sorted; each partition starts where the ones before end, so no task sees all rows."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = written(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()), label)
+    part = F.shiftright("place", 33).alias("part")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    starts = placed.groupBy(part).agg(F.count("*").alias("n")).select("part", (F.sum("n").over(before) - F.col("n")).alias("start"))
+    # One row for each partition of the sort.
+    joined = placed.withColumn("part", part).join(F.broadcast(starts), "part")
+    return joined.withColumn("rank", F.col("start") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("part", "start", "place")
+
+
 def _delete(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -17,6 +17,7 @@ from .quality_model import quality_digest
 from .quality_rules import rule_columns
 from .secrets import secret_digest
 from .token_counts import CountParams, edited_counts, masked_numbers
+from .resampling import resampled
 from .token_files import FileParams, token_digest
 
 
@@ -67,6 +68,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_counts(docs, masked_numbers(docs), CountParams(tokenizer_path()))
 
 
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampled(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -74,7 +79,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_quality_classifier, op2_mix_sources, op3_quality_rules, op4_secret_scan, op5_language_id, op6_ngram_jaccard, op7_decontaminate, op8_line_dedup, op9_token_files, op10_token_counts, pipeline]
+    own = [op1_quality_classifier, op2_mix_sources, op3_quality_rules, op4_secret_scan, op5_language_id, op6_ngram_jaccard, op7_decontaminate, op8_line_dedup, op9_token_files, op10_token_counts, op13_resample, pipeline]
     return {f.__name__: f for f in own}
 
 
