@@ -85,10 +85,15 @@ def bucketed(df: DataFrame, label: str, n: int, *columns: str) -> DataFrame:
     return out
 
 
+def ranges(df: DataFrame, *order: Column | str) -> DataFrame:
+    """df in an order, in as many partitions as the session's shuffles have."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+
+
 def ranked(df: DataFrame, label: str, *order: Column) -> DataFrame:
     """df with rank = 1, 2, ... in an order. Rows are range-partitioned and sorted; each partition starts where the ones before end, so no task sees all rows."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = written(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()), label)
+    placed = written(ranges(df, *order).withColumn("place", F.monotonically_increasing_id()), label)
     part = F.shiftright("place", 33).alias("part")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     starts = placed.groupBy(part).agg(F.count("*").alias("n")).select("part", (F.sum("n").over(before) - F.col("n")).alias("start"))

@@ -34,10 +34,12 @@ from pyspark.sql import functions as F
 
 from .bitset import hashed_set, in_set
 from .common import broadcast_if_small, discard, written
-from .links import components, with_smallest
+from .links import components, joined_components, with_smallest
 
 #: Bits of the set of digests that occur more than once. More digests only send more rows through a join.
 COPY_BITS = 1 << 22
+#: Tasks that add up the counts of hash buckets, each its own range of them.
+SKETCH_PARTS = 256
 #: A prefix hash whose bucket counts so much, or so many times the mean bucket, is dealt in parts.
 HOT_COUNT, HOT_TIMES, HOT_PARTS = 1024, 8, 64
 
@@ -140,8 +142,8 @@ def _digest(s: np.ndarray) -> bytes | None:
 
 
 def _count_sketch(docs: DataFrame, p: JoinParams) -> DataFrame:
-    """(part, counts): how often each hash bucket occurs over all documents, in 64 parts."""
-    parts, size = 64, 1 << p.sketch_bits
+    """(part, counts): how often each hash bucket occurs over all documents, in SKETCH_PARTS parts."""
+    parts, size = SKETCH_PARTS, 1 << p.sketch_bits
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, held, n = np.zeros(size, np.int64), [], 0
@@ -175,7 +177,7 @@ def _count_sketch(docs: DataFrame, p: JoinParams) -> DataFrame:
 def order_classes(docs: DataFrame, p: JoinParams) -> tuple[np.ndarray, int]:
     """The logarithm of each bucket's count, in 256 steps: 2^sketch_bits bytes whatever the corpus. And the class from which on a bucket holds a hash that is dealt in parts."""
     out = np.zeros(1 << p.sketch_bits, np.int64)
-    width = len(out) // 64
+    width = len(out) // SKETCH_PARTS
     for r in _count_sketch(docs, p).collect():
         out[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(r["counts"], np.int64)
     steps = lambda n: np.minimum(255, np.log2(np.maximum(n, 1)) * 4).astype(np.uint8)
@@ -392,6 +394,42 @@ def _same_document(real: DataFrame, sets: DataFrame) -> DataFrame:
     return each.join(ids.withColumnRenamed("id", "a"), "digest").select("a", F.col("low").alias("digest")).join(ids.withColumnRenamed("id", "b"), "digest").select("a", "b")
 
 
+def linked_components(docs: DataFrame, sets: DataFrame, members: DataFrame, bitmaps: DataFrame, first: DataFrame, given: DataFrame, p: JoinParams) -> DataFrame:
+    """(id, component) of sets that candidates link. members: token, id, n, m (the token's sets): any two sets of a token are candidates. first: pairs (a, b) of these to look at before the others; given: links that are known."""
+    large = F.col("m") > HOT_COUNT
+    first = written(_possible(first, bitmaps, p), "join-first")
+    links = written(_verified(first, docs, sets, p).unionByName(given), "join-links")
+    comps = components(links)
+    discard(first, links)
+    # First each document's nearest in a tile, which joins most components; then whatever is left.
+    for nearest in (True, True, False):
+        known = with_smallest(members.select("token", "id", "n", "m"), comps)
+        open_tokens = known.groupBy("token", "m").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("token", "m")
+        left = written(_met(known, open_tokens, ["token", "m"], large, "left_semi"), "join-open")
+        pairs = written(_possible(_tile_pairs(left, bitmaps, p, nearest), bitmaps, p), "join-pairs")
+        discard(left)
+        # Where the nearest of every row fails by its finer bitmap, a farther one may still pass in the last round.
+        if not pairs.head(1):
+            continue
+        found = written(_verified(pairs, docs, sets, p), "join-found")
+        discard(pairs)
+        comps = joined_components(comps, found)
+        discard(found)
+    return comps
+
+
+def per_document(slim: DataFrame, sets: DataFrame, comps: DataFrame, p: JoinParams) -> DataFrame:
+    """doc_id, n_shingles, component_id of each row of slim (doc_id, n_shingles, digest)."""
+    of_set = written(with_smallest(sets.select("id", "digest", "min_doc"), comps), "join-components")
+    least = of_set.groupBy("component").agg(F.min("min_doc").alias("component_id"))
+    of_digest = of_set.select("digest", "component").join(least, "component").select("digest", "component_id")
+    # A row without words counts as its document's other rows do, if there are some.
+    other = slim.filter("n_shingles = 0 and doc_id is not null").select("doc_id").distinct().join(real_digests(slim), "doc_id")
+    others = written(other, "join-others")
+    rows = slim.join(broadcast_if_small(others, others.count(), p.max_broadcast_ids), "doc_id", "left").withColumn("digest", F.coalesce("digest", "other")).drop("other")
+    return rows.join(of_digest, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id."""
     docs = docs.select("doc_id", "text")
@@ -407,31 +445,11 @@ def near_duplicates(docs: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
     same_document = written(_same_document(real, sets), "join-repeated")
     discard(signed, tokens)
 
-    large = F.col("m") > HOT_COUNT
     firsts = members.groupBy("token", "m", "star_band").agg(F.min(F.struct("n", "id"))["id"].alias("first"))
-    stars = _met(members.select("token", "m", "star_band", "id"), firsts, ["token", "m", "star_band"], large).filter("id <> first").select(F.greatest("id", "first").alias("a"), F.least("id", "first").alias("b")).distinct()
-    stars = written(_possible(stars, bitmaps, p), "join-stars")
-    links = written(_verified(stars, docs, sets, p).unionByName(same_document), "join-links")
-    comps = components(links)
-    # First each document's nearest in a tile, which joins most components; then whatever is left.
-    for nearest in (True, True, False):
-        known = with_smallest(members.select("token", "id", "n", "m"), comps)
-        open_tokens = known.groupBy("token", "m").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("token", "m")
-        left = written(_met(known, open_tokens, ["token", "m"], large, "left_semi"), "join-open")
-        pairs = written(_possible(_tile_pairs(left, bitmaps, p, nearest), bitmaps, p), "join-pairs")
-        more = written(links.unionByName(_verified(pairs, docs, sets, p)), "join-links")
-        discard(left, pairs, links)
-        links, comps = more, components(more)
+    stars = _met(members.select("token", "m", "star_band", "id"), firsts, ["token", "m", "star_band"], F.col("m") > HOT_COUNT).filter("id <> first").select(F.greatest("id", "first").alias("a"), F.least("id", "first").alias("b")).distinct()
+    comps = linked_components(docs, sets, members, bitmaps, stars, same_document, p)
     discard(members, bitmaps)
-
-    of_set = written(with_smallest(sets.select("id", "digest", "min_doc"), comps), "join-components")
-    least = of_set.groupBy("component").agg(F.min("min_doc").alias("component_id"))
-    of_digest = of_set.select("digest", "component").join(least, "component").select("digest", "component_id")
-    # A row without words counts as its document's other rows do, if there are some.
-    other = slim.filter("n_shingles = 0 and doc_id is not null").select("doc_id").distinct().join(real_digests(slim), "doc_id")
-    others = written(other, "join-others")
-    rows = slim.join(broadcast_if_small(others, others.count(), p.max_broadcast_ids), "doc_id", "left").withColumn("digest", F.coalesce("digest", "other")).drop("other")
-    return rows.join(of_digest, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return per_document(slim, sets, comps, p)
 
 
 def real_digests(slim: DataFrame) -> DataFrame:

@@ -47,18 +47,20 @@ WITH docs AS (
 SELECT doc_id, n_lines, n_dropped, sha256(kept_text) AS kept_sha256 FROM docs JOIN kept USING (rid)
 """
 
-#: Shingle sets, links between them, and the smallest id that is reachable.
-NGRAM_JACCARD = rf"""
+
+def _near_duplicates(words: int, percent: int, more: str = "") -> str:
+    """Shingle sets, links between them, and the smallest id that is reachable."""
+    return rf"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {A_Z}), '{WORD}') AS ws FROM documents
 ), each_gram AS (
-  SELECT DISTINCT doc_id, hash(array_to_string(ws[i : i + 4], ' ')) AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM words WHERE len(ws) > 0)
+  SELECT DISTINCT doc_id, hash(array_to_string(ws[i : i + {words - 1}], ' ')) AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - {words - 2}, 2))) AS i FROM words WHERE len(ws) > 0)
 ), sizes AS (
   SELECT doc_id, count(*) AS n FROM each_gram GROUP BY doc_id
 ), common AS (
   SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM each_gram a JOIN each_gram b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
 ), links AS (
-  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= {percent} * (x.n + y.n - c)
 ), both_ways AS (
   SELECT a, b FROM links UNION SELECT b, a FROM links
 ), reach AS (
@@ -68,7 +70,7 @@ WITH RECURSIVE words AS (
 ), comps AS (
   SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
 )
-SELECT w.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, w.doc_id) AS component_id
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, w.doc_id) AS component_id{more}
 FROM words w LEFT JOIN sizes USING (doc_id) LEFT JOIN comps USING (doc_id)
 """
 
@@ -123,4 +125,10 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM docs LEFT JOIN joined USING (rid)
 """
 
-ORACLE = {"op4_secret_scan": SECRETS, "op6_ngram_jaccard": NGRAM_JACCARD, "op7_decontaminate": DECONTAMINATE, "op8_line_dedup": LINE_DEDUP}
+ORACLE = {
+    "op4_secret_scan": SECRETS,
+    "op6_ngram_jaccard": _near_duplicates(5, 75),
+    "op7_decontaminate": DECONTAMINATE,
+    "op8_line_dedup": LINE_DEDUP,
+    "op12_minhash_forest": _near_duplicates(2, 80, ", coalesce(component_id, w.doc_id) = w.doc_id AS kept"),
+}
