@@ -125,10 +125,41 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM docs LEFT JOIN joined USING (rid)
 """
 
+#: Counts of phrases of one to three words within pieces, candidates that no longer one covers, and their lowest cuts.
+COLLOCATIONS = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), {A_Z}), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), words AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces
+), counts AS (
+  SELECT lang, k, g, count(*) AS a
+  FROM (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i : i + k - 1], ' '))) AS g FROM words, (SELECT unnest([1, 2, 3]) AS k))
+  GROUP BY ALL
+), candidates AS (
+  SELECT *, string_split(g, ' ') AS ws FROM counts WHERE k > 1 AND a >= 10
+), cuts AS (
+  SELECT c.lang, c.k, c.g, c.a, c.ws, cut, l.a AS l, r.a AS r, CAST((CAST(1000000 AS HUGEINT) * c.a * c.a) // (CAST(l.a AS HUGEINT) * r.a) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM candidates) c
+  JOIN counts l ON l.lang = c.lang AND l.k = cut AND l.g = array_to_string(c.ws[1 : cut], ' ')
+  JOIN counts r ON r.lang = c.lang AND r.k = c.k - cut AND r.g = array_to_string(c.ws[cut + 1 : c.k], ' ')
+), lowest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, k, g ORDER BY score, cut) = 1
+), covered AS (
+  SELECT lang, g, max(a) AS longer FROM (SELECT lang, a, unnest([ws[1] || ' ' || ws[2], ws[2] || ' ' || ws[3]]) AS g FROM candidates WHERE k = 3) GROUP BY ALL
+), ranked AS (
+  SELECT lang, g AS phrase, a, l, r, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank
+  FROM lowest LEFT JOIN covered USING (lang, g) WHERE k = 3 OR longer IS NULL OR 100 * longer < 50 * a
+), totals AS (
+  SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM counts WHERE k = 1 GROUP BY lang
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
 ORACLE = {
     "op4_secret_scan": SECRETS,
     "op6_ngram_jaccard": _near_duplicates(5, 75),
     "op7_decontaminate": DECONTAMINATE,
     "op8_line_dedup": LINE_DEDUP,
+    "op11_collocations": COLLOCATIONS,
     "op12_minhash_forest": _near_duplicates(2, 80, ", coalesce(component_id, w.doc_id) = w.doc_id AS kept"),
 }

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .collocations import collocations
 from .common import read
 from .decontaminate import contamination
 from .language_id import language_digest
@@ -69,6 +70,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_counts(docs, masked_numbers(docs), CountParams(tokenizer_path()))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read(spark, sf_dir, "documents"))
+
+
 def op12_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest_duplicates(read(spark, sf_dir, "documents"))
 
@@ -84,7 +89,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_quality_classifier, op2_mix_sources, op3_quality_rules, op4_secret_scan, op5_language_id, op6_ngram_jaccard, op7_decontaminate, op8_line_dedup, op9_token_files, op10_token_counts, op12_minhash_forest, op13_resample, pipeline]
+    own = [op1_quality_classifier, op2_mix_sources, op3_quality_rules, op4_secret_scan, op5_language_id, op6_ngram_jaccard, op7_decontaminate, op8_line_dedup, op9_token_files, op10_token_counts, op11_collocations, op12_minhash_forest, op13_resample, pipeline]
     return {f.__name__: f for f in own}
 
 
