@@ -40,8 +40,9 @@ def first_documents(lines: DataFrame) -> DataFrame:
     n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by_document = [F.col("doc").asc_nulls_last(), F.col("pos")]
     ranged = lines.repartitionByRange(n, "h1", "h2", *by_document).withColumn("part", F.spark_partition_id())
-    # Parts fall into buckets by a hash, so there are more buckets than parts.
-    held = bucketed(ranged, "line-parts", 2 * n, "part")
+    # Parts fall into buckets by a hash, so there are more buckets than parts, up to the most that Spark allows; beyond that several whole parts share one.
+    most = int(lines.sparkSession.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    held = bucketed(ranged, "line-parts", min(2 * n, most), "part")
     streamed = held.withColumn("first_here", F.first("doc").over(Window.partitionBy("part", "h1", "h2").orderBy(*by_document)))
     ends = held.groupBy("part").agg(F.min(F.struct("h1", "h2")).alias("low"), F.max(F.struct("h1", "h2")).alias("high"))
     crossing = ends.select(F.explode(F.array_distinct(F.array("low", "high"))).alias("key")).groupBy("key").count().filter("count > 1").select("key.h1", "key.h2")

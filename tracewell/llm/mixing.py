@@ -43,8 +43,8 @@ def _mix(x: Column) -> Column:
     return (y * y + x) % PRIME
 
 
-def _source_key() -> Column:
-    return F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-"))
+def _source_key(source: str = "source") -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("-"))
 
 
 def sized_documents(docs: DataFrame) -> DataFrame:
@@ -204,12 +204,12 @@ def mixed_documents(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
         .groupBy("key", "start", "doc_id", "size", "text_hash", "pass").agg(F.sort_array(F.collect_list(run)).alias("runs"))
         .groupBy("key", "start", "doc_id", "size", "text_hash").agg(F.sort_array(F.collect_list(F.struct("pass", "runs"))).alias("passes"))
     )
-    # Rows alike in id and text are numbered on both sides and meet one to one.
-    takes = takes.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy("key", "start")))
+    # Rows alike in id, text and source are numbered on both sides and meet one to one.
+    takes = takes.withColumn("copy", F.row_number().over(Window.partitionBy("key", "doc_id", "text_hash").orderBy("start")))
     kept = [c for c in docs.columns]
-    rows = docs.select(F.struct(*kept).alias("row"), F.xxhash64("text").alias("hash"))
-    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy(F.col("row.doc_id"), "hash").orderBy(F.col("row.source").asc_nulls_last())))
-    joined = rows.join(takes, F.col("row.doc_id").eqNullSafe(takes["doc_id"]) & (rows["hash"] == takes["text_hash"]) & (rows["copy"] == takes["copy"]))
+    rows = docs.select(F.struct(*kept).alias("row"), F.xxhash64("text").alias("hash")).withColumn("source_key", _source_key("row.source"))
+    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("source_key", F.col("row.doc_id"), "hash").orderBy(F.lit(1))))
+    joined = rows.join(takes, (F.col("source_key") == F.col("key")) & F.col("row.doc_id").eqNullSafe(takes["doc_id"]) & (rows["hash"] == takes["text_hash"]) & (rows["copy"] == takes["copy"]))
     each = joined.select("row", "size", F.explode("passes").alias("turn")).select("row", "size", F.col("turn.runs").alias("runs"))
     whole = F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r["n"]) == F.col("size")
     # Used twice, so that Spark computes the array once a row and not once for each run.

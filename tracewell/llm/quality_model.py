@@ -27,8 +27,6 @@ from pyspark.sql import functions as F
 
 from .common import Recent, held_out
 
-SCORE_SCHEMA = "doc_id bigint, score double"
-
 
 @dataclass(frozen=True)
 class ModelParams:
@@ -102,7 +100,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], p: ModelParams) -> tup
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, p: ModelParams) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """Features of at most max_train_docs labelled documents outside the held-out fold, in the order of a hash of the id. Executors make the features; the driver gets the sample only."""
+    """Features of at most max_train_docs labelled documents outside the held-out fold, in the order of a hash of the id. Executors make the features; the driver gets the sample only, whatever ids repeat: at most 8 bytes a bucket and document, 2 GB if each of 4,000 texts filled all 65,536 buckets, and some 40 MB of texts of a thousand words."""
     chosen = labels.filter("quality is not null and doc_id is not null").filter(~held_out(F.col("doc_id"))).select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "quality").limit(p.max_train_docs)
     # The sample's size is bounded by max_train_docs, so it may be broadcast.
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
@@ -112,7 +110,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, p: ModelParams) -> list[tu
             got = [bag(t, p) for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "ids": [g[0].astype("<i4").tobytes() for g in got], "counts": [g[1].astype("<f4").tobytes() for g in got], "quality": (b["quality"] > 0).astype("int32")})
 
-    rows = sample.mapInPandas(bags, "doc_id bigint, ids binary, counts binary, quality int").collect()
+    made = sample.mapInPandas(bags, "doc_id bigint, ids binary, counts binary, quality int")
+    # A label row meets every document of its id, so the bound holds only after the join.
+    rows = made.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", F.xxhash64("ids")).limit(p.max_train_docs).collect()
     rows.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r["doc_id"])), bytes(r["ids"]), r["quality"]))
     return [(np.frombuffer(r["ids"], "<i4").astype(np.int64), np.frombuffer(r["counts"], "<f4"), r["quality"]) for r in rows]
 
