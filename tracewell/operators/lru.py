@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..plans.storage import stored
 from ..sources.tables import with_vtime
 from .distance import stack_distances
-from .prep import oracle_annotate
+from .prep import oracle_annotate, with_neighbours
 
 
 def dense(rows: DataFrame, *order: str) -> DataFrame:
@@ -44,6 +44,20 @@ def admitted_distances(trace: DataFrame, condition: str) -> DataFrame:
     return sized.join(found, "vtime", "left")
 
 
+def second_sightings(trace: DataFrame) -> DataFrame:
+    """As distances_with_sizes where an object comes into the cache from its second request on: the first one leaves the cache as it was."""
+    sized = stored(oracle_annotate(trace).select("vtime", "obj_id", "obj_size"), "sized")
+    again = stored(dense(with_neighbours(sized.select("vtime", "obj_id")).filter("prev is not null").select("vtime", "obj_id"), "own_vtime"), "seen-again")
+    found = stack_distances(again.select("vtime", "obj_id")).join(again.select("vtime", "own_vtime"), "vtime").select(F.col("own_vtime").alias("vtime"), "stack_dist")
+    return sized.join(found, "vtime", "left")
+
+
+def after_warmup(rows: DataFrame, n_req: int = 0, seconds: int = 0) -> DataFrame:
+    """The rows (with vtime, and t if seconds count) that statistics take: those after the first n_req requests and the first seconds. The others have changed the cache by then, as distances go back to them."""
+    late = F.col("vtime") > n_req
+    return rows.filter(late & (F.col("t") >= seconds) if seconds else late)
+
+
 def interval_report(distances: DataFrame, size: int, interval: int) -> DataFrame:
     """Miss ratios of one cache per interval of requests, and since the start."""
     per = distances.groupBy(F.floor((F.col("vtime") - 1) / interval).alias("interval")).agg(F.count("*").alias("n_req"), F.count(F.when(missed(size), 1)).alias("n_miss"))

@@ -29,7 +29,7 @@ a AS (
 
 def sql(body: str, trace: str = "events") -> str:
     base = {"events": _EVENTS, "skew": _SKEW, "orders": _ORDERS}[trace]
-    return f"WITH {base}{_ANNOTATED}{body}"
+    return f"WITH RECURSIVE {base}{_ANNOTATED}{body}"
 
 
 _OBJ = ", o AS (SELECT obj_id, count(*) AS freq, arg_min(obj_size, vtime) AS first_size, min(t) AS create_t, max(t) AS last_t, sum(obj_size) AS bytes FROM a GROUP BY 1)"
@@ -58,6 +58,23 @@ def lru_sql(policy: str, sizes: list[int], trace: str) -> str:
     return sql(f"{_STACK}, g AS (SELECT * FROM (VALUES {grid}) v(cache_size)), r AS (SELECT cache_size, d >= 0 AND d < cache_size AS hit, fs FROM sd JOIN a USING (vtime), g) SELECT '{policy}' AS policy, CAST(cache_size AS BIGINT) AS cache_size, {_COUNTS} FROM r GROUP BY 2", trace)
 
 
+def byte_sql(overhead: int) -> str:
+    """An LRU cache of c bytes holds what fits in with all objects since that fit in alone."""
+    return sql(f"""{_OBJ}, g AS (SELECT greatest(1, CAST(floor(f * (SELECT sum(first_size) FROM o)) AS BIGINT)) AS c FROM (SELECT unnest([0.01::DOUBLE, 0.05::DOUBLE, 0.1::DOUBLE, 0.2::DOUBLE, 0.4::DOUBLE, 0.8::DOUBLE]) AS f) UNION ALL SELECT 40),
+r0 AS (SELECT *, fs + {overhead} AS w FROM a),
+r AS (SELECT c, i.fs, i.pv IS NOT NULL AND i.w <= c AND i.w + (SELECT coalesce(sum(j.w), 0) FROM r0 j WHERE j.w <= c AND j.vtime > i.pv AND j.vtime < i.vtime AND coalesce(j.pv, 0) <= i.pv) <= c AS hit FROM r0 i, g)
+SELECT CAST(c AS BIGINT) AS cache_size, count(*) AS n_req, count(*) FILTER (NOT hit) AS n_miss, round(count(*) FILTER (NOT hit) / count(*), 6) AS miss_ratio, round(coalesce(sum(fs) FILTER (NOT hit), 0) / sum(fs), 6) AS byte_miss_ratio FROM r GROUP BY 1""", "skew")
+
+
+#: Residencies: runs of hits after a miss; each ends at the request that brings the objects since its last access over the cache's size.
+_HELD = """, r0 AS (SELECT *, {room} AS w FROM a WHERE {room} <= {size}),
+m0 AS (SELECT i.*, i.pv IS NULL OR i.w + (SELECT coalesce(sum(j.w), 0) FROM r0 j WHERE j.vtime > i.pv AND j.vtime < i.vtime AND coalesce(j.pv, 0) <= i.pv) > {size} AS miss FROM r0 i),
+m1 AS (SELECT *, count(*) FILTER (miss) OVER (PARTITION BY obj_id ORDER BY vtime) AS life FROM m0),
+h0 AS (SELECT obj_id, life, min(vtime) AS from_vtime, max(vtime) AS last_vtime, count(*) AS n_access, any_value(w) AS room FROM m1 GROUP BY 1, 2),
+h1 AS (SELECT h.obj_id, h.life, j.vtime, h.room + sum(j.w) OVER (PARTITION BY h.obj_id, h.life ORDER BY j.vtime) AS s FROM h0 h JOIN r0 j ON j.vtime > h.last_vtime AND coalesce(j.pv, 0) <= h.last_vtime AND j.obj_id <> h.obj_id),
+held AS (SELECT h0.*, evicted_at FROM h0 LEFT JOIN (SELECT obj_id, life, min(vtime) AS evicted_at FROM h1 WHERE s > {size} GROUP BY 1, 2) e USING (obj_id, life))"""
+_HELD_100 = _HELD.format(room="1", size=100)
+
 ORACLE: dict[str, str] = {
     "annotate": sql(" SELECT vtime, obj_id, t, cold AS compulsory_miss, dv AS vtime_since_last, dt AS rtime_since_last, create_rtime, coalesce(ps, -1) AS prev_size, overwrite, seen_w AS first_seen_in_window FROM a"),
     "oracle_annotate": sql(" SELECT vtime, clock_time, obj_id, fs AS obj_size, coalesce(nv, -1) AS next_access_vtime FROM a"),
@@ -113,6 +130,15 @@ ORACLE: dict[str, str] = {
     "seek_half": sql(" SELECT vtime, obj_id FROM t0 WHERE vtime > (SELECT max(vtime) // 2 FROM t0)"),
     "sim_lru": lru_sql("lru", [10, 50, 100], "events"),
     "adm_size": sql(f", r0 AS (SELECT vtime, obj_id, fs, row_number() OVER (ORDER BY vtime) AS v FROM a WHERE fs < 100), r1 AS (SELECT *, lag(v) OVER (PARTITION BY obj_id ORDER BY v) AS p FROM r0), sd AS (SELECT i.vtime, CASE WHEN i.p IS NULL THEN -1 ELSE (SELECT count(*) FROM r1 j WHERE j.v > i.p AND j.v < i.v AND coalesce(j.p, 0) <= i.p) END AS d FROM r1 i), g AS (SELECT * FROM (VALUES (10), (50), (100)) v(cache_size)), r AS (SELECT cache_size, coalesce(d >= 0 AND d < cache_size, false) AS hit, fs FROM a LEFT JOIN sd USING (vtime), g) SELECT 'lru' AS policy, CAST(cache_size AS BIGINT) AS cache_size, {_COUNTS} FROM r GROUP BY 2", "skew"),
+    "adm_second": sql(f", r0 AS (SELECT vtime, obj_id, row_number() OVER (ORDER BY vtime) AS v FROM a WHERE pv IS NOT NULL), r1 AS (SELECT *, lag(v) OVER (PARTITION BY obj_id ORDER BY v) AS p FROM r0), sd AS (SELECT i.vtime, CASE WHEN i.p IS NULL THEN -1 ELSE (SELECT count(*) FROM r1 j WHERE j.v > i.p AND j.v < i.v AND coalesce(j.p, 0) <= i.p) END AS d FROM r1 i), g AS (SELECT * FROM (VALUES (10), (50), (100)) v(cache_size)), r AS (SELECT cache_size, coalesce(d >= 0 AND d < cache_size, false) AS hit, fs FROM a LEFT JOIN sd USING (vtime), g) SELECT 'lru' AS policy, CAST(cache_size AS BIGINT) AS cache_size, {_COUNTS} FROM r GROUP BY 2", "skew"),
+    "lru_warmup": sql(f"{_STACK}, g AS (SELECT * FROM (VALUES (10), (50), (100)) v(cache_size)), r AS (SELECT cache_size, d >= 0 AND d < cache_size AS hit, fs FROM sd JOIN a USING (vtime), g WHERE vtime > (SELECT max(vtime) // 5 FROM a) AND t >= 172800) SELECT 'lru' AS policy, CAST(cache_size AS BIGINT) AS cache_size, {_COUNTS} FROM r GROUP BY 2", "skew"),
+    "lru_mrc_bytes": byte_sql(0),
+    "lru_mrc_bytes_overhead": byte_sql(16),
+    "lru_residencies": sql(_HELD_100 + " SELECT obj_id, from_vtime, last_vtime, evicted_at, n_access FROM held", "skew"),
+    "lru_residencies_bytes": sql(_HELD.format(room="(fs + 16)", size=5000) + " SELECT obj_id, from_vtime, last_vtime, evicted_at, n_access, room FROM held", "skew"),
+    "eviction_statistics": sql(_HELD_100 + ", k AS (SELECT unnest([{'kind': 'age', 'bucket': CAST(ceil(ln(evicted_at - from_vtime) / ln(1.08)) AS BIGINT)}, {'kind': 'idle', 'bucket': CAST(ceil(ln(evicted_at - last_vtime) / ln(1.08)) AS BIGINT)}, {'kind': 'freq', 'bucket': n_access}]) AS k FROM held WHERE evicted_at IS NOT NULL) SELECT k.kind AS kind, k.bucket AS bucket, count(*) AS cnt FROM k GROUP BY 1, 2", "skew"),
+    "cache_shares": sql(_HELD_100 + ", e AS (SELECT unnest(range(0, (SELECT (max(vtime) - 1) // 1000 + 1 FROM a))) AS interval), s AS (SELECT DISTINCT ns AS source FROM held JOIN t0 ON t0.vtime = from_vtime), x AS (SELECT interval, source, (SELECT CAST(coalesce(sum(room), 0) AS BIGINT) FROM held JOIN t0 ON t0.vtime = from_vtime WHERE ns = source AND from_vtime <= 1000 * (interval + 1) AND (evicted_at IS NULL OR evicted_at > 1000 * (interval + 1))) AS cached, (SELECT CAST(coalesce(sum(room), 0) AS BIGINT) FROM held JOIN t0 ON t0.vtime = from_vtime WHERE ns = source AND from_vtime <= 1000 * (interval + 1) AND last_vtime > 1000 * (interval + 1)) AS useful FROM e, s) SELECT interval, source, cached, useful, round(cached / nullif(sum(cached) OVER (PARTITION BY interval), 0), 6) AS share FROM x", "skew"),
+    "lru_ttl": sql(_STACK + ", g AS (SELECT * FROM (VALUES (10), (50), (100)) v(c)), lv AS (SELECT c, vtime, obj_id, sum(CASE WHEN d < 0 OR d >= c THEN 1 ELSE 0 END) OVER (PARTITION BY c, obj_id ORDER BY vtime) AS life, d < 0 OR d >= c AS cold FROM sd, g), p AS (SELECT k.vtime, min(m.vtime) AS nx FROM a k JOIN a m ON m.obj_id = k.obj_id AND m.vtime > k.vtime AND m.t > k.t + 60 * k.ttl WHERE k.ttl > 0 GROUP BY 1), j AS (SELECT x.c, x.vtime, y.vtime AS nx FROM p JOIN lv x ON x.vtime = p.vtime JOIN lv y ON y.vtime = p.nx AND y.c = x.c AND y.life = x.life), reach AS (SELECT c, vtime FROM lv WHERE cold UNION SELECT j.c, j.nx FROM reach r JOIN j ON j.c = r.c AND j.vtime = r.vtime) SELECT CAST(c AS BIGINT) AS cache_size, n_req, n_miss, n_miss - n_cold AS n_expired, round(n_miss / n_req, 6) AS miss_ratio FROM (SELECT c, count(*) AS n_req, count(*) FILTER (cold) AS n_cold FROM lv GROUP BY 1) JOIN (SELECT c, count(*) AS n_miss FROM reach GROUP BY 1) USING (c)", "skew"),
     "interval_report": sql(_STACK + ", p AS (SELECT (vtime - 1) // 1000 AS interval, count(*) AS n, count(*) FILTER (d < 0 OR d >= 100) AS m FROM sd GROUP BY 1) SELECT interval, round(m / n, 6) AS miss_ratio, round(sum(m) OVER (ORDER BY interval) / sum(n) OVER (ORDER BY interval), 6) AS miss_ratio_so_far FROM p", "skew"),
     "miss_trace": sql(_STACK + " SELECT vtime, obj_id FROM sd WHERE d < 0 OR d >= 100", "skew"),
     "topo_hierarchy": sql(""", s1 AS (SELECT i.vtime, i.obj_id, i.pv, CASE WHEN i.pv IS NULL THEN -1 ELSE (SELECT count(*) FROM a j WHERE j.obj_id % 4 = i.obj_id % 4 AND j.vtime > i.pv AND j.vtime < i.vtime AND coalesce(j.pv, 0) <= i.pv) END AS d FROM a i),

@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 
 from .operators import analytics as an
 from .operators import distance as di
-from .operators import lru, prep, topology
+from .operators import lru, prep, residency, topology, weighted
 from .plans.oracle import ORACLE
 from .plans.storage import shared_dir, stored
+from .schema import parse_sizes
 from .sources import formats
 from .sources.tables import skewed_trace, trace_from_events, trace_from_orders, with_vtime
 
 TRACES = {"events": trace_from_events, "skew": skewed_trace, "orders": trace_from_orders}
 SIZES = [10, 50, 100]
+BYTES = 5000
 
 
 def _on(trace: str, f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -43,6 +45,31 @@ def _written_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formats.as_requests(back, skip=100, limit=9000).select("vtime", "clock_time", "obj_id", "obj_size", "next_access_vtime")
 
 
+def _byte_sizes(t: DataFrame) -> list[int]:
+    """Caches of some parts of the working set, and one that is smaller than some objects."""
+    return parse_sizes("0.01,0.05,0.1,0.2,0.4,0.8,40", prep.working_set(t).first()["wss_byte"] or 0)
+
+
+def _byte_misses(t: DataFrame, overhead: int) -> DataFrame:
+    sizes = _byte_sizes(t)
+    return weighted.byte_misses(weighted.byte_distances(t, sizes, overhead), sizes)
+
+
+def _byte_residencies(t: DataFrame) -> DataFrame:
+    return residency.residencies(residency.cached_byte_rows(t, BYTES, 16), BYTES)
+
+
+def _shares(t: DataFrame) -> DataFrame:
+    held = residency.residencies(residency.cached_rows(t, 100), 100)
+    return residency.cache_shares(held, t.select("vtime", F.col("ns").alias("source")), t.agg(F.max("vtime")).first()[0] or 0, 1000)
+
+
+def _warm(t: DataFrame) -> DataFrame:
+    """The first fifth of the requests, and the first two days, warm the caches up."""
+    rows = lru.distances_with_sizes(t).join(prep.timed(t).select("vtime", "t"), "vtime")
+    return lru.lru_misses(lru.after_warmup(rows, (t.agg(F.max("vtime")).first()[0] or 0) // 5, 172800), SIZES)
+
+
 def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events in a folder for each tenant, read back."""
     folder = shared_dir(spark, "tenants")
@@ -107,6 +134,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "seek_half": _on("events", lambda t: t.filter(F.col("vtime") > prep.scalar(t, F.floor(F.max("vtime") / 2))).select("vtime", "obj_id")),
         "sim_lru": _on("events", lambda t: lru.lru_misses(lru.distances_with_sizes(t), SIZES)),
         "adm_size": _on("skew", lambda t: lru.lru_misses(lru.admitted_distances(t, "obj_size < 100"), SIZES)),
+        "adm_second": _on("skew", lambda t: lru.lru_misses(lru.second_sightings(t), SIZES)),
+        "lru_warmup": _on("skew", _warm),
+        "lru_mrc_bytes": _on("skew", lambda t: _byte_misses(t, 0)),
+        "lru_mrc_bytes_overhead": _on("skew", lambda t: _byte_misses(t, 16)),
+        "lru_residencies": _on("skew", lambda t: residency.residencies(residency.cached_rows(t, 100), 100).drop("room")),
+        "lru_residencies_bytes": _on("skew", _byte_residencies),
+        "eviction_statistics": _on("skew", lambda t: residency.eviction_statistics(residency.residencies(residency.cached_rows(t, 100), 100))),
+        "cache_shares": _on("skew", _shares),
+        "lru_ttl": _on("skew", lambda t: residency.expiring_misses(t.withColumn("ttl", F.col("ttl") * 60), SIZES)),
         "interval_report": _on("skew", lambda t: lru.interval_report(di.stack_distances(t), 100, 1000)),
         "miss_trace": _on("skew", lambda t: lru.miss_trace(t, 100)),
         "topo_hierarchy": _on("skew", lambda t: topology.hierarchy(t, 16, 4)),
