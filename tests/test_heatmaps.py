@@ -82,3 +82,9 @@ def test_trimmed(spark):
     assert tuple(an.trimmed(rows, "n", "win", 1, 1).first()) == (5, 3, 3.0, 2.160247, 6.0)
     assert tuple(an.trimmed(rows, "n", "win", 3, 3).first()) == (5, 0, 0.0, 0.0, 6.0)
     assert tuple(an.trimmed(rows.filter("false"), "n", "win", 1, 1).first()) == (0, 0, 0.0, 0.0, 0.0)
+
+
+def test_median_of_even_numbers(spark):
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate([9, 1, 4, 4, 20, 3])], "win bigint, n bigint")
+    assert an.trimmed(rows, "n", "win", 0, 0).first()["median"] == 4.0
+    assert an.trimmed(rows.filter("win in (1, 2)"), "n", "win", 0, 0).first()["median"] == 2.5

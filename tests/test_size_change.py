@@ -22,3 +22,10 @@ def test_bins(spark):
 def test_registered_with_the_overwrites_of_size_change(spark, sf_dir):
     fine = registry.queries()["size_change_fine"](spark, sf_dir).agg({"cnt": "sum"}).first()[0]
     assert fine == registry.queries()["size_change"](spark, sf_dir).filter("kind = 'relative'").agg({"cnt": "sum"}).first()[0]
+
+
+def test_growth_from_nothing(spark):
+    """An old size of 0 has no ratio: growth counts as beyond the last tenth, no change as none."""
+    df = spark.createDataFrame([(True, 0, 5), (True, 0, 0), (True, 10, 15)], "overwrite boolean, prev_size bigint, obj_size bigint")
+    got = {r["bucket"]: r["cnt"] for r in analytics.size_change(df).filter("kind = 'relative'").collect()}
+    assert got == {20: 1, 0: 1, 5: 1}

@@ -85,7 +85,11 @@ def trimmed(rows: DataFrame, value: str, order: str, first: int, last: int) -> D
     numbered = with_vtime(rows.select(F.col(order).alias("own"), F.col(value).alias("value")), "own")
     inside = numbered.withColumn("x", F.when((F.col("vtime") > first) & (F.col("vtime") <= scalar(numbered, F.count("*")) - last), F.col("value")))
     zero = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
-    return inside.agg(F.count("*").alias("n_rows"), F.count("x").alias("n_kept"), zero(F.avg("x")).alias("mean"), zero(F.stddev_pop("x")).alias("std"), zero(F.median("value")).alias("median"))
+    # The median is the mean of the one or two rows in the middle, from an order by value that no task sees whole.
+    by_value = with_vtime(rows.select(F.col(value).alias("value")).filter("value is not null"), "value")
+    twice = scalar(by_value, F.count("*")) + 1
+    middle = by_value.filter((F.col("vtime") >= F.floor(twice / 2)) & (F.col("vtime") <= F.ceil(twice / 2)))
+    return inside.agg(F.count("*").alias("n_rows"), F.count("x").alias("n_kept"), zero(F.avg("x")).alias("mean"), zero(F.stddev_pop("x")).alias("std")).withColumn("median", zero(scalar(middle, F.avg("value"))))
 
 
 def size_dist(a: DataFrame) -> DataFrame:
@@ -192,7 +196,9 @@ def create_future_reuse(a: DataFrame, warmup: int = DAY) -> DataFrame:
 def size_change(a: DataFrame) -> DataFrame:
     """Overwrites by change of size: relative to the old size in tenths (between -1 and 2), and absolute in powers of two, signed."""
     o = a.filter("overwrite").withColumn("d", F.col("obj_size") - F.col("prev_size"))
-    rel = F.greatest(F.lit(-10), F.least(F.lit(20), F.floor(10 * F.col("d") / F.col("prev_size")))).cast("long")
+    # From size 0, any growth is beyond the last tenth.
+    tenths = F.coalesce(F.try_divide(10 * F.col("d"), F.col("prev_size")), F.when(F.col("d") > 0, 20.0).otherwise(0.0))
+    rel = F.greatest(F.lit(-10), F.least(F.lit(20), F.floor(tenths))).cast("long")
     ab = (F.signum("d") * F.when(F.col("d") == 0, 0).otherwise(1 + F.floor(F.log(F.abs("d").cast("double")) / F.log(F.lit(2.0)) + 1e-9))).cast("long")
     kinds = F.array(F.struct(F.lit("relative").alias("kind"), rel.alias("bucket")), F.struct(F.lit("absolute").alias("kind"), ab.alias("bucket")))
     return o.select(F.explode(kinds).alias("k")).groupBy("k.kind", "k.bucket").agg(_n())

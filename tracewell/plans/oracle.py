@@ -120,8 +120,8 @@ ORACLE: dict[str, str] = {
     "lru_mrc": sql(_STACK + _MRC + " SELECT * FROM curve"),
     "lru_mrc_orders": sql(_STACK + _MRC + " SELECT * FROM curve", "orders"),
     "heatmap_stack_dist": sql(_STACK + " SELECT (vtime - 1) // 1000 AS interval, " + _LOG.format("d + 1") + " AS bucket, count(*) AS cnt FROM sd WHERE d >= 0 GROUP BY 1, 2", "skew"),
-    "heatmap_hit_ratio_window": sql(_STACK + ", r AS (SELECT (vtime - 1) // 1000 AS iv, (pv - 1) // 1000 AS ip, d FROM sd), k AS (SELECT DISTINCT iv FROM r) SELECT s.iv AS start_interval, e.iv AS end_interval, round(count(*) FILTER (d >= 0 AND d < 100 AND ip >= s.iv) / count(*), 6) AS hit_ratio FROM k s JOIN k e ON e.iv >= s.iv JOIN r ON r.iv BETWEEN s.iv AND e.iv GROUP BY 1, 2", "skew"),
-    "heatmap_hit_ratio_size": sql(_STACK + " SELECT c AS cache_size, (vtime - 1) // 1000 AS interval, round(count(*) FILTER (d >= 0 AND d < c) / count(*), 6) AS hit_ratio FROM sd, range(0, 201, 20) z(c) GROUP BY 1, 2", "skew"),
+    "heatmap_hit_ratio_window": sql(_STACK + ", r AS (SELECT (vtime - 1) // ((SELECT max(vtime) + 9 FROM a) // 10) AS iv, (pv - 1) // ((SELECT max(vtime) + 9 FROM a) // 10) AS ip, d FROM sd), k AS (SELECT DISTINCT iv FROM r) SELECT s.iv AS start_interval, e.iv AS end_interval, round(count(*) FILTER (d >= 0 AND d < 100 AND ip >= s.iv) / count(*), 6) AS hit_ratio FROM k s JOIN k e ON e.iv >= s.iv JOIN r ON r.iv BETWEEN s.iv AND e.iv GROUP BY 1, 2", "skew"),
+    "heatmap_hit_ratio_size": sql(_STACK + " SELECT c AS cache_size, (vtime - 1) // ((SELECT max(vtime) + 9 FROM a) // 10) AS interval, round(count(*) FILTER (d >= 0 AND d < c) / count(*), 6) AS hit_ratio FROM sd, range(0, 201, 20) z(c) GROUP BY 1, 2", "skew"),
     "heatmap_reuse_time": sql(" SELECT (vtime - 1) // 1000 AS interval, " + _LOG.format("dt + 1") + " AS bucket, count(*) AS cnt FROM a WHERE dt >= 0 GROUP BY 1, 2"),
     "wss": sql(_OBJ + " SELECT count(*) AS wss_obj, CAST(sum(first_size) AS BIGINT) AS wss_byte FROM o"),
     "sample_spatial": sql(" SELECT vtime, obj_id FROM t0 WHERE obj_id % 10 = 0"),
@@ -150,7 +150,8 @@ ob AS (SELECT DISTINCT obj_id, CAST('0x' || substr(md5(CAST(obj_id AS VARCHAR)),
 wh AS (SELECT ob.obj_id, coalesce(pts.server, (SELECT arg_min(server, place) FROM pts)) AS server FROM ob ASOF LEFT JOIN pts ON ob.place <= pts.place)
 SELECT server, count(*) AS n_req, CAST(sum(obj_size) AS BIGINT) AS bytes, count(DISTINCT obj_id) AS n_obj FROM t0 JOIN wh USING (obj_id) GROUP BY 1""", "skew"),
     "merge_traces": sql(" SELECT row_number() OVER (ORDER BY clock_time, CASE WHEN ns < 4 THEN 0 ELSE 1 END, vtime) AS vtime, CASE WHEN ns < 4 THEN 0 ELSE 1 END AS trace_no, vtime AS own_vtime, obj_id FROM t0"),
-    "trace_round_trip": sql(" SELECT vtime - 100 AS vtime, clock_time, obj_id, fs AS obj_size, coalesce(nv, -1) AS next_access_vtime FROM a WHERE vtime > 100 AND vtime <= 9100"),
+    "trace_round_trip": sql(" SELECT vtime, clock_time, obj_id, fs AS obj_size, coalesce(nv, -1) AS next_access_vtime FROM a"),
+    "trace_skip_limit": sql(" SELECT vtime - 100 AS vtime, clock_time, obj_id, CAST(1 AS BIGINT) AS obj_size, coalesce(nv, -1) AS next_access_vtime FROM a WHERE vtime > 100 AND vtime <= 9100"),
     "trace_print": sql(" SELECT vtime, concat_ws(',', clock_time, obj_id, fs, coalesce(nv, -1)) AS line FROM a"),
     "split_tenants": sql(" SELECT ns, vtime, obj_id FROM t0"),
 }

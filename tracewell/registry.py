@@ -38,11 +38,16 @@ def _servers(t: DataFrame) -> DataFrame:
     return t.select(F.col("ns").alias("server")).distinct()
 
 
-def _written_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a packed file with next accesses, read back; requests 101 to 9,100 of it, sizes ignored and kept."""
+def _written_and_read(spark: SparkSession, sf_dir: str, **options: int | bool) -> DataFrame:
+    """The events as a packed file with next accesses, read back with options of as_requests."""
     parts = stored(formats.write_binary(prep.oracle_annotate(trace_from_events(spark, sf_dir)), shared_dir(spark, "packed")), "parts")
     back = formats.read_parts(spark, parts, "oracleGeneral")
-    return formats.as_requests(back, skip=100, limit=9000).select("vtime", "clock_time", "obj_id", "obj_size", "next_access_vtime")
+    return formats.as_requests(back, **options).select("vtime", "clock_time", "obj_id", "obj_size", "next_access_vtime")
+
+
+def _interval(t: DataFrame, pixels: int) -> int:
+    """Requests in an interval of a picture that is so many intervals wide, whatever the trace."""
+    return max(1, -(-(t.agg(F.max("vtime")).first()[0] or 0) // pixels))
 
 
 def _byte_sizes(t: DataFrame) -> list[int]:
@@ -124,8 +129,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "lru_mrc": _on("events", di.lru_curve),
         "lru_mrc_orders": _on("orders", di.lru_curve),
         "heatmap_stack_dist": _on("skew", lambda t: an.interval_heatmap(di.stack_distances(t), "stack_dist", 1000)),
-        "heatmap_hit_ratio_window": _on("skew", lambda t: an.heatmap_hit_ratio_window(di.stack_distances(t), 100, 1000)),
-        "heatmap_hit_ratio_size": _on("skew", lambda t: an.heatmap_hit_ratio_size(di.stack_distances(t), 200, 20, 1000)),
+        "heatmap_hit_ratio_window": _on("skew", lambda t: an.heatmap_hit_ratio_window(di.stack_distances(t), 100, _interval(t, 10))),
+        "heatmap_hit_ratio_size": _on("skew", lambda t: an.heatmap_hit_ratio_size(di.stack_distances(t), 200, 20, _interval(t, 10))),
         "heatmap_reuse_time": _annotated("events", lambda a: an.interval_heatmap(a, "rtime_since_last", 1000)),
         "wss": _on("events", prep.working_set),
         "sample_spatial": _on("events", lambda t: prep.sample_spatial(t, 10, hashed=False).select("vtime", "obj_id")),
@@ -148,6 +153,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "topo_hierarchy": _on("skew", lambda t: topology.hierarchy(t, 16, 4)),
         "merge_traces": _on("events", lambda t: with_vtime(topology.merged(t.filter("ns < 4"), t.filter("ns >= 4")), "clock_time", "trace_no", "own_vtime").select("vtime", "trace_no", "own_vtime", "obj_id")),
         "trace_round_trip": _written_and_read,
+        "trace_skip_limit": lambda spark, sf_dir: _written_and_read(spark, sf_dir, skip=100, limit=9000, ignore_obj_size=True),
         "trace_print": _on("events", lambda t: formats.printed(prep.oracle_annotate(t))),
         "split_tenants": _split,
         "topo_cluster": _on("skew", lambda t: topology.server_load(t, _servers(t))),

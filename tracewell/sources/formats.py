@@ -7,6 +7,7 @@ each task reads its own range, so one large file is read by many tasks.
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -265,7 +266,7 @@ def read_ids(spark: SparkSession, path: str, numeric: bool = True) -> DataFrame:
 
 
 def write_binary(trace: DataFrame, folder: str, layout: str = "oracleGeneral") -> DataFrame:
-    """Writes a trace, in order of vtime, as numbered parts of packed records whose concatenation is the file; returns a table of them."""
+    """Writes a trace, in order of vtime, as numbered parts of packed records whose concatenation is the file; returns a table of them. Each attempt of a task writes a file of its own name, and moves it to the part's when it is whole."""
     fields, kind = LAYOUTS[layout], _dtype(LAYOUTS[layout])
     n = int(trace.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cols = [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) if c in trace.columns else F.lit(0).cast("long").alias(c) for c, _ in fields]
@@ -277,14 +278,15 @@ def write_binary(trace: DataFrame, folder: str, layout: str = "oracleGeneral") -
         part, rows = TaskContext.get().partitionId(), 0
         fs, at = _fs(f"{folder}/part-{part:06d}.bin")
         fs.create_dir(at.rpartition("/")[0], recursive=True)
-        with fs.open_output_stream(at + ".tmp") as out:
+        own = f"{at}.{uuid.uuid4().hex[:12]}.tmp"
+        with fs.open_output_stream(own) as out:
             for b in batches:
                 block = np.zeros(b.num_rows, kind)
                 for c, _ in fields:
                     block[c] = b.column(c).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
                 out.write(block.tobytes())
                 rows += b.num_rows
-        fs.move(at + ".tmp", at)
+        fs.move(own, at)
         yield pa.RecordBatch.from_pydict({"part": [part], "path": [f"{folder}/part-{part:06d}.bin"], "n_req": [rows]})
 
     return ordered.mapInArrow(save, "part bigint, path string, n_req bigint")
