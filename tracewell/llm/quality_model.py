@@ -75,13 +75,14 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], p: ModelParams) -> tup
     vectors = rng.normal(0, 0.1, (p.buckets, p.dim)).astype(np.float32)
     out, bias = np.zeros((p.dim, 2), np.float32), np.zeros(2, np.float32)
     weight = (len(y) / (2 * np.array([(y == 0).sum(), (y == 1).sum()]))).astype(np.float32)
-    shares = [(r[1] / max(1.0, r[1].sum())).astype(np.float32) for r in rows]
     total, step = p.epochs * len(rows), 0
     for _ in range(p.epochs):
         for i in rng.permutation(len(rows)):
-            ids, share, label = rows[i][0], shares[i], int(y[i])
+            ids, counts, label = rows[i][0], rows[i][1], int(y[i])
             if not len(ids):
                 continue
+            # Made anew each time: kept, the shares would take as much room on the driver as the sample.
+            share = (counts / max(1.0, counts.sum())).astype(np.float32)
             part = vectors[ids]
             hidden = share @ part
             logits = hidden @ out + bias
@@ -114,7 +115,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, p: ModelParams) -> list[tu
     # A label row meets every document of its id, so the bound holds only after the join.
     rows = made.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", F.xxhash64("ids")).limit(p.max_train_docs).collect()
     rows.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r["doc_id"])), bytes(r["ids"]), r["quality"]))
-    return [(np.frombuffer(r["ids"], "<i4").astype(np.int64), np.frombuffer(r["counts"], "<f4"), r["quality"]) for r in rows]
+    # Views of what was collected, without a copy.
+    return [(np.frombuffer(r["ids"], "<i4"), np.frombuffer(r["counts"], "<f4"), r["quality"]) for r in rows]
 
 
 def scorer(bucket_scores: np.ndarray, bias: float, p: ModelParams):
