@@ -290,15 +290,17 @@ def brute_spans(text):
     out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
     base, p = sorted(out), secrets.EntropyParams()
     for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
-        s = m[0]
-        if not (re.search("[0-9]", s) and re.search("[A-Za-z]", s)) or re.search(p.allow, s):
-            continue
-        bits = p.hex_bits if re.fullmatch("[0-9a-f]+", s) else p.alnum_bits if re.fullmatch("[A-Za-z0-9]+", s) else p.other_bits
-        over = [i for i in range(len(s) - p.window + 1) if round(-sum(c / p.window * math.log2(c / p.window) for c in Counter(s[i : i + p.window]).values()), 9) >= bits]
-        if over:
-            free = [k for k in range(m.start() + over[0], m.start() + over[-1] + p.window) if not any(a <= k < b for a, _, b in base)]
-            cuts = [0, *(k for k in range(1, len(free)) if free[k] > free[k - 1] + 1), len(free)]
-            out += [(free[a], 3, free[b - 1] + 1) for a, b in zip(cuts, cuts[1:]) if b - a >= p.window]
+        known = [k.span() for k in re.finditer(p.allow, m[0])]
+        edges = [0, *(x for span in known for x in span), len(m[0])]
+        for begin, end in zip(edges[::2], edges[1::2]):
+            s, at = m[0][begin:end], m.start() + begin
+            bits = lambda w: p.hex_bits if re.fullmatch("[0-9a-f]+", w) else p.alnum_bits if re.fullmatch("[A-Za-z0-9]+", w) else p.other_bits
+            entropy = lambda w: round(-sum(c / p.window * math.log2(c / p.window) for c in Counter(w).values()), 9)
+            over = [i for i in range(len(s) - p.window + 1) if entropy(s[i : i + p.window]) >= bits(s[i : i + p.window])]
+            if over:
+                free = [k for k in range(at + over[0], at + over[-1] + p.window) if not any(a <= k < b for a, _, b in base)]
+                cuts = [0, *(k for k in range(1, len(free)) if free[k] > free[k - 1] + 1), len(free)]
+                out += [(free[a], 3, free[b - 1] + 1) for a, b in zip(cuts, cuts[1:]) if b - a >= p.window]
     show = lambda spans: ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in spans)
     return *(sum(k == j for _, k, _ in base) for j in range(3)), hashlib.sha256(show(base).encode()).hexdigest(), show(sorted(out))
 
@@ -307,6 +309,7 @@ def brute_spans(text):
 def test_secrets(request, spark, which):
     made = [(1, "id=9aF3kLmP0qRsT7uVwXyZ1b2C and 123e4567-e89b-12d3-a456-426614174000 http://x/aaaaaaaaaaaaaaaaaaaaaaaa1"), (2, "é" * 5 + " API_KEY: 'abc' apikey = 'abcdef' Password:x secret= token=abcdefgh"), (3, "Q" * 30 + "1 " + "aB3" * 2000)]
     key, hexes = "9aF3kLmP0qRsT7uVwXyZ1b2C", "9f86d081884c7d659a2feaa0"
+    made += [(7, "QwErTyUiOpAsDfGhJkLzXcVbNm"), (8, f"path/example/{key}"), (9, f"EXAMPLE{key}dummy{key[::-1]}sample"), (10, "31415926535897932384626433"), (11, f"/u/123e4567-e89b-12d3-a456-426614174000/{key}"), (12, f"{hexes[:22]}GHIJ{hexes[:22]}")]
     made += [(4, f"{key}/{hexes}/{key[::-1]}"), (5, f"{hexes}={key} short/{hexes}"), (6, f"{key}_token={key} {key}AKIA{'Q' * 16}")]
     d = spark.createDataFrame(made, "doc_id bigint, text string") if which == "keys" else request.getfixturevalue(which)
     want = sorted([(i, *brute_spans(t)) for i, t in texts(d)], key=repr)
@@ -321,6 +324,27 @@ def test_secrets_beside_patterns(spark):
     assert kinds["hex"] == {(25, 49)} and any(a <= 1 and b >= 24 for a, b in kinds["entropy"]) and any(a <= 51 and b >= 73 for a, b in kinds["entropy"])
 
 
+def test_secrets_skip_no_whole_string(spark):
+    """Keys of letters only, and keys joined to words of the allow-list, are found; what the list knows is not."""
+    key = "9aF3kLmP0qRsT7uVwXyZ1b2C"
+    made = [(1, "kQzVbXwJpRtYnMhGfDsLcAeUiOqZ"), (2, f"path/example/{key}"), (3, "123e4567-e89b-12d3-a456-426614174000"), (4, "the-placeholder-of-an-example")]
+    got = {r["doc_id"]: r["spans"] for r in secrets.secret_digest(spark.createDataFrame(made, "doc_id bigint, text string")).collect()}
+    assert got[1] == "entropy:0:28" and got[3] == got[4] == ""
+    begin, end = map(int, got[2].split(":")[1:])
+    assert begin in (12, 13) and end == 13 + len(key)
+
+
+def test_secrets_beside_many_patterns(spark):
+    """Thousands of keys beside thousands of matches in one text: one sweep over both."""
+    rng = np.random.default_rng(9)
+    symbols = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    text = " ".join(f"password=abc{k:05d} {''.join(rng.choice(symbols, 24, replace=False))}" for k in range(16000))
+    began = time.time()
+    got = secrets.secret_digest(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).collect()[0]
+    assert time.time() - began < 90
+    assert got["n_assign"] == 16000 and got["spans"].count("entropy:") == 16000
+
+
 def test_secrets_of_long_strings(spark):
     """An embedded image of half a megabyte, and thousands of matches in one text."""
     rng = np.random.default_rng(4)

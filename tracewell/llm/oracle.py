@@ -76,7 +76,7 @@ FROM words w LEFT JOIN sizes USING (doc_id) LEFT JOIN comps USING (doc_id)
 
 _KEYWORDS = "[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"
 _ASSIGN = rf"""({_KEYWORDS})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
-_ALLOW = "(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|example|sample|dummy|placeholder|your[_-]|x{6}|0{8}|abcdefgh|12345678"
+_ALLOW = "(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|example|sample|dummy|placeholder|your[_-]|x{6}|0{8}|abcdefgh|12345678"
 
 
 def _found(kind: int, pattern: str) -> str:
@@ -96,11 +96,13 @@ WITH docs AS (
 ), base AS (
   SELECT rid, kind, s, s + length(m) AS e FROM placed
   WHERE kind = 0 AND length(regexp_extract(m, '{_ASSIGN}', 2)) >= 6 OR kind = 1 AND length(m) >= 20 OR kind = 2 AND length(m) >= 24
+), cut AS (
+  SELECT rid, s, string_split_regex(m, '{_ALLOW}') AS ps, list_concat([0], list_transform(regexp_extract_all(m, '{_ALLOW}', 0), lambda x: length(x))) AS ks FROM placed WHERE kind = 3
 ), strings AS (
-  SELECT rid, s, m, CASE WHEN regexp_full_match(m, '[0-9a-f]+') THEN 3.05 WHEN regexp_full_match(m, '[A-Za-z0-9]+') THEN 3.75 ELSE 3.85 END AS bits
-  FROM placed WHERE kind = 3 AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') AND NOT regexp_matches(m, '{_ALLOW}')
+  SELECT rid, s + list_sum(ks[1 : j]) + coalesce(list_sum(list_transform(ps[1 : j - 1], lambda x: length(x))), 0) AS s, ps[j] AS m FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS j FROM cut) WHERE length(ps[j]) >= 20
 ), windows AS (
-  SELECT rid, s, bits, i, substr(m, i, 20) AS w FROM (SELECT *, unnest(range(1, length(m) - 18)) AS i FROM strings)
+  SELECT rid, s, i, w, CASE WHEN regexp_full_match(w, '[0-9a-f]+') THEN 3.05 WHEN regexp_full_match(w, '[A-Za-z0-9]+') THEN 3.75 ELSE 3.85 END AS bits
+  FROM (SELECT rid, s, i, substr(m, i, 20) AS w FROM (SELECT *, unnest(range(1, length(m) - 18)) AS i FROM strings))
 ), symbols AS (
   SELECT rid, s, bits, i, substr(w, k, 1) AS c, count(*) AS n FROM (SELECT *, unnest(range(1, 21)) AS k FROM windows) GROUP BY ALL
 ), over AS (
