@@ -139,6 +139,8 @@ ORACLE: dict[str, str] = {
     "eviction_statistics": sql(_HELD_100 + ", k AS (SELECT unnest([{'kind': 'age', 'bucket': CAST(ceil(ln(evicted_at - from_vtime) / ln(1.08)) AS BIGINT)}, {'kind': 'idle', 'bucket': CAST(ceil(ln(evicted_at - last_vtime) / ln(1.08)) AS BIGINT)}, {'kind': 'freq', 'bucket': n_access}]) AS k FROM held WHERE evicted_at IS NOT NULL) SELECT k.kind AS kind, k.bucket AS bucket, count(*) AS cnt FROM k GROUP BY 1, 2", "skew"),
     "cache_shares": sql(_HELD_100 + ", e AS (SELECT unnest(range(0, (SELECT (max(vtime) - 1) // 1000 + 1 FROM a))) AS interval), s AS (SELECT DISTINCT ns AS source FROM held JOIN t0 ON t0.vtime = from_vtime), x AS (SELECT interval, source, (SELECT CAST(coalesce(sum(room), 0) AS BIGINT) FROM held JOIN t0 ON t0.vtime = from_vtime WHERE ns = source AND from_vtime <= 1000 * (interval + 1) AND (evicted_at IS NULL OR evicted_at > 1000 * (interval + 1))) AS cached, (SELECT CAST(coalesce(sum(room), 0) AS BIGINT) FROM held JOIN t0 ON t0.vtime = from_vtime WHERE ns = source AND from_vtime <= 1000 * (interval + 1) AND last_vtime > 1000 * (interval + 1)) AS useful FROM e, s) SELECT interval, source, cached, useful, round(cached / nullif(sum(cached) OVER (PARTITION BY interval), 0), 6) AS share FROM x", "skew"),
     "lru_ttl": sql(_STACK + ", g AS (SELECT * FROM (VALUES (10), (50), (100)) v(c)), lv AS (SELECT c, vtime, obj_id, sum(CASE WHEN d < 0 OR d >= c THEN 1 ELSE 0 END) OVER (PARTITION BY c, obj_id ORDER BY vtime) AS life, d < 0 OR d >= c AS cold FROM sd, g), p AS (SELECT k.vtime, min(m.vtime) AS nx FROM a k JOIN a m ON m.obj_id = k.obj_id AND m.vtime > k.vtime AND m.t > k.t + 60 * k.ttl WHERE k.ttl > 0 GROUP BY 1), j AS (SELECT x.c, x.vtime, y.vtime AS nx FROM p JOIN lv x ON x.vtime = p.vtime JOIN lv y ON y.vtime = p.nx AND y.c = x.c AND y.life = x.life), reach AS (SELECT c, vtime FROM lv WHERE cold UNION SELECT j.c, j.nx FROM reach r JOIN j ON j.c = r.c AND j.vtime = r.vtime) SELECT CAST(c AS BIGINT) AS cache_size, n_req, n_miss, n_miss - n_cold AS n_expired, round(n_miss / n_req, 6) AS miss_ratio FROM (SELECT c, count(*) AS n_req, count(*) FILTER (cold) AS n_cold FROM lv GROUP BY 1) JOIN (SELECT c, count(*) AS n_miss FROM reach GROUP BY 1) USING (c)", "skew"),
+    "prefetch_graph": sql(", e AS (SELECT x.obj_id, y.obj_id AS next_id, count(*) AS weight FROM a x, range(1, 21) z(k) JOIN a y ON y.vtime = x.vtime + k WHERE x.vtime + 20 <= (SELECT max(vtime) FROM a) GROUP BY 1, 2), s AS (SELECT obj_id, sum(weight) AS total FROM e GROUP BY 1) SELECT obj_id, next_id, weight, round(weight / total, 6) AS probability FROM e JOIN s USING (obj_id) WHERE 100 * weight > 5 * total", "skew"),
+    "associations": sql(", o AS (SELECT obj_id, list(vtime ORDER BY vtime) AS ts, min(vtime) AS f, count(*) AS n FROM a GROUP BY 1 HAVING count(*) BETWEEN 2 AND 8), p AS (SELECT x.obj_id, y.obj_id AS next_id, row_number() OVER (PARTITION BY x.obj_id ORDER BY y.f) AS rn, list_transform(range(2, least(x.n, y.n) + 1), lambda k: abs(x.ts[k] - y.ts[k])) AS gaps FROM o x JOIN o y ON y.f > x.f AND y.f <= x.f + 20 AND abs(x.n - y.n) <= 1), q AS (SELECT *, len(list_filter(gaps, lambda g: g > 20)) AS n_far FROM p) SELECT obj_id, next_id, n_far FROM q WHERE (rn = 1 OR list_contains(gaps, 1)) AND n_far <= 1", "skew"),
     "interval_report": sql(_STACK + ", p AS (SELECT (vtime - 1) // 1000 AS interval, count(*) AS n, count(*) FILTER (d < 0 OR d >= 100) AS m FROM sd GROUP BY 1) SELECT interval, round(m / n, 6) AS miss_ratio, round(sum(m) OVER (ORDER BY interval) / sum(n) OVER (ORDER BY interval), 6) AS miss_ratio_so_far FROM p", "skew"),
     "miss_trace": sql(_STACK + " SELECT vtime, obj_id FROM sd WHERE d < 0 OR d >= 100", "skew"),
     "topo_hierarchy": sql(""", s1 AS (SELECT i.vtime, i.obj_id, i.pv, CASE WHEN i.pv IS NULL THEN -1 ELSE (SELECT count(*) FROM a j WHERE j.obj_id % 4 = i.obj_id % 4 AND j.vtime > i.pv AND j.vtime < i.vtime AND coalesce(j.pv, 0) <= i.pv) END AS d FROM a i),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .operators import analytics as an
 from .operators import distance as di
-from .operators import lru, prep, residency, topology, weighted
+from .operators import association, lru, prep, residency, topology, weighted
 from .plans.oracle import ORACLE
 from .plans.storage import shared_dir, stored
 from .schema import parse_sizes
@@ -148,6 +148,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "eviction_statistics": _on("skew", lambda t: residency.eviction_statistics(residency.residencies(residency.cached_rows(t, 100), 100))),
         "cache_shares": _on("skew", _shares),
         "lru_ttl": _on("skew", lambda t: residency.expiring_misses(t.withColumn("ttl", F.col("ttl") * 60), SIZES)),
+        "prefetch_graph": _on("skew", association.probability_graph),
+        "associations": _on("skew", association.associations),
         "interval_report": _on("skew", lambda t: lru.interval_report(di.stack_distances(t), 100, 1000)),
         "miss_trace": _on("skew", lambda t: lru.miss_trace(t, 100)),
         "topo_hierarchy": _on("skew", lambda t: topology.hierarchy(t, 16, 4)),
