@@ -36,6 +36,9 @@ _OBJ = ", o AS (SELECT obj_id, count(*) AS freq, arg_min(obj_size, vtime) AS fir
 _STACK = """, sd AS (
   SELECT i.vtime, i.obj_id, i.pv, i.nv, CASE WHEN i.pv IS NULL THEN -1 ELSE (SELECT count(*) FROM a j WHERE j.vtime > i.pv AND j.vtime < i.vtime AND coalesce(j.pv, 0) <= i.pv) END AS d FROM a i
 )"""
+#: Cells of objects in a sketch of m cells.
+_CELLS = ", spread AS (SELECT DISTINCT o.obj_id, (h1 % m + k * (1 + h2 % (m - 1))) % m AS cell FROM (SELECT *, CAST('0x' || substr(md5(CAST(obj_id AS VARCHAR)), 1, 15) AS BIGINT) AS h1, CAST('0x' || substr(md5(CAST(obj_id AS VARCHAR)), 17, 15) AS BIGINT) AS h2 FROM o) o, size, range(0, {hashes}) z(k))"
+_BLOOM_SIZE = ", size AS (SELECT CAST(greatest(2, ceil(-count(DISTINCT obj_id) * ln(0.05) / (ln(2.0) * ln(2.0)))) AS BIGINT) AS m FROM a WHERE {which})"
 _LOG = "CAST(greatest(floor(ln(greatest({0}, 1)) / ln(1.5)), 0) AS BIGINT)"
 _REUSE_V = "CASE WHEN dv < 0 THEN -1 ELSE " + _LOG.format("dv") + " END"
 _RATE = """, per AS (SELECT t // 3600 AS win, count(*) AS n, sum(obj_size) AS b, count(*) FILTER (seen_w) AS o, count(*) FILTER (cold) AS f FROM a GROUP BY 1),
@@ -141,6 +144,9 @@ ORACLE: dict[str, str] = {
     "lru_ttl": sql(_STACK + ", g AS (SELECT * FROM (VALUES (10), (50), (100)) v(c)), lv AS (SELECT c, vtime, obj_id, sum(CASE WHEN d < 0 OR d >= c THEN 1 ELSE 0 END) OVER (PARTITION BY c, obj_id ORDER BY vtime) AS life, d < 0 OR d >= c AS cold FROM sd, g), p AS (SELECT k.vtime, min(m.vtime) AS nx FROM a k JOIN a m ON m.obj_id = k.obj_id AND m.vtime > k.vtime AND m.t > k.t + 60 * k.ttl WHERE k.ttl > 0 GROUP BY 1), j AS (SELECT x.c, x.vtime, y.vtime AS nx FROM p JOIN lv x ON x.vtime = p.vtime JOIN lv y ON y.vtime = p.nx AND y.c = x.c AND y.life = x.life), reach AS (SELECT c, vtime FROM lv WHERE cold UNION SELECT j.c, j.nx FROM reach r JOIN j ON j.c = r.c AND j.vtime = r.vtime) SELECT CAST(c AS BIGINT) AS cache_size, n_req, n_miss, n_miss - n_cold AS n_expired, round(n_miss / n_req, 6) AS miss_ratio FROM (SELECT c, count(*) AS n_req, count(*) FILTER (cold) AS n_cold FROM lv GROUP BY 1) JOIN (SELECT c, count(*) AS n_miss FROM reach GROUP BY 1) USING (c)", "skew"),
     "prefetch_graph": sql(", e AS (SELECT x.obj_id, y.obj_id AS next_id, count(*) AS weight FROM a x, range(1, 21) z(k) JOIN a y ON y.vtime = x.vtime + k WHERE x.vtime + 20 <= (SELECT max(vtime) FROM a) GROUP BY 1, 2), s AS (SELECT obj_id, sum(weight) AS total FROM e GROUP BY 1) SELECT obj_id, next_id, weight, round(weight / total, 6) AS probability FROM e JOIN s USING (obj_id) WHERE 100 * weight > 5 * total", "skew"),
     "associations": sql(", o AS (SELECT obj_id, list(vtime ORDER BY vtime) AS ts, min(vtime) AS f, count(*) AS n FROM a GROUP BY 1 HAVING count(*) BETWEEN 2 AND 8), p AS (SELECT x.obj_id, y.obj_id AS next_id, row_number() OVER (PARTITION BY x.obj_id ORDER BY y.f) AS rn, list_transform(range(2, least(x.n, y.n) + 1), lambda k: abs(x.ts[k] - y.ts[k])) AS gaps FROM o x JOIN o y ON y.f > x.f AND y.f <= x.f + 20 AND abs(x.n - y.n) <= 1), q AS (SELECT *, len(list_filter(gaps, lambda g: g > 20)) AS n_far FROM p) SELECT obj_id, next_id, n_far FROM q WHERE (rn = 1 OR list_contains(gaps, 1)) AND n_far <= 1", "skew"),
+    "bloom_first_sightings": sql(_OBJ + _BLOOM_SIZE.format(which="true") + _CELLS.format(hashes=4) + ", f AS (SELECT obj_id, cell, fv FROM spread JOIN (SELECT DISTINCT obj_id, fv FROM a) USING (obj_id)), s AS (SELECT cell, min(fv) AS since FROM f GROUP BY 1) SELECT obj_id, fv AS first_vtime, max(since) < fv AS let_through FROM f JOIN s USING (cell) GROUP BY 1, 2", "skew"),
+    "bloom_error": sql(", h AS (SELECT max(vtime) // 2 AS half FROM a), o AS (SELECT obj_id, min(vtime) <= (SELECT half FROM h) AS held, max(vtime) > (SELECT half FROM h) AS asked FROM a GROUP BY 1)" + _BLOOM_SIZE.format(which="vtime <= (SELECT half FROM h)") + _CELLS.format(hashes=4) + ", b AS (SELECT DISTINCT cell FROM spread JOIN o USING (obj_id) WHERE held), q AS (SELECT obj_id, held, bool_and(b.cell IS NOT NULL) AS maybe FROM spread JOIN o USING (obj_id) LEFT JOIN b USING (cell) WHERE asked GROUP BY 1, 2) SELECT count(*) AS n_asked, count(*) FILTER (held) AS n_held, count(*) FILTER (maybe) AS n_maybe, count(*) FILTER (maybe AND NOT held) AS n_false FROM q", "skew"),
+    "frequency_sketch": sql(_OBJ + ", size AS (SELECT 2 * count(*) + 2 AS m FROM o), o2 AS (SELECT obj_id, freq FROM o), hs AS (SELECT obj_id, freq, m, CAST('0x' || substr(md5(CAST(obj_id AS VARCHAR)), 1, 15) AS BIGINT) AS h1, CAST('0x' || substr(md5(CAST(obj_id AS VARCHAR)), 17, 15) AS BIGINT) AS h2 FROM o2, size), f AS (SELECT obj_id, freq, (h1 % m + k * (1 + h2 % (m - 1))) % m AS cell FROM hs, range(0, 3) z(k)), c AS (SELECT cell, sum(freq) AS n FROM f GROUP BY 1) SELECT obj_id, freq AS n, CAST(min(c.n) AS BIGINT) AS estimate FROM f JOIN c USING (cell) GROUP BY 1, 2", "skew"),
     "interval_report": sql(_STACK + ", p AS (SELECT (vtime - 1) // 1000 AS interval, count(*) AS n, count(*) FILTER (d < 0 OR d >= 100) AS m FROM sd GROUP BY 1) SELECT interval, round(m / n, 6) AS miss_ratio, round(sum(m) OVER (ORDER BY interval) / sum(n) OVER (ORDER BY interval), 6) AS miss_ratio_so_far FROM p", "skew"),
     "miss_trace": sql(_STACK + " SELECT vtime, obj_id FROM sd WHERE d < 0 OR d >= 100", "skew"),
     "topo_hierarchy": sql(""", s1 AS (SELECT i.vtime, i.obj_id, i.pv, CASE WHEN i.pv IS NULL THEN -1 ELSE (SELECT count(*) FROM a j WHERE j.obj_id % 4 = i.obj_id % 4 AND j.vtime > i.pv AND j.vtime < i.vtime AND coalesce(j.pv, 0) <= i.pv) END AS d FROM a i),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .operators import analytics as an
 from .operators import distance as di
-from .operators import association, lru, prep, residency, topology, weighted
+from .operators import association, lru, prep, residency, sketches, topology, weighted
 from .plans.oracle import ORACLE
 from .plans.storage import shared_dir, stored
 from .schema import parse_sizes
@@ -75,6 +75,27 @@ def _warm(t: DataFrame) -> DataFrame:
     return lru.lru_misses(lru.after_warmup(rows, (t.agg(F.max("vtime")).first()[0] or 0) // 5, 172800), SIZES)
 
 
+def _bloom_first(t: DataFrame) -> DataFrame:
+    """The filter has the size for all objects at an error of 5%."""
+    return sketches.first_sightings(t, *sketches.filter_size(t.select("obj_id").distinct().count(), 0.05))
+
+
+def _bloom_error(t: DataFrame) -> DataFrame:
+    """Objects of the second half of the trace against a filter of the first half's: how many are in it, how many it may hold, and how many of these wrongly."""
+    half = prep.scalar(t, F.floor(F.max("vtime") / 2))
+    old, new = t.filter(F.col("vtime") <= half), t.filter(F.col("vtime") > half)
+    held = old.select("obj_id").distinct()
+    cells, hashes = sketches.filter_size(held.count(), 0.05)
+    answers = sketches.asked(new, "obj_id", sketches.bloom_filter(old, "obj_id", cells, hashes), cells, hashes).join(held.withColumn("held", F.lit(True)), "obj_id", "left")
+    return answers.agg(F.count("*").alias("n_asked"), F.count("held").alias("n_held"), F.count_if("maybe").alias("n_maybe"), F.count_if(F.col("maybe") & F.col("held").isNull()).alias("n_false"))
+
+
+def _frequencies(t: DataFrame, make: Callable[[DataFrame, int, int], DataFrame]) -> DataFrame:
+    """Two cells an object, three hashes: a small filter, whose errors show."""
+    cells = 2 * t.select("obj_id").distinct().count() + 2
+    return sketches.estimates_beside_counts(t, make(t, cells, 3), cells, 3)
+
+
 def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events in a folder for each tenant, read back."""
     folder = shared_dir(spark, "tenants")
@@ -150,6 +171,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "lru_ttl": _on("skew", lambda t: residency.expiring_misses(t.withColumn("ttl", F.col("ttl") * 60), SIZES)),
         "prefetch_graph": _on("skew", association.probability_graph),
         "associations": _on("skew", association.associations),
+        "bloom_first_sightings": _on("skew", _bloom_first),
+        "bloom_error": _on("skew", _bloom_error),
+        "frequency_sketch": _on("skew", lambda t: _frequencies(t, lambda t, cells, hashes: sketches.counting_filter(t, "obj_id", cells, hashes))),
+        "frequency_sketch_minimal": _on("skew", lambda t: _frequencies(t, sketches.minimal_filter)),
         "interval_report": _on("skew", lambda t: lru.interval_report(di.stack_distances(t), 100, 1000)),
         "miss_trace": _on("skew", lambda t: lru.miss_trace(t, 100)),
         "topo_hierarchy": _on("skew", lambda t: topology.hierarchy(t, 16, 4)),
