@@ -39,6 +39,7 @@ _STACK = """, sd AS (
 #: Cells of objects in a sketch of m cells.
 _CELLS = ", spread AS (SELECT DISTINCT o.obj_id, (h1 % m + k * (1 + h2 % (m - 1))) % m AS cell FROM (SELECT *, CAST('0x' || substr(md5(CAST(obj_id AS VARCHAR)), 1, 15) AS BIGINT) AS h1, CAST('0x' || substr(md5(CAST(obj_id AS VARCHAR)), 17, 15) AS BIGINT) AS h2 FROM o) o, size, range(0, {hashes}) z(k))"
 _BLOOM_SIZE = ", size AS (SELECT CAST(greatest(2, ceil(-count(DISTINCT obj_id) * ln(0.05) / (ln(2.0) * ln(2.0)))) AS BIGINT) AS m FROM a WHERE {which})"
+_IN_SAMPLE = "CAST('0x' || substr(md5(CAST(obj_id AS VARCHAR)), 1, 15) AS BIGINT) % 10 = 0"
 _LOG = "CAST(greatest(floor(ln(greatest({0}, 1)) / ln(1.5)), 0) AS BIGINT)"
 _REUSE_V = "CASE WHEN dv < 0 THEN -1 ELSE " + _LOG.format("dv") + " END"
 _RATE = """, per AS (SELECT t // 3600 AS win, count(*) AS n, sum(obj_size) AS b, count(*) FILTER (seen_w) AS o, count(*) FILTER (cold) AS f FROM a GROUP BY 1),
@@ -147,6 +148,8 @@ ORACLE: dict[str, str] = {
     "bloom_first_sightings": sql(_OBJ + _BLOOM_SIZE.format(which="true") + _CELLS.format(hashes=4) + ", f AS (SELECT obj_id, cell, fv FROM spread JOIN (SELECT DISTINCT obj_id, fv FROM a) USING (obj_id)), s AS (SELECT cell, min(fv) AS since FROM f GROUP BY 1) SELECT obj_id, fv AS first_vtime, max(since) < fv AS let_through FROM f JOIN s USING (cell) GROUP BY 1, 2", "skew"),
     "bloom_error": sql(", h AS (SELECT max(vtime) // 2 AS half FROM a), o AS (SELECT obj_id, min(vtime) <= (SELECT half FROM h) AS held, max(vtime) > (SELECT half FROM h) AS asked FROM a GROUP BY 1)" + _BLOOM_SIZE.format(which="vtime <= (SELECT half FROM h)") + _CELLS.format(hashes=4) + ", b AS (SELECT DISTINCT cell FROM spread JOIN o USING (obj_id) WHERE held), q AS (SELECT obj_id, held, bool_and(b.cell IS NOT NULL) AS maybe FROM spread JOIN o USING (obj_id) LEFT JOIN b USING (cell) WHERE asked GROUP BY 1, 2) SELECT count(*) AS n_asked, count(*) FILTER (held) AS n_held, count(*) FILTER (maybe) AS n_maybe, count(*) FILTER (maybe AND NOT held) AS n_false FROM q", "skew"),
     "frequency_sketch": sql(_OBJ + ", size AS (SELECT 2 * count(*) + 2 AS m FROM o), o2 AS (SELECT obj_id, freq FROM o), hs AS (SELECT obj_id, freq, m, CAST('0x' || substr(md5(CAST(obj_id AS VARCHAR)), 1, 15) AS BIGINT) AS h1, CAST('0x' || substr(md5(CAST(obj_id AS VARCHAR)), 17, 15) AS BIGINT) AS h2 FROM o2, size), f AS (SELECT obj_id, freq, (h1 % m + k * (1 + h2 % (m - 1))) % m AS cell FROM hs, range(0, 3) z(k)), c AS (SELECT cell, sum(freq) AS n FROM f GROUP BY 1) SELECT obj_id, freq AS n, CAST(min(c.n) AS BIGINT) AS estimate FROM f JOIN c USING (cell) GROUP BY 1, 2", "skew"),
+    "wss_sampled": sql(f"{_OBJ}, z AS (SELECT first_size AS x FROM o WHERE {_IN_SAMPLE}) SELECT 10 * count(*) AS wss_obj, round(sqrt(90.0 * count(*)), 6) AS wss_obj_error, CAST(coalesce(10 * sum(x), 0) AS BIGINT) AS wss_byte, round(sqrt(90.0 * coalesce(sum(CAST(x AS DOUBLE) * x), 0)), 6) AS wss_byte_error, (SELECT count(*) FROM o) AS exact_obj, (SELECT CAST(sum(first_size) AS BIGINT) FROM o) AS exact_byte FROM z", "skew"),
+    "lru_mrc_sampled": sql(f"{_STACK}, r0 AS (SELECT obj_id, row_number() OVER (ORDER BY vtime) AS v FROM a WHERE {_IN_SAMPLE}), r1 AS (SELECT *, lag(v) OVER (PARTITION BY obj_id ORDER BY v) AS p FROM r0), rd AS (SELECT i.obj_id, CASE WHEN i.p IS NULL THEN -1 ELSE (SELECT count(*) FROM r1 j WHERE j.v > i.p AND j.v < i.v AND coalesce(j.p, 0) <= i.p) END AS d FROM r1 i), g AS (SELECT * FROM (VALUES (50), (100), (200), (400)) w(c)), m AS (SELECT c, obj_id, CAST(count(*) FILTER (d < 0 OR 10 * d >= c) AS DOUBLE) AS m FROM rd, g GROUP BY 1, 2), x AS (SELECT c, round(count(*) FILTER (d < 0 OR d >= c) / count(*), 6) AS exact FROM sd, g GROUP BY 1), n AS (SELECT count(*) AS n FROM a) SELECT CAST(c AS BIGINT) AS cache_size, round(10 * sum(m) / min(n), 6) AS miss_ratio, round(sqrt(90.0 * sum(m * m)) / min(n), 6) AS std_error, min(exact) AS exact FROM m JOIN x USING (c), n GROUP BY 1", "skew"),
     "interval_report": sql(_STACK + ", p AS (SELECT (vtime - 1) // 1000 AS interval, count(*) AS n, count(*) FILTER (d < 0 OR d >= 100) AS m FROM sd GROUP BY 1) SELECT interval, round(m / n, 6) AS miss_ratio, round(sum(m) OVER (ORDER BY interval) / sum(n) OVER (ORDER BY interval), 6) AS miss_ratio_so_far FROM p", "skew"),
     "miss_trace": sql(_STACK + " SELECT vtime, obj_id FROM sd WHERE d < 0 OR d >= 100", "skew"),
     "topo_hierarchy": sql(""", s1 AS (SELECT i.vtime, i.obj_id, i.pv, CASE WHEN i.pv IS NULL THEN -1 ELSE (SELECT count(*) FROM a j WHERE j.obj_id % 4 = i.obj_id % 4 AND j.vtime > i.pv AND j.vtime < i.vtime AND coalesce(j.pv, 0) <= i.pv) END AS d FROM a i),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .operators import analytics as an
 from .operators import distance as di
-from .operators import association, lru, prep, residency, sketches, topology, weighted
+from .operators import association, lru, prep, residency, sampled, sketches, topology, weighted
 from .plans.oracle import ORACLE
 from .plans.storage import shared_dir, stored
 from .schema import parse_sizes
@@ -96,6 +96,18 @@ def _frequencies(t: DataFrame, make: Callable[[DataFrame, int, int], DataFrame])
     return sketches.estimates_beside_counts(t, make(t, cells, 3), cells, 3)
 
 
+def _sampled_wss(t: DataFrame) -> DataFrame:
+    """Estimates from a tenth of the objects beside the exact values."""
+    exact = prep.working_set(t)
+    return sampled.sampled_working_set(t, 10).select("*", prep.scalar(exact, F.first("wss_obj")).alias("exact_obj"), prep.scalar(exact, F.first("wss_byte")).alias("exact_byte"))
+
+
+def _sampled_curve(t: DataFrame) -> DataFrame:
+    """The curve from a tenth of the objects beside the exact one."""
+    exact = lru.lru_misses(lru.distances_with_sizes(t), [50, 100, 200, 400]).select("cache_size", F.col("miss_ratio").alias("exact"))
+    return sampled.sampled_curve(t, [50, 100, 200, 400], 10).join(exact, "cache_size")
+
+
 def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events in a folder for each tenant, read back."""
     folder = shared_dir(spark, "tenants")
@@ -175,6 +187,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "bloom_error": _on("skew", _bloom_error),
         "frequency_sketch": _on("skew", lambda t: _frequencies(t, lambda t, cells, hashes: sketches.counting_filter(t, "obj_id", cells, hashes))),
         "frequency_sketch_minimal": _on("skew", lambda t: _frequencies(t, sketches.minimal_filter)),
+        "wss_sampled": _on("skew", _sampled_wss),
+        "lru_mrc_sampled": _on("skew", _sampled_curve),
         "interval_report": _on("skew", lambda t: lru.interval_report(di.stack_distances(t), 100, 1000)),
         "miss_trace": _on("skew", lambda t: lru.miss_trace(t, 100)),
         "topo_hierarchy": _on("skew", lambda t: topology.hierarchy(t, 16, 4)),
