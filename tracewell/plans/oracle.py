@@ -163,6 +163,10 @@ SELECT server, count(*) AS n_req, CAST(sum(obj_size) AS BIGINT) AS bytes, count(
     "merge_traces": sql(" SELECT row_number() OVER (ORDER BY clock_time, CASE WHEN ns < 4 THEN 0 ELSE 1 END, vtime) AS vtime, CASE WHEN ns < 4 THEN 0 ELSE 1 END AS trace_no, vtime AS own_vtime, obj_id FROM t0"),
     "trace_round_trip": sql(" SELECT vtime, clock_time, obj_id, fs AS obj_size, coalesce(nv, -1) AS next_access_vtime FROM a"),
     "trace_skip_limit": sql(" SELECT vtime - 100 AS vtime, clock_time, obj_id, CAST(1 AS BIGINT) AS obj_size, coalesce(nv, -1) AS next_access_vtime FROM a WHERE vtime > 100 AND vtime <= 9100"),
+    "source_round_trip": sql(" SELECT vtime, clock_time, obj_id, fs AS obj_size, coalesce(nv, -1) AS next_access_vtime FROM a"),
+    "source_window": sql(" SELECT vtime, obj_id FROM a WHERE vtime > (SELECT count(*) // 3 FROM a) AND vtime <= (SELECT 2 * count(*) // 3 FROM a)"),
+    "source_header": sql(_OBJ + " SELECT (SELECT count(*) FROM a) AS n_req, count(*) AS n_obj, (SELECT CAST(sum(fs) AS BIGINT) FROM a) AS n_req_byte, CAST(sum(first_size) AS BIGINT) AS n_obj_byte, (SELECT count(*) FROM a) AS n_read, (SELECT CAST(sum(fs) AS BIGINT) FROM a) AS n_read_byte FROM o"),
+    "text_twin": sql(" SELECT concat_ws(',', clock_time, obj_id, fs, coalesce(nv, -1)) AS line FROM a"),
     "trace_print": sql(" SELECT vtime, concat_ws(',', clock_time, obj_id, fs, coalesce(nv, -1)) AS line FROM a"),
     "split_tenants": sql(" SELECT ns, vtime, obj_id FROM t0"),
 }

@@ -13,7 +13,7 @@ from .operators import association, lru, prep, residency, sampled, sketches, top
 from .plans.oracle import ORACLE
 from .plans.storage import shared_dir, stored
 from .schema import parse_sizes
-from .sources import formats
+from .sources import formats, trace_source
 from .sources.tables import skewed_trace, trace_from_events, trace_from_orders, with_vtime
 
 TRACES = {"events": trace_from_events, "skew": skewed_trace, "orders": trace_from_orders}
@@ -45,6 +45,32 @@ def _written_and_read(spark: SparkSession, sf_dir: str, **options: int | bool) -
     return formats.as_requests(back, **options).select("vtime", "clock_time", "obj_id", "obj_size", "next_access_vtime")
 
 
+def _source(spark: SparkSession, sf_dir: str, layout: str, text: bool = False) -> str:
+    """The folder of the events with next accesses, written through the data source."""
+    path = shared_dir(spark, "source")
+    trace_source.write_trace(prep.oracle_annotate(trace_from_events(spark, sf_dir)), path, layout, text=text)
+    return path
+
+
+def _source_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trace_source.read_trace_source(spark, _source(spark, sf_dir, "lcs")).select("vtime", "clock_time", "obj_id", "obj_size", "next_access_vtime")
+
+
+def _source_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two columns of the middle third of a written trace: records before and behind it are not read."""
+    path = _source(spark, sf_dir, "oracleGeneral")
+    n = sum(p["n_req"] for p in trace_source.trace_list(path)["pieces"])
+    return trace_source.read_trace_source(spark, path, ["vtime", "obj_id"]).filter((F.col("vtime") > n // 3) & (F.col("vtime") <= 2 * n // 3))
+
+
+def _source_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the header of a self-describing trace says, beside sums over what is read back."""
+    path = _source(spark, sf_dir, "lcs")
+    says = trace_source.header_statistics(path)
+    read = trace_source.read_trace_source(spark, path, ["obj_size"]).agg(F.count("*").alias("n_read"), F.sum("obj_size").alias("n_read_byte"))
+    return read.select(*[F.lit(says[c]).cast("long").alias(c) for c in trace_source.STATISTICS], "n_read", "n_read_byte")
+
+
 def _interval(t: DataFrame, pixels: int) -> int:
     """Requests in an interval of a picture that is so many intervals wide, whatever the trace."""
     return max(1, -(-(t.agg(F.max("vtime")).first()[0] or 0) // pixels))
@@ -195,6 +221,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "merge_traces": _on("events", lambda t: with_vtime(topology.merged(t.filter("ns < 4"), t.filter("ns >= 4")), "clock_time", "trace_no", "own_vtime").select("vtime", "trace_no", "own_vtime", "obj_id")),
         "trace_round_trip": _written_and_read,
         "trace_skip_limit": lambda spark, sf_dir: _written_and_read(spark, sf_dir, skip=100, limit=9000, ignore_obj_size=True),
+        "source_round_trip": _source_round_trip,
+        "source_window": _source_window,
+        "source_header": _source_header,
+        "text_twin": lambda spark, sf_dir: trace_source.text_twin(spark, _source(spark, sf_dir, "oracleGeneral", text=True)),
         "trace_print": _on("events", lambda t: formats.printed(prep.oracle_annotate(t))),
         "split_tenants": _split,
         "topo_cluster": _on("skew", lambda t: topology.server_load(t, _servers(t))),
