@@ -131,9 +131,14 @@ def permutations(sources: DataFrame, p: MixParams) -> DataFrame:
     """key, pass, at, block: for each source and pass the blocks of full length in a pseudorandom order, at = 0, 1, ... A block's place is the rank of its hash, found in runs of hashes and then over the runs."""
     n_tasks, piece = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4096
     passes = sources.filter("whole > 0 and slots > 0").select("key", "whole", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("slots") / F.col("blocks")) - 1)).alias("pass"))
-    pieces = passes.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("whole") - 1) / piece))).alias("piece")).repartition(n_tasks, "key", "pass", "piece")
-    blocks = pieces.select("key", "pass", F.explode(F.sequence(F.col("piece") * piece, F.least(F.col("whole"), (F.col("piece") + 1) * piece) - 1)).alias("block"))
-    hashed = blocks.withColumn("h", F.xxhash64("key", "pass", "block", F.lit(p.seed))).withColumn("run", F.shiftrightunsigned("h", 54))
+    # Pieces are listed in two steps, each dealt to all tasks: a source of 10^13 words has some 10,000 spans of 4,096 pieces, and no row lists more than that.
+    spans = passes.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("whole") - 1) / (piece * piece)))).alias("span")).repartition(n_tasks, "key", "pass", "span")
+    last_piece = F.floor((F.col("whole") - 1) / piece)
+    pieces = spans.select("key", "pass", "whole", F.explode(F.sequence(F.col("span") * piece, F.least(last_piece, (F.col("span") + 1) * piece - 1))).alias("piece")).repartition(n_tasks, "key", "pass", "piece")
+    # As many runs as a run has blocks, roughly: both grow as the root of the source's blocks (2^10 runs at least, 2^20 at most).
+    bits = F.greatest(F.lit(10), F.least(F.lit(20), F.ceil(F.log2("whole") / 2))).cast("int")
+    blocks = pieces.select("key", "pass", bits.alias("bits"), F.explode(F.sequence(F.col("piece") * piece, F.least(F.col("whole"), (F.col("piece") + 1) * piece) - 1)).alias("block"))
+    hashed = blocks.withColumn("h", F.xxhash64("key", "pass", "block", F.lit(p.seed))).withColumn("run", F.expr("shiftrightunsigned(h, 64 - bits)")).drop("bits")
     over_runs = Window.partitionBy("key", "pass").orderBy("run").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     runs = hashed.groupBy("key", "pass", "run").agg(F.count("*").alias("n")).select("key", "pass", "run", (F.sum("n").over(over_runs) - F.col("n")).alias("base"))
     in_run = hashed.withColumn("rn", F.row_number().over(Window.partitionBy("key", "pass", "run").orderBy("h", "block")))
