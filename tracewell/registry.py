@@ -154,7 +154,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op_stat": _annotated("events", an.op_stat),
         "op_rollup": _timed("events", an.op_rollup),
         "req_rate": _annotated("events", an.req_rate),
-        "req_rate_shifted": _annotated("events", an.req_rate_shifted),
+        "req_rate_shifted": _timed("events", an.req_rate_shifted),
         "req_rate_summary": _annotated("events", an.req_rate_summary),
         "size_dist": _annotated("events", an.size_dist),
         "size_heatmap": _annotated("events", an.size_heatmap),
