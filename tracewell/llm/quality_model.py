@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import fsum
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, held_out
+from .common import held_out
+
+#: Characters of texts that are scored at once (a longer text by itself), words that are hashed at once, and characters of the longest word that is kept.
+GROUP, AT_ONCE, LONGEST = 1 << 18, 1 << 14, 64
 
 
 @dataclass(frozen=True)
@@ -56,6 +60,11 @@ def features(word: str, p: ModelParams) -> list[int]:
     return out
 
 
+def n_features(length: int, p: ModelParams) -> int:
+    """How many features a word of so many characters has."""
+    return 1 + sum(max(0, length + 3 - n) for n in range(p.min_n, p.max_n + 1))
+
+
 def bag(text: str | None, p: ModelParams) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, counts) of a whole text."""
     counts: Counter[int] = Counter()
@@ -119,24 +128,86 @@ def training_rows(docs: DataFrame, labels: DataFrame, p: ModelParams) -> list[tu
     return [(np.frombuffer(r["ids"], "<i4"), np.frombuffer(r["counts"], "<f4"), r["quality"]) for r in rows]
 
 
-def scorer(bucket_scores: np.ndarray, bias: float, p: ModelParams):
-    """A function from texts to scores that keeps each word's sum and number of features."""
-    def share_of(word: str) -> tuple[float, int]:
-        ids = features(word, p)
-        return float(bucket_scores[ids].sum()), len(ids)
+def xxh32(columns: list[np.ndarray]) -> np.ndarray:
+    """xxh32 (seed 0) of byte strings of one length below 16, a column of uint32 for each of their bytes."""
+    p1, p2, p3, p4, p5 = (np.uint32(x) for x in (2654435761, 2246822519, 3266489917, 668265263, 374761393))
+    turn = lambda x, k: x << np.uint32(k) | x >> np.uint32(32 - k)
+    h, whole = np.full(len(columns[0]), 374761393 + len(columns), np.uint32), len(columns) // 4 * 4
+    for k in range(0, whole, 4):
+        a, b, c, d = columns[k : k + 4]
+        h = turn(h + (a | b << np.uint32(8) | c << np.uint32(16) | d << np.uint32(24)) * p3, 17) * p4
+    for c in columns[whole:]:
+        h = turn(h + c * p5, 11) * p1
+    h = (h ^ h >> np.uint32(15)) * p2
+    h = (h ^ h >> np.uint32(13)) * p3
+    return h ^ h >> np.uint32(16)
+
+
+def word_sums(words: list[str], bucket_scores: np.ndarray, p: ModelParams) -> list[float]:
+    """Each word's sum of bucket scores over its features(). The n-grams of all words are hashed together; a word's sum is the same among any others."""
+    marked = [f"<{w}>" for w in words]
+    sums = bucket_scores[[xxhash.xxh32_intdigest(m) % p.buckets for m in marked]]
+    data, sizes = np.frombuffer("".join(marked).encode(), np.uint8), np.fromiter(map(len, marked), np.int64, len(marked))
+    # Where characters start in UTF-8, and how many are left from each to its word's end.
+    first = np.append(np.flatnonzero(data & 0xC0 != 0x80), len(data))
+    word = np.repeat(np.arange(len(marked)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(word))
+    for n in range(p.min_n, p.max_n + 1):
+        at = np.flatnonzero(left >= n)
+        begin, length, hashes = first[at], first[at + n] - first[at], np.empty(len(at), np.uint32)
+        for size in np.flatnonzero(np.bincount(length)).tolist():
+            rows = np.flatnonzero(length == size)
+            if size < 16:
+                hashes[rows] = xxh32([data[begin[rows] + k].astype(np.uint32) for k in range(size)])
+            else:
+                hashes[rows] = [xxhash.xxh32_intdigest(data[i : i + size].tobytes()) for i in begin[rows].tolist()]
+        sums = sums + np.bincount(word[at], bucket_scores[hashes % np.uint32(p.buckets)], len(marked))
+    return sums.tolist()
+
+
+def group_scorer(bucket_scores: np.ndarray, bias: float, p: ModelParams):
+    """A function from a list of texts to their scores that keeps words' sums between calls, cache_words at most besides those of the call."""
+    held: dict[str, float] = {}
+
+    def scores(texts: list[str | None]) -> list[float]:
+        split = [(t or "").split() for t in texts]
+        met = set().union(*split)
+        new = list(met.difference(held))
+        if len(held) + len(new) > p.cache_words:
+            held.clear()
+            new = list(met)
+        for i in range(0, len(new), AT_ONCE):
+            part = new[i : i + AT_ONCE]
+            held.update(zip(part, word_sums(part, bucket_scores, p), strict=True))
+        out = []
+        for words in split:
+            # fsum rounds once, so that the sum doesn't depend on the words' order.
+            n = sum(k * n_features(length, p) for length, k in Counter(map(len, words)).items())
+            out.append(float(1 / (1 + np.exp(-(fsum(map(held.__getitem__, words)) / max(n, 1) + bias)))))
+        for w in new:
+            if len(w) > LONGEST:
+                del held[w]
+        return out
+
+    return scores
+
 
-    shares = Recent(share_of, p.cache_words)
+def scorer(bucket_scores: np.ndarray, bias: float, p: ModelParams):
+    """A function from a text to its score."""
+    scores = group_scorer(bucket_scores, bias, p)
+    return lambda text: scores([text])[0]
 
-    def score(text: str | None) -> float:
-        total, n = 0.0, 0
-        # Sorted, so that the sum doesn't depend on the words' order of arrival.
-        for word, k in sorted(Counter((text or "").split()).items()):
-            s, m = shares[word]
-            total += k * s
-            n += k * m
-        return float(1 / (1 + np.exp(-(total / max(n, 1) + bias))))
 
-    return score
+def grouped(texts: pa.Array) -> Iterator[list[str | None]]:
+    """The texts in their order, in lists of about GROUP characters."""
+    group, size = [], 0
+    for t in texts:
+        group.append(t.as_py())
+        size += len(group[-1] or "")
+        if size >= GROUP:
+            yield group
+            group, size = [], 0
+    yield group
 
 
 def _scored(docs: DataFrame, labels: DataFrame, p: ModelParams, keep: list[str]) -> DataFrame:
@@ -146,9 +217,9 @@ def _scored(docs: DataFrame, labels: DataFrame, p: ModelParams, keep: list[str])
     model = spark.sparkContext.broadcast((bucket_scores, bias))  # its size is that of the bucket table
 
     def score_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = scorer(*model.value, p)
+        score = group_scorer(*model.value, p)
         for b in batches:
-            scores = pa.array([score(t.as_py()) for t in b.column(len(keep))], pa.float64())
+            scores = pa.array([s for texts in grouped(b.column(len(keep))) for s in score(texts)], pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], scores], names=[*b.schema.names[: len(keep)], "score"])
 
     renamed = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col("text").alias("the_text"))
