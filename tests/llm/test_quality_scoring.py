@@ -1,4 +1,4 @@
-"""Scoring whole groups of texts: n-grams hashed together, words held within the bound."""
+"""Scoring whole groups of texts: n-grams hashed together, words held within the bound, a text sent to Python once."""
 
 import math
 import tracemalloc
@@ -51,3 +51,26 @@ def test_scores_do_not_depend_on_the_group():
     want = [quality_model.scorer(table, 0.2, p)(t) for t in texts]
     assert together(texts) == want == [together([t])[0] for t in texts]
     assert together(["a b b"]) == together(["b a b"]) and together([]) == []
+
+
+def test_accepted_sends_a_text_once(spark):
+    docs = spark.createDataFrame([(1, "some text", "a"), (2, None, None)], "doc_id bigint, text string, source string")
+    labels = spark.createDataFrame([], "doc_id bigint, quality int")
+    kept = quality_model.accepted(docs, labels)
+    assert sorted(map(tuple, kept.collect())) == [(1, "some text", "a"), (2, None, None)]
+    plan = kept._jdf.queryExecution().analyzed().toString()
+    # c0 to c2 go to Python, and nothing beside them.
+    sent = next(line for line in plan.splitlines()[1:] if "AS c0" in line and "score" not in line)
+    assert sent.count(" AS ") == 3
+
+
+def test_sample_takes_few_bytes(spark):
+    """Two bytes a bucket id and as few a count as hold it, with what bag() says."""
+    texts = {k: "word " * 400 * (k % 2) + f"text {k}" for k in range(1, 40)} | {40: ""}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in texts], "doc_id bigint, quality int")
+    p = ModelParams()
+    got = quality_model.training_rows(docs, labels, p)
+    bags = [quality_model.bag(t, p) for t in texts.values()]
+    assert {(tuple(i.tolist()), tuple(c.tolist())) for i, c, _ in got} <= {(tuple(i.tolist()), tuple(c.tolist())) for i, c in bags}
+    assert len(got) > 20 and all(i.nbytes + c.nbytes <= 4 * len(i) for i, c, _ in got)

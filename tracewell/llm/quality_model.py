@@ -110,22 +110,24 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], p: ModelParams) -> tup
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, p: ModelParams) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """Features of at most max_train_docs labelled documents outside the held-out fold, in the order of a hash of the id. Executors make the features; the driver gets the sample only, whatever ids repeat: at most 8 bytes a bucket and document, 2 GB if each of 4,000 texts filled all 65,536 buckets, and some 40 MB of texts of a thousand words."""
+    """Features of at most max_train_docs labelled documents outside the held-out fold, in the order of a hash of the id. Executors make the features; the driver gets the sample only, whatever ids repeat: at most 6 bytes a bucket and document, 1.6 GB if each of 4,000 texts filled all 65,536 buckets, and some 20 MB of texts of a thousand words, as ids and counts take the least bytes that hold them."""
     chosen = labels.filter("quality is not null and doc_id is not null").filter(~held_out(F.col("doc_id"))).select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "quality").limit(p.max_train_docs)
     # The sample's size is bounded by max_train_docs, so it may be broadcast.
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
+    id_type = np.min_scalar_type(p.buckets - 1)
+
     def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             got = [bag(t, p) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "ids": [g[0].astype("<i4").tobytes() for g in got], "counts": [g[1].astype("<f4").tobytes() for g in got], "quality": (b["quality"] > 0).astype("int32")})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "ids": [g[0].astype(id_type).tobytes() for g in got], "counts": [g[1].astype(np.min_scalar_type(int(g[1].max(initial=0)))).tobytes() for g in got], "quality": (b["quality"] > 0).astype("int32")})
 
     made = sample.mapInPandas(bags, "doc_id bigint, ids binary, counts binary, quality int")
     # A label row meets every document of its id, so the bound holds only after the join.
     rows = made.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", F.xxhash64("ids")).limit(p.max_train_docs).collect()
     rows.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r["doc_id"])), bytes(r["ids"]), r["quality"]))
     # Views of what was collected, without a copy.
-    return [(np.frombuffer(r["ids"], "<i4"), np.frombuffer(r["counts"], "<f4"), r["quality"]) for r in rows]
+    return [(ids := np.frombuffer(r["ids"], id_type), np.frombuffer(r["counts"], f"u{len(r['counts']) // max(1, len(ids)) or 1}"), r["quality"]) for r in rows]
 
 
 def xxh32(columns: list[np.ndarray]) -> np.ndarray:
@@ -216,13 +218,17 @@ def _scored(docs: DataFrame, labels: DataFrame, p: ModelParams, keep: list[str])
     bucket_scores, bias = train(training_rows(docs, labels, p), p)
     model = spark.sparkContext.broadcast((bucket_scores, bias))  # its size is that of the bucket table
 
+    # A text that is kept is sent to Python once.
+    place = keep.index("text") if "text" in keep else len(keep)
+
     def score_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = group_scorer(*model.value, p)
         for b in batches:
-            scores = pa.array([s for texts in grouped(b.column(len(keep))) for s in score(texts)], pa.float64())
+            scores = pa.array([s for texts in grouped(b.column(place)) for s in score(texts)], pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], scores], names=[*b.schema.names[: len(keep)], "score"])
 
-    renamed = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col("text").alias("the_text"))
+    sent = keep if place < len(keep) else [*keep, "text"]
+    renamed = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(sent)])
     schema = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)) + ", score double"
     return renamed.mapInArrow(score_all, schema)
 
